@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pagelens.llm.quality import op3_quality
+from pagelens.llm.toxicity import op2_toxicity
 from pagelens.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
 }
