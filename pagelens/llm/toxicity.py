@@ -62,15 +62,20 @@ def inputs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, out, total
 
 
-def log_odds(seen: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """By bucket: shrunk log-odds that a toxic document holds it, from the (bucket, document) pairs seen."""
-    pairs = np.unique(seen.astype(np.int64) * len(y) + doc)
-    b, d = pairs // len(y), pairs % len(y)
-    toxic = np.bincount(b[y[d] == 1], minlength=size).astype(float)
-    other = np.bincount(b[y[d] == 0], minlength=size).astype(float)
-    n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
+def held_pairs(bucket: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (bucket, document) pairs."""
+    pairs = np.unique(bucket.astype(np.int64) * docs + doc)
+    return pairs // docs, pairs % docs
+
+
+def log_odds(pairs: tuple[np.ndarray, np.ndarray], y: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
+    """By bucket: shrunk log-odds that a toxic document holds it, from the pairs of the documents of `use`."""
+    b, d = pairs
+    toxic = np.bincount(b[(use & (y == 1))[d]], minlength=size).astype(float)
+    other = np.bincount(b[(use & (y == 0))[d]], minlength=size).astype(float)
+    n1, n0 = max(1, (use & (y == 1)).sum()), max(1, (use & (y == 0)).sum())
     z = np.log((toxic + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
-    # a bucket seen in few documents says little; the bound is two standard errors nearer to 0
+    # a bucket seen in few documents says little: the value goes one and a half standard errors towards 0
     error = 1.5 * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
     return (np.sign(z) * np.clip(np.abs(z) - error, 0, 4)).astype(F32)
 
@@ -217,13 +222,10 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
     # log-odds for a document come from the other folds, else the network would trust its own rare words
     folds = rng.integers(0, 4, len(y))
     gram_row = np.repeat(words.row, total)
+    of_words, of_grams = held_pairs(bucket, words.row, len(y)), held_pairs(gram, gram_row, len(y))
     tables = []
-    for f in range(5):
-        use = np.flatnonzero(folds != f) if f < 4 else np.arange(len(y))
-        new = np.full(len(y), -1)
-        new[use] = np.arange(len(use))
-        w, c = new[words.row] >= 0, new[gram_row] >= 0
-        tables.append((log_odds(bucket[w], new[words.row[w]], y[use], 1 << WORD_BITS), log_odds(gram[c], new[gram_row[c]], y[use], 1 << CHAR_BITS)))
+    for f in range(5):  # the last is that of all documents
+        tables.append((log_odds(of_words, y, folds != f, 1 << WORD_BITS), log_odds(of_grams, y, folds != f, 1 << CHAR_BITS)))
     net = Net(rng)
     final = Model(*tables[4], net)
     first = np.cumsum(total) - total
@@ -237,15 +239,15 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     best = lexical.astype(np.float64)
     step = 0
-    for epoch in range(6):
+    for epoch in range(5):
         # of a toxic document the highest window teaches toxicity; of others the highest and some at random
         order = np.lexsort((-best, row))
         top = order[np.r_[True, row[order][1:] != row[order][:-1]]]
-        more = rng.random(len(row)) < min(1.0, 30_000 / max(1, len(row)))
+        more = rng.random(len(row)) < min(1.0, 10_000 / max(1, len(row)))
         use = np.unique(np.concatenate([top, np.flatnonzero((label == 0) & more)]))
         rng.shuffle(use)
         weigh = np.where(label[use] == 1, (label[use] == 0).sum() / max(1, (label[use] == 1).sum()) / 3, 1.0).astype(F32)
-        rate = 0.01 if epoch < 4 else 0.003
+        rate = 0.01 if epoch < 3 else 0.003
         x_all, back = final.vectors(words)
         x_all[:, 0], x_all[:, 1 + VEC] = word_z, char_z
         x_all = np.vstack([x_all, np.zeros((1, net.d), F32)])
