@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagelens.llm.langid import op8_language
 from pagelens.llm.quality import op3_quality
 from pagelens.llm.toxicity import op2_toxicity
 from pagelens.llm.url_filter import OP5_SQL, op5_url_filter
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
+    "op8_language": op8_language,
 }
 ORACLE_SQL = {
     "op5_url_filter": OP5_SQL,
