@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagelens.llm.fingerprint import op7_fingerprint
 from pagelens.llm.langid import op8_language
 from pagelens.llm.quality import op3_quality
 from pagelens.llm.toxicity import op2_toxicity
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
+    "op7_fingerprint": op7_fingerprint,
     "op8_language": op8_language,
 }
 ORACLE_SQL = {
