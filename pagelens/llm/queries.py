@@ -7,14 +7,17 @@ from pagelens.llm.langid import op8_language
 from pagelens.llm.quality import op3_quality
 from pagelens.llm.toxicity import op2_toxicity
 from pagelens.llm.url_filter import OP5_SQL, op5_url_filter
+from pagelens.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
+    "op6_warc": op6_warc,
     "op7_fingerprint": op7_fingerprint,
     "op8_language": op8_language,
 }
 ORACLE_SQL = {
+    "op6_warc": OP6_SQL,
     "op5_url_filter": OP5_SQL,
 }
