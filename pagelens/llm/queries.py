@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagelens.llm.decontaminate import OP9_SQL, op9_decontaminate
 from pagelens.llm.fingerprint import op7_fingerprint
 from pagelens.llm.langid import op8_language
 from pagelens.llm.quality import op3_quality
@@ -16,8 +17,10 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_fingerprint": op7_fingerprint,
     "op8_language": op8_language,
+    "op9_decontaminate": op9_decontaminate,
 }
 ORACLE_SQL = {
     "op6_warc": OP6_SQL,
+    "op9_decontaminate": OP9_SQL,
     "op5_url_filter": OP5_SQL,
 }
