@@ -6,11 +6,13 @@ from pagelens.llm.decontaminate import OP9_SQL, op9_decontaminate
 from pagelens.llm.fingerprint import op7_fingerprint
 from pagelens.llm.langid import op8_language
 from pagelens.llm.quality import op3_quality
+from pagelens.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from pagelens.llm.toxicity import op2_toxicity
 from pagelens.llm.url_filter import OP5_SQL, op5_url_filter
 from pagelens.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
@@ -20,6 +22,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op6_warc": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
     "op5_url_filter": OP5_SQL,
