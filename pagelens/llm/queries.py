@@ -6,6 +6,7 @@ from pagelens.llm.decontaminate import OP9_SQL, op9_decontaminate
 from pagelens.llm.fingerprint import op7_fingerprint
 from pagelens.llm.langid import op8_language
 from pagelens.llm.quality import op3_quality
+from pagelens.llm.segment import op10_segmentations
 from pagelens.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from pagelens.llm.toxicity import op2_toxicity
 from pagelens.llm.url_filter import OP5_SQL, op5_url_filter
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_fingerprint": op7_fingerprint,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
+    "op10_segmentations": op10_segmentations,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
