@@ -62,16 +62,21 @@ class Compressors:
         return (bad - good) / (bad + good) if text else 0.0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, per_class: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most per_class rows of each class outside the held-out fold, smallest hash first."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold, per_class: int) -> DataFrame:
+    """doc_id, text, y of at most per_class documents of each class outside the held-out fold, smallest hash first."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(fold)
     known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    return sorted((r.doc_id, r.text or "", r.y) for r in rows)
+    # 2 * per_class ids at most
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, per_class: int) -> list[tuple[int, str, int]]:
+    """The labelled rows on the driver, in the order of doc_id."""
+    return sorted((r.doc_id, r.text or "", r.y) for r in labelled_rows(docs, labels, label, fold, per_class).collect())
 
 
 def fit_quality(sample: list[tuple[int, str, int]]) -> tuple[bytes, bytes, list[float]]:

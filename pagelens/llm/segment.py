@@ -82,11 +82,30 @@ class Vocabulary:
         size = np.diff(off)
         return cls(data, off, -THETA * np.log(2 + np.maximum(rank, 0)), byte_ids, -THETA * float(np.log(2 + len(texts))), h[order], ids[order], np.unique(size[ids]))
 
+    def openings(self) -> dict[int, np.ndarray]:
+        """By length from 3 on: which codes of three bytes begin a piece of that length."""
+        if not hasattr(self, "_openings"):
+            code, size = prefix_codes(self.data), self.offsets[self.ids + 1] - self.offsets[self.ids]
+            found = {}
+            for l in self.lengths[self.lengths >= 3]:
+                found[int(l)] = np.zeros(1 << 18, bool)
+                found[int(l)][code[self.offsets[self.ids[size == l]]]] = True
+            self._openings = found
+        return self._openings
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes: pieces joined, without the blank in front."""
         return take_spans(self.data, self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]).tobytes()[1:]
 
 
+def prefix_codes(data: np.ndarray) -> np.ndarray:
+    """A code of 18 bits of each byte and the two behind it."""
+    wide = np.zeros(len(data) + 2, np.uint32)
+    wide[: len(data)] = data
+    code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int32)
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     up, _ = powers(BASE, len(data))
     out = np.zeros(len(data) + 1, U)
@@ -114,8 +133,12 @@ class Lattice:
         maybe[(vocab.hashes >> U(44)).astype(np.int64)] = True
         char = np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
         bare, begin, length, piece = lead.copy(), [], [], []
-        for l in vocab.lengths:
-            at = np.flatnonzero(lead & (left >= l))
+        head = prefix_codes(data)
+        open_, rest = vocab.openings(), np.flatnonzero(lead)
+        for l in vocab.lengths[::-1]:  # long pieces first, as they are mostly the likely ones
+            at = rest[left[rest] >= l]
+            if l >= 3:
+                at = at[open_[l][head[at]]]
             if not len(at):
                 continue
             h = span_hashes(data, at, at + l, sums)
@@ -155,11 +178,9 @@ class Lattice:
             self.p = np.nan_to_num(np.exp(weight + mass[self.end] - mass[self.start]))
         total = np.cumsum(self.p)
         before = np.append(0, total)[self.first[self.start]]
-        # node + the share of its edges up to this one: a search in one ascending row draws an edge
-        share = np.minimum(total - before, 1)
-        last = self.first[1:][degree > 0] - 1
-        share[last] = 1
-        self.draw = self.start + share
+        # the share of a node's edges up to this one
+        self.share = np.minimum(total - before, 1)
+        self.share[self.first[1:][degree > 0] - 1] = 2
         self.stop = np.zeros(nodes, bool)
         self.stop[self.root + size] = True
         self.single = (degree == 1)[self.start]
@@ -171,8 +192,11 @@ class Lattice:
         at, where, count = node[who], place[who], np.zeros(len(node), np.int64)
         while len(who):
             u = uniform(key[who], where)
-            e = np.searchsorted(self.draw, at + u, "right")
-            e = np.minimum(np.maximum(e, self.first[at]), self.first[at + 1] - 1)
+            e = self.first[at]
+            on = np.flatnonzero(self.share[e] < u)
+            while len(on):
+                e[on] += 1
+                on = on[self.share[e[on]] < u[on]]
             steps.append((who, e))
             count[who] += 1
             at, where = self.end[e], where + self.length[e]

@@ -9,7 +9,7 @@ pools their states, and a logistic unit scores the window. A document scores as
 window (multiple-instance learning: a label holds for the document, not for a window).
 
 The fit takes at most `per_class` labelled rows of each class outside the held-out fold, those
-with the smallest hash of doc_id: a stated, bounded sample, on the driver. Scoring covers every
+with the smallest hash of doc_id: a stated, bounded sample, in one task. Scoring covers every
 window of every document.
 
 Cases: a null, empty or wordless text is one window of padding; its score is the network's at
@@ -20,6 +20,7 @@ alike; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import crc_mod, table
-from pagelens.llm.quality import labelled_sample, logistic
+from pagelens.llm.quality import labelled_rows, logistic
 from pagelens.llm.words import ALNUM, BASE, GRAM, LOWER, U, Words, blocks, bytes_of, mix, powers
 
 WINDOW, STRIDE, HIDDEN, VEC = 24, 12, 8, 4
@@ -62,18 +63,8 @@ def inputs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, out, total
 
 
-def held_pairs(bucket: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (bucket, document) pairs."""
-    pairs = np.unique(bucket.astype(np.int64) * docs + doc)
-    return pairs // docs, pairs % docs
-
-
-def log_odds(pairs: tuple[np.ndarray, np.ndarray], y: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
-    """By bucket: shrunk log-odds that a toxic document holds it, from the pairs of the documents of `use`."""
-    b, d = pairs
-    toxic = np.bincount(b[(use & (y == 1))[d]], minlength=size).astype(float)
-    other = np.bincount(b[(use & (y == 0))[d]], minlength=size).astype(float)
-    n1, n0 = max(1, (use & (y == 1)).sum()), max(1, (use & (y == 0)).sum())
+def log_odds(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By bucket: shrunk log-odds that a toxic document holds it, from the numbers of documents that do."""
     z = np.log((toxic + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
     # a bucket seen in few documents says little: the value goes one and a half standard errors towards 0
     error = 1.5 * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
@@ -164,46 +155,73 @@ class Net:
         return grads, dx.transpose(1, 0, 2), logit
 
 
+class Features:
+    """Of each word: log-odds of the word and of its characters, and the buckets of their learned vectors."""
+
+    def __init__(self, word_z: np.ndarray, char_z: np.ndarray, word: np.ndarray, chars: np.ndarray):
+        self.word_z, self.char_z, self.word, self.chars = word_z, char_z, word, chars
+
+    @classmethod
+    def joined(cls, parts: list[Features]) -> Features:
+        return cls(*(np.concatenate([getattr(p, k) for p in parts], axis=-1) for k in ("word_z", "char_z", "word", "chars")))
+
+    def vectors(self, net: Net, at: np.ndarray) -> np.ndarray:
+        """The inputs of these words; number len(word) is padding, all zeros."""
+        out = np.zeros((*at.shape, net.d), F32)
+        real = at < len(self.word)
+        w = at[real]
+        x = np.empty((len(w), net.d), F32)
+        x[:, 0] = self.word_z[w]
+        x[:, 1 : 1 + VEC] = net.p["word"][self.word[w]]
+        x[:, 1 + VEC] = self.char_z[w]
+        # of a word's first, middle and last n-gram
+        x[:, 2 + VEC :] = net.p["char"][self.chars[:, w]].sum(0)
+        out[real] = x
+        return out
+
+
 class Model:
     """log-odds tables and network; scores blocks of texts."""
 
     def __init__(self, word_z: np.ndarray, char_z: np.ndarray, net: Net):
         self.word_z, self.char_z, self.net = word_z, char_z, net
 
-    def vectors(self, words: Words) -> tuple[np.ndarray, tuple]:
-        """The input of each word, and the buckets that gradients go back to."""
+    @staticmethod
+    def features(words: Words, word_z: np.ndarray, char_z: np.ndarray, fold: np.ndarray | None = None) -> Features:
+        """The tables are by bucket; with `fold`, by fold of the word's document and bucket."""
         bucket, gram, total = inputs_of(words)
-        x = np.zeros((len(words), self.net.d), F32)
-        small = gram >> (CHAR_BITS - 12)
-        if len(words):
-            first = np.cumsum(total) - total
-            x[:, 0] = self.word_z[bucket]
-            x[:, 1 : 1 + VEC] = self.net.p["word"][bucket >> (WORD_BITS - 12)]
-            x[:, 1 + VEC] = np.maximum.reduceat(self.char_z[gram], first)
-            # the character vectors of a word's first, middle and last n-gram
-            picks = np.stack([first, first + total // 2, first + total - 1])
-            x[:, 2 + VEC :] = self.net.p["char"][small[picks]].sum(0)
-        return x, (bucket >> (WORD_BITS - 12), small[picks] if len(words) else np.zeros((3, 0), np.int32))
+        small = (gram >> (CHAR_BITS - 12)).astype(np.int16)
+        first = np.cumsum(total) - total
+        if not len(words):
+            return Features(np.zeros(0, F32), np.zeros(0, F32), np.zeros(0, np.int16), np.zeros((3, 0), np.int16))
+        wz = word_z[bucket] if fold is None else word_z[fold, bucket]
+        cz = char_z[gram] if fold is None else char_z[np.repeat(fold, total), gram]
+        return Features(wz, np.maximum.reduceat(cz, first), (bucket >> (WORD_BITS - 12)).astype(np.int16), small[np.stack([first, first + total // 2, first + total - 1])])
 
     @staticmethod
-    def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers (windows, WINDOW), with len(words) for padding, and each window's row; one window a row at least."""
-        per = np.maximum(1, -(-(words.count - (WINDOW - STRIDE)) // STRIDE))
+    def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each window and its row, from the first word of each row; one window a row at least."""
+        per = np.maximum(1, -(-(np.diff(first) - (WINDOW - STRIDE)) // STRIDE))
         row = np.repeat(np.arange(len(per)), per)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-        at = (words.first[row] + k * STRIDE)[:, None] + np.arange(WINDOW)
-        return np.where(at < words.first[row + 1][:, None], at, len(words)), row
+        return first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE, row
+
+    @staticmethod
+    def members(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+        """Word numbers (windows, WINDOW); n is padding."""
+        at = start[:, None] + np.arange(WINDOW)
+        return np.where(at < end[:, None], at, n)
 
     def logits(self, words: Words) -> np.ndarray:
         """The highest window's logit of each row."""
-        x, _ = self.vectors(words)
-        x = np.vstack([x, np.zeros((1, self.net.d), F32)])
+        f = self.features(words, self.word_z, self.char_z)
+        x = f.vectors(self.net, np.arange(len(words) + 1))
         gates = {k: x @ self.net.p[f"W{k}"] + self.net.p[f"b{k}"] for k in "fb"}
-        at, row = self.windows(words)
+        start, row = self.windows(words.first)
         out = np.full(len(words.count), -np.inf, F32)
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096].T
-            np.maximum.at(out, row[i : i + 4096], self.net.score(gates["f"][part], gates["b"][part]))
+        for i in range(0, len(start), 4096):
+            own = row[i : i + 4096]
+            at = self.members(start[i : i + 4096], words.first[own + 1], len(words)).T
+            np.maximum.at(out, own, self.net.score(gates["f"][at], gates["b"][at]))
         return out
 
 
@@ -215,29 +233,47 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
     if min((y == 0).sum(), (y == 1).sum()) < 8:
         return None, [0.0, flat]
     rng = np.random.default_rng(seed)
-    data, off = bytes_of(pa.array([t for _, t, _ in sample], pa.large_string()))
-    words = Words(LOWER[data], off, ALNUM)
-    bucket, gram, total = inputs_of(words)
+    folds = rng.integers(0, 4, len(y))
 
+    def parts() -> Iterator[tuple[int, Words]]:
+        """Some documents at a time, with the number of the first."""
+        done = 0
+        for part in blocks(iter([pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in sample], pa.large_string())], ["text"])]), limit=1 << 20):
+            data, off = bytes_of(part.column(0))
+            yield done, Words(LOWER[data], off, ALNUM)
+            done += part.num_rows
+
+    # documents that hold a bucket, by fold and label
+    held = [np.zeros((8, 1 << bits), np.int32) for bits in (WORD_BITS, CHAR_BITS)]
+    for done, words in parts():
+        bucket, gram, total = inputs_of(words)
+        for count, b, row in ((held[0], bucket, words.row), (held[1], gram, np.repeat(words.row, total))):
+            pairs = np.unique(row << 18 | b)
+            doc = (pairs >> 18) + done
+            np.add.at(count, (folds[doc] * 2 + y[doc], pairs & ((1 << 18) - 1)), 1)
+    size = np.bincount(folds * 2 + y, minlength=8)
     # log-odds for a document come from the other folds, else the network would trust its own rare words
-    folds = rng.integers(0, 4, len(y))
-    gram_row = np.repeat(words.row, total)
-    of_words, of_grams = held_pairs(bucket, words.row, len(y)), held_pairs(gram, gram_row, len(y))
     tables = []
-    for f in range(5):  # the last is that of all documents
-        tables.append((log_odds(of_words, y, folds != f, 1 << WORD_BITS), log_odds(of_grams, y, folds != f, 1 << CHAR_BITS)))
+    for count in held:
+        one, all_one = count[1::2], count[1::2].sum(0)
+        zero, all_zero = count[0::2], count[0::2].sum(0)
+        n1, n0 = size[1::2].sum(), size[0::2].sum()
+        tables.append(np.stack([log_odds(all_one - one[f], all_zero - zero[f], n1 - size[2 * f + 1], n0 - size[2 * f]) for f in range(4)] + [log_odds(all_one, all_zero, n1, n0)]))
     net = Net(rng)
-    final = Model(*tables[4], net)
-    first = np.cumsum(total) - total
-    fold_of = folds[words.row]
-    word_z = np.stack([t[0] for t in tables[:4]])[fold_of, bucket] if len(words) else np.zeros(0, F32)
-    char_z = np.maximum.reduceat(np.stack([t[1] for t in tables[:4]])[folds[gram_row], gram], first) if len(words) else np.zeros(0, F32)
-
-    at, row = Model.windows(words)
+    final = Model(tables[0][4], tables[1][4], net)
+    pieces, first = [], [np.zeros(1, np.int64)]
+    for done, words in parts():
+        pieces.append(Model.features(words, *tables, folds[done + words.row]))
+        first.append(first[-1][-1] + words.first[1:])
+    f, first = Features.joined(pieces), np.concatenate(first)
+    del pieces, held, tables
+    n = len(f.word)
+    start, row = Model.windows(first)
+    end = first[row + 1]
     label = y[row]
-    lexical = np.append(np.maximum(word_z, char_z), 0)[at].max(1)
+    both = np.append(np.maximum(f.word_z, f.char_z), F32(0))
+    best = np.concatenate([both[Model.members(start[i : i + 4096], end[i : i + 4096], n)].max(1) for i in range(0, len(start), 4096)]).astype(np.float64)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    best = lexical.astype(np.float64)
     step = 0
     for epoch in range(5):
         # of a toxic document the highest window teaches toxicity; of others the highest and some at random
@@ -248,32 +284,41 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
         rng.shuffle(use)
         weigh = np.where(label[use] == 1, (label[use] == 0).sum() / max(1, (label[use] == 1).sum()) / 3, 1.0).astype(F32)
         rate = 0.01 if epoch < 3 else 0.003
-        x_all, back = final.vectors(words)
-        x_all[:, 0], x_all[:, 1 + VEC] = word_z, char_z
-        x_all = np.vstack([x_all, np.zeros((1, net.d), F32)])
         for i in range(0, len(use), 256):
             pick = use[i : i + 256]
-            grads, dx, _ = net.train_step(x_all[at[pick]], label[pick].astype(F32), weigh[i : i + 256])
-            real = at[pick] < len(words)
-            who = at[pick][real]
+            at = Model.members(start[pick], end[pick], n)
+            grads, dx, _ = net.train_step(f.vectors(net, at), label[pick].astype(F32), weigh[i : i + 256])
+            real = at < n
+            who, dx = at[real], dx[real]
             grads["word"], grads["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grads["word"], back[0][who], dx[real][:, 1 : 1 + VEC])
-            for line in back[1]:
-                np.add.at(grads["char"], line[who], dx[real][:, 2 + VEC :])
+            np.add.at(grads["word"], f.word[who], dx[:, 1 : 1 + VEC])
+            for line in f.chars:
+                np.add.at(grads["char"], line[who], dx[:, 2 + VEC :])
             step += 1
             for k, g in grads.items():
                 m, v = state[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6) + rate * 0.002 * net.p[k]).astype(F32)
-        gates = {k: x_all @ net.p[f"W{k}"] + net.p[f"b{k}"] for k in "fb"}
-        best = np.concatenate([net.score(gates["f"][at[i : i + 4096].T], gates["b"][at[i : i + 4096].T]) for i in range(0, len(at), 4096)]).astype(np.float64)
+        for i in range(0, len(start), 4096):
+            x = f.vectors(net, Model.members(start[i : i + 4096], end[i : i + 4096], n).T)
+            best[i : i + 4096] = net.score(x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"])
     highest = np.full(len(y), -np.inf)
     np.maximum.at(highest, row, best)
     weights = logistic(np.column_stack([highest, np.ones(len(y))]), y.astype(float), 0.1)
     return final, [float(max(weights[0], 1e-3)), float(weights[1])]
 
 
+def fit_in_task(rows: DataFrame) -> tuple[Model | None, list[float]]:
+    """fit_toxicity over doc_id, text, y in one task, whose input the caller has bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((d, t or "", v) for b in batches for d, t, v in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_toxicity(sample))], pa.binary())], ["model"])
+
+    return pickle.loads(rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first().model)
+
+
 def score_toxicity(docs: DataFrame, fitted: tuple[Model | None, list[float]], keep: list[str]) -> DataFrame:
     """The `keep` columns and score of every row."""
     model, (slope, intercept) = fitted
@@ -297,7 +342,7 @@ PER_CLASS = 2500
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, list[float]]:
     learn = crc_mod("doc_id", 5) != 0
-    fitted = fit_toxicity(labelled_sample(docs, labels, "toxic", learn, PER_CLASS))
+    fitted = fit_in_task(labelled_rows(docs, labels, "toxic", learn, PER_CLASS))
     counts = {r.toxic: r.n for r in labels.where(learn).where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     zero, one = counts.get(0, 0), counts.get(1, 0)
     if fitted[0] and zero and one:  # classes that the bound cut are weighed back
