@@ -328,12 +328,12 @@ def score_toxicity(docs: DataFrame, fitted: tuple[Model | None, list[float]], ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value) if sent.value else None
         for part in blocks(batches):
-            data, off = bytes_of(part.column(part.num_columns - 1))
+            data, off = bytes_of(part.column(part.schema.get_field_index("text")))
             high = own.logits(Words(LOWER[data], off, ALNUM)) if own else np.zeros(part.num_rows)
             score = 1 / (1 + np.exp(-np.clip(slope * high.astype(np.float64) + intercept, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score)], [*keep, "score"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, f"{schema}, score double")
 
 
 #: Labelled rows of each class that the fit takes at most.
@@ -360,6 +360,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents that are not predicted toxic, with their columns. Labels and the texts they
     belong to are those of the input folder, so every run of the stage fits the same model."""
     model = toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    keep = docs.columns
-    kept = score_toxicity(docs.select(*keep, F.col("text").alias("_text")).select(*[F.col(c) for c in keep], F.col("_text")).withColumnRenamed("text", "text_").withColumnRenamed("_text", "text"), model, ["text_" if c == "text" else c for c in keep])
-    return kept.where("score < 0.5").withColumnRenamed("text_", "text").select(*keep)
+    if "score" in docs.columns:  # a column of that name is the caller's own
+        docs, back = docs.withColumnRenamed("score", "_score"), True
+    else:
+        back = False
+    kept = score_toxicity(docs, model, docs.columns).where("score < 0.5").drop("score")
+    return kept.withColumnRenamed("_score", "score") if back else kept
