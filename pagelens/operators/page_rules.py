@@ -65,7 +65,8 @@ def with_target_lang(flat: DataFrame) -> DataFrame:
     return flat.withColumn("_key", F.when(F.col("canonical") != "", N.rstrip("canonical"))).join(by, ["run_id", "site_id", "_key"], "left").drop("_key")
 
 
-U = F.col("page_url")
+def own() -> Column:
+    return F.col("page_url")
 
 
 def rule_status(p=None) -> list[Column]:
@@ -83,7 +84,7 @@ def rule_status(p=None) -> list[Column]:
 
 
 def rule_https() -> list[Column]:
-    return [F.when(F.col("final_url").startswith("http://"), finding("security.no_https", U))]
+    return [F.when(F.col("final_url").startswith("http://"), finding("security.no_https", own()))]
 
 
 def rule_canonical() -> list[Column]:
@@ -95,26 +96,26 @@ def rule_canonical() -> list[Column]:
     language = F.coalesce(other(F.col("target_base")), F.lit(False)) | F.exists("alternates", lambda a: (a.key == F.col("canon_key")) & other(a.base))
     found = {"canonical": c}
     return [
-        F.when(n == 0, finding("canonical.missing", U)),
-        F.when(n > 1, finding("canonical.duplicate_tag", U, values=F.slice("canonical_all", 1, 5))),
-        F.when(cross, finding("canonical.cross_host", U, **found)),
-        F.when(away & language, finding("canonical.cross_language", U, **found)),
-        F.when(away & ~language, finding("canonical.points_elsewhere", U, **found)),
+        F.when(n == 0, finding("canonical.missing", own())),
+        F.when(n > 1, finding("canonical.duplicate_tag", own(), values=F.slice("canonical_all", 1, 5))),
+        F.when(cross, finding("canonical.cross_host", own(), **found)),
+        F.when(away & language, finding("canonical.cross_language", own(), **found)),
+        F.when(away & ~language, finding("canonical.points_elsewhere", own(), **found)),
     ]
 
 
 def rule_noindex() -> list[Column]:
     listed = F.col("source") == "sitemap"
-    return [F.when(F.col("noindex") & listed, finding("robots.noindex_in_sitemap", U)), F.when(F.col("noindex") & ~listed, finding("robots.noindex", U))]
+    return [F.when(F.col("noindex") & listed, finding("robots.noindex_in_sitemap", own())), F.when(F.col("noindex") & ~listed, finding("robots.noindex", own()))]
 
 
 def _length_rules(field: str, least: int, most: int) -> list[Column]:
     n = T.visible_len(field)
     return [
-        F.when(F.col(f"{field}_count") > 1, finding(f"{field}.duplicate_tag", U, count=F.col(f"{field}_count"))),
-        F.when(n == 0, finding(f"{field}.missing", U)),
-        F.when((n > 0) & (n < least), finding(f"{field}.too_short", U, F.concat(F.lit(f"{field} is short: "), n.cast("string")), value=F.col(field))),
-        F.when(n > most, finding(f"{field}.too_long", U, F.concat(F.lit(f"{field} is long: "), n.cast("string")), value=F.col(field))),
+        F.when(F.col(f"{field}_count") > 1, finding(f"{field}.duplicate_tag", own(), count=F.col(f"{field}_count"))),
+        F.when(n == 0, finding(f"{field}.missing", own())),
+        F.when((n > 0) & (n < least), finding(f"{field}.too_short", own(), F.concat(F.lit(f"{field} is short: "), n.cast("string")), value=F.col(field))),
+        F.when(n > most, finding(f"{field}.too_long", own(), F.concat(F.lit(f"{field} is long: "), n.cast("string")), value=F.col(field))),
     ]
 
 
@@ -128,25 +129,25 @@ def rule_description() -> list[Column]:
 
 def rule_h1() -> list[Column]:
     n = F.size("h1")
-    return [F.when(n == 0, finding("h1.missing", U)), F.when(n > 1, finding("h1.multiple", U, count=n, values=F.slice("h1", 1, 5)))]
+    return [F.when(n == 0, finding("h1.missing", own())), F.when(n > 1, finding("h1.multiple", own(), count=n, values=F.slice("h1", 1, 5)))]
 
 
 def rule_thin() -> list[Column]:
-    return [F.when((F.col("word_count") > 0) & (F.col("word_count") < D.THIN_WORDS), finding("content.thin", U, count=F.col("word_count")))]
+    return [F.when((F.col("word_count") > 0) & (F.col("word_count") < D.THIN_WORDS), finding("content.thin", own(), count=F.col("word_count")))]
 
 
 def rule_images() -> list[Column]:
     total, bare = F.col("images_total"), F.col("images_no_alt")
-    return [F.when((total >= 5) & (bare >= F.greatest(F.lit(3), F.floor(total / 2))), finding("images.missing_alt", U, count=bare))]
+    return [F.when((total >= 5) & (bare >= F.greatest(F.lit(3), F.floor(total / 2))), finding("images.missing_alt", own(), count=bare))]
 
 
 def rule_performance() -> list[Column]:
     ms = F.col("elapsed_ms")
-    return [F.when(ms >= D.VERY_SLOW_MS, finding("performance.very_slow", U, count=ms)), F.when((ms >= D.SLOW_MS) & (ms < D.VERY_SLOW_MS), finding("performance.slow", U, count=ms))]
+    return [F.when(ms >= D.VERY_SLOW_MS, finding("performance.very_slow", own(), count=ms)), F.when((ms >= D.SLOW_MS) & (ms < D.VERY_SLOW_MS), finding("performance.slow", own(), count=ms))]
 
 
 def rule_lang_declared() -> list[Column]:
-    return [F.when(T.collapse("html_lang") == "", finding("i18n.lang_missing", U))]
+    return [F.when(T.collapse("html_lang") == "", finding("i18n.lang_missing", own()))]
 
 
 def rule_lang_mismatch() -> list[Column]:
@@ -154,56 +155,56 @@ def rule_lang_mismatch() -> list[Column]:
     out = []
     for field in ("title", "description"):
         got = T.guess_script(field)
-        out.append(F.when((want != "") & ~got.isin("", "mixed") & (got != want), finding(f"i18n.{field}_language_mismatch", U, value=F.substring(field, 1, 120))))
+        out.append(F.when((want != "") & ~got.isin("", "mixed") & (got != want), finding(f"i18n.{field}_language_mismatch", own(), value=F.substring(field, 1, 120))))
     return out
 
 
 def rule_hreflang() -> list[Column]:
     some = F.size("hreflang") > 0
-    own = ~F.exists("alternates", lambda a: a.key == F.col("page_key"))
+    lost = ~F.exists("alternates", lambda a: a.key == F.col("page_key"))
     declared = F.filter(F.transform("alternates", lambda a: a.base), lambda b: b != "")
     base = F.col("lang_base")
     return [
-        F.when(some & own, finding("i18n.hreflang_no_self", U, values=F.slice(F.transform("hreflang", lambda a: a.href), 1, 6))),
-        F.when(some & (base != "") & (F.size(declared) > 0) & ~F.array_contains(declared, base), finding("i18n.hreflang_lang_absent", U)),
+        F.when(some & lost, finding("i18n.hreflang_no_self", own(), values=F.slice(F.transform("hreflang", lambda a: a.href), 1, 6))),
+        F.when(some & (base != "") & (F.size(declared) > 0) & ~F.array_contains(declared, base), finding("i18n.hreflang_lang_absent", own())),
     ]
 
 
 def rule_robots_conflict() -> list[Column]:
     both = F.array_contains("robots_tokens", "noindex") & F.array_contains("robots_tokens", "index")
-    return [F.when(both, finding("robots.conflicting", U, values=F.col("robots_all"))), F.when(~both & (F.size("robots_all") > 1), finding("robots.duplicate_tag", U, values=F.col("robots_all")))]
+    return [F.when(both, finding("robots.conflicting", own(), values=F.col("robots_all"))), F.when(~both & (F.size("robots_all") > 1), finding("robots.duplicate_tag", own(), values=F.col("robots_all")))]
 
 
 def rule_viewport() -> list[Column]:
     view = F.replace(F.lower("viewport"), F.lit(" "), F.lit(""))
     return [
-        F.when(view == "", finding("mobile.viewport_missing", U)),
-        F.when(view.contains("user-scalable=no") | view.contains("maximum-scale=1"), finding("mobile.zoom_blocked", U, value=F.col("viewport"))),
+        F.when(view == "", finding("mobile.viewport_missing", own())),
+        F.when(view.contains("user-scalable=no") | view.contains("maximum-scale=1"), finding("mobile.zoom_blocked", own(), value=F.col("viewport"))),
     ]
 
 
 def rule_charset() -> list[Column]:
-    return [F.when((F.col("charset") == "") & ~F.lower(F.coalesce("content_type", F.lit(""))).contains("charset="), finding("encoding.charset_missing", U))]
+    return [F.when((F.col("charset") == "") & ~F.lower(F.coalesce("content_type", F.lit(""))).contains("charset="), finding("encoding.charset_missing", own()))]
 
 
 def rule_headings() -> list[Column]:
     levels = F.col("heading_levels")
     jump = F.size(levels) >= 2
     pairs = F.when(jump, F.zip_with(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(1))), F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a, b: b - a))
-    return [F.when(F.coalesce(F.exists(pairs, lambda d: d >= 2), F.lit(False)), finding("structure.heading_skip", U, levels=F.slice(levels, 1, 30)))]
+    return [F.when(F.coalesce(F.exists(pairs, lambda d: d >= 2), F.lit(False)), finding("structure.heading_skip", own(), levels=F.slice(levels, 1, 30)))]
 
 
 def rule_structured() -> list[Column]:
     types = F.transform("json_ld_types", lambda t: F.lower(t))
     open_ = ~F.col("noindex")
     org = F.exists(types, lambda t: t.rlike("|".join(D.ORG_LIKE)))
-    return [F.when(open_ & (F.size(types) == 0), finding("schema.missing", U)), F.when(open_ & (F.size(types) > 0) & N.is_root(U) & ~org, finding("schema.no_organization", U, values=F.col("json_ld_types")))]
+    return [F.when(open_ & (F.size(types) == 0), finding("schema.missing", own())), F.when(open_ & (F.size(types) > 0) & N.is_root(own()) & ~org, finding("schema.no_organization", own(), values=F.col("json_ld_types")))]
 
 
 def rule_open_graph() -> list[Column]:
     open_, image = ~F.col("noindex"), F.col("og_image") == ""
     bare = (F.col("og_title") == "") & (F.col("og_description") == "") & image
-    return [F.when(open_ & bare, finding("social.og_missing", U)), F.when(open_ & image & ~bare, finding("social.og_image_missing", U))]
+    return [F.when(open_ & bare, finding("social.og_missing", own())), F.when(open_ & image & ~bare, finding("social.og_image_missing", own()))]
 
 
 #: name: (rule, whether it judges the response only, and so also pages that were not seen)

@@ -1,0 +1,161 @@
+"""The audit engine on small inputs."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagelens.functions import text as T
+from pagelens.functions import urls as N
+from pagelens.functions.head import read_head
+from pagelens.operators.compare import compare_runs
+from pagelens.operators.findings import score_of, touched
+from pagelens.operators.graph import click_depth
+from pagelens.operators.page_rules import flat_pages, page_findings
+from pagelens.operators.site_rules import site_findings
+from pagelens.operators.tasks import build_tasks, fingerprint
+from pagelens.plans.errors import BadInput
+from pagelens.plans.read import check_params
+from pagelens.sources import files as S
+from pagelens.streaming import ticks as X
+
+PAGE = (
+    "run_id int, site_id long, host string, origin string, page_id long, url string, final_url string, source string, state string, status int, redirects int, elapsed_ms int, "
+    "content_type string, cache_state string, cache_stale boolean, head struct<title:string,description:string,canonical:string,html_lang:string,viewport:string,charset:string,og_title:string,og_description:string,og_image:string,"
+    "title_count:int,description_count:int,word_count:int,images_total:int,images_no_alt:int,links_internal_total:int,canonical_all:array<string>,robots_all:array<string>,h1:array<string>,links_internal:array<string>,"
+    "json_ld_types:array<string>,heading_levels:array<int>,hreflang:array<struct<lang:string,href:string>>>"
+)
+KEEP = [x.split(":")[0] for x in PAGE.split("head struct<")[1][:-1].replace("array<struct<lang:string,href:string>>", "x").split(",")]
+
+
+def page(i, url, html="", status=200, state="done", source="link", **more):
+    h = read_head(html, url, "https://a.md")
+    return {
+        "run_id": 1, "site_id": 1, "host": "a.md", "origin": "https://a.md", "page_id": i, "url": url, "final_url": url, "source": source, "state": state, "status": status, "redirects": 0,
+        "elapsed_ms": 300, "content_type": "text/html", "cache_state": "", "cache_stale": False, "head": {k: h[k] for k in KEEP} if html else None,
+    } | more
+
+
+def rules(spark, *pages):
+    found = page_findings(flat_pages(spark.createDataFrame([dict(p) for p in pages], PAGE)))
+    return {(r.page_id, r.rule) for r in found.collect()}
+
+
+HOME = '<html lang="ro"><head><title>Un titlu destul de lung pentru pagina</title><link rel="canonical" href="https://a.md/ro"><link rel="alternate" hreflang="ro" href="https://a.md/ro"></head><body><h1>Salut</h1></body></html>'
+
+
+def test_head_reader():
+    h = read_head('<HTML LANG=ru><title>A &amp; B</title><meta property=og:title content=T><h1>x<b>y</b></h1><h3>z</h3><p>one</p>two<script>no</script><a href="/in">i</a><a href="https://else/x">e</a><img><img alt=q>'
+                  '<script type="application/ld+json">{"@graph":[{"@type":["A","B"]}]}</script>', "https://a.md/p", "https://a.md")
+    assert (h["title"], h["html_lang"], h["og_title"], h["h1"], h["heading_levels"]) == ("A & B", "ru", "T", ["xy"], [1, 3])
+    assert (h["links_internal"], h["links_external"], h["images_total"], h["images_no_alt"], h["json_ld_types"]) == (["https://a.md/in"], 1, 2, 1, ["A", "B"])
+    assert read_head(None, None, None)["title"] == "" and read_head("<a href='http://[x'>", "u", "o")["links_external"] == 0
+
+
+def test_canonical_to_another_language(spark):
+    ru = HOME.replace('lang="ro"', 'lang="ru"').replace("Un titlu destul de lung pentru pagina", "Un titlu")
+    got = rules(spark, page(1, "https://a.md/ro", HOME), page(2, "https://a.md/ru", ru))
+    assert (2, "canonical.cross_language") in got and (1, "canonical.cross_language") not in got and (2, "title.too_short") in got
+
+
+def test_never_judge_what_was_not_seen(spark):
+    got = rules(spark, page(1, "https://a.md/q", status=None, state="queued"), page(2, "https://a.md/e", status=None, state="error"))
+    assert not {r for i, r in got if i == 1} and {(2, "http.unreachable"), (2, "title.missing")} <= got
+
+
+def test_robots_viewport_headings(spark):
+    html = HOME.replace("</head>", '<meta name=robots content="index,follow"><meta name=robots content=noindex><meta name=viewport content="width=device-width, maximum-scale=1"></head>').replace("</body>", "<h3>z</h3></body>")
+    got = {r for _, r in rules(spark, page(1, "https://a.md/ro", html))}
+    assert {"robots.conflicting", "robots.noindex", "mobile.zoom_blocked", "structure.heading_skip"} <= got and "schema.missing" not in got
+
+
+def graph(spark, links, **status):
+    pages = []
+    for i, (url, out) in enumerate(links.items()):
+        html = HOME.replace("</body>", "".join(f'<a href="{u}">x</a>' for u in out) + "</body>")
+        pages.append(page(i, url, html, status=status.get(f"s{i}", 200)))
+    flat = flat_pages(spark.createDataFrame([dict(p) for p in pages], PAGE))
+    sites = spark.createDataFrame([(1, 1, "a.md", "https://a.md", True, True, True)], "run_id int, site_id long, host string, origin string, robots_present boolean, sitemaps_seen boolean, robots_sitemaps boolean")
+    return flat, {r.rule: r for r in site_findings(flat, sites).collect()}
+
+
+def test_graph_rules(spark):
+    u = [f"https://a.md/p{i}" for i in range(9)]
+    chain = {"https://a.md/": [u[0]]} | {u[i]: [u[i + 1]] for i in range(8)} | {u[8]: []}
+    flat, found = graph(spark, chain, s9=404)
+    depths = {r.key: r.depth for r in click_depth(flat).collect()}
+    assert depths["https://a.md/"] == 0 and depths["https://a.md/p8"] == 9
+    assert found["structure.deep_page"].url == u[8] and found["structure.broken_internal_link"].url == u[8] and found["structure.broken_internal_link"].evidence.examples == {u[8]: [u[7]]}
+    flat, found = graph(spark, {"https://a.md/": [u[0]], u[0]: [], u[1]: ["https://a.md/"], u[2]: ["https://a.md/"]})
+    assert found["structure.orphan_page"].evidence.urls == [u[1], u[2]] and "structure.dead_end" not in found
+
+
+def finding(rule, url, severity="high", no=1, run=1, **e):
+    return (run, 1, "a.md", "https://a.md", no, rule, 1, severity, 2, url, rule, "", False, e)
+
+
+FOUND = "run_id int, site_id long, host string, origin string, finding_no long, rule string, layer int, severity string, effort int, url string, message string, detail string, fixable boolean, evidence struct<urls:array<string>,orphans:array<string>,targets:array<string>,pages:array<struct<url:string,depth:int>>,section:string,value:string,canonical:string,count:bigint,examples:map<string,array<string>>>"
+
+
+def test_tasks(spark):
+    rows = [finding("sitemap.section_absent", "https://a.md/x/1", no=1, section="x", urls=["https://a.md/x/1", "https://a.md/x/2"]), finding("sitemap.section_absent", "https://a.md/y/1", no=2, section="y", urls=["https://a.md/y/1"]),
+            finding("h1.missing", "https://a.md/1", "medium", 3), finding("h1.missing", "https://a.md/2", "medium", 4), finding("title.too_long", "https://a.md/2", "low", 5)]
+    tasks = {(r.rule, r.subject): r for r in build_tasks(spark.createDataFrame(rows, FOUND)).collect()}
+    assert set(tasks) == {("sitemap.section_absent", "section=x"), ("sitemap.section_absent", "section=y"), ("h1.missing", "")}
+    assert tasks["h1.missing", ""]["count"] == 2 and tasks["sitemap.section_absent", "section=x"].urls == ["https://a.md/x/1", "https://a.md/x/2"]
+    again = build_tasks(spark.createDataFrame(rows[:3], FOUND)).where("rule = 'h1.missing'").first()
+    assert again.fingerprint == tasks["h1.missing", ""].fingerprint and "1 pages" not in again.title
+
+
+def test_diff_is_a_partition(spark):
+    rows = [finding("a", "https://a.md/1/", no=1), finding("a", "https://a.md/2", no=2), finding("a", "https://a.md/1", no=1, run=2), finding("b", "https://a.md/2", no=2, run=2)]
+    got = sorted((r.kind, r.rule, r.url) for r in compare_runs(spark.createDataFrame(rows, FOUND), 1, 2).collect())
+    assert got == [("appeared", "b", "https://a.md/2"), ("fixed", "a", "https://a.md/2"), ("remains", "a", "https://a.md/1/")]
+
+
+def test_touched_urls(spark):
+    rows = [finding("r", "u", urls=["u", "v"], pages=[("w", 4)], examples={"t": ["s", "v"]})]
+    assert spark.createDataFrame(rows, FOUND).select(touched()).first()[0] == ["u", "v", "w", "s"]
+
+
+def test_text_functions(spark):
+    row = spark.range(1).select(
+        T.trim_to(F.lit("One two. " * 30), 160, 120).alias("cut"), T.trim_to(F.lit("word " * 50), 18).alias("words"), T.guess_script(F.lit("Привет ok")).alias("g"), T.slug_words(F.lit("https://a.md/x/aer-cond_12.html")).alias("slug"),
+        T.brand(F.lit("https://www.climtec.md")).alias("brand"), N.same_key(F.lit("HTTP://User@A.md:80/x/#f")).alias("k"), N.host_label(F.lit("https:///www.A.md/")).alias("h"),
+    ).first()
+    assert row.cut.endswith("two.") and 120 <= len(row.cut) <= 160 and row.words == "word word word"
+    assert (row.g, row.slug, row.brand, row.k, row.h) == ("cyrillic", "aer cond", "Climtec", "http://a.md/x", "a.md")
+
+
+def test_site_lists_robots_sitemaps(spark, tmp_path):
+    got = spark.range(1).select(S.parse_site_list(F.lit("a.com, A.COM; http://b.md/\nwww.a.com,,")).alias("x")).first().x
+    assert got == ["https://a.com", "http://b.md/"]
+    rules_ = S.robots_rules(spark.createDataFrame([("s", "User-agent: *\nDisallow: /\nAllow: /ok$\nDisallow:\n")], "site string, text string"), "bot")
+    paths = spark.createDataFrame([("s", p) for p in ("/ok", "/ok/1", "/no")], "site string, path string")
+    assert {r.path: r.allowed for r in S.robots_allowed(paths, rules_).collect()} == {"/ok": True, "/ok/1": False, "/no": False}
+    files = spark.createDataFrame([("r", "<sitemapindex><loc>m</loc><loc>r</loc></sitemapindex>"), ("m", "<urlset><loc>p?a&amp;b</loc></urlset>")], "url string, xml string")
+    assert [r.url for r in S.expand_sitemaps(files, spark.createDataFrame([("s", "r")], "site string, url string")).collect()] == ["p?a&b"]
+    (tmp_path / "sites.txt").write_text("# mine\n a.md \n\nhttps://b.md\n")
+    assert {r.origin for r in S.read_site_list(spark, str(tmp_path / "sites.txt")).collect()} == {"https://a.md", "https://b.md"}
+
+
+def test_schedule(spark):
+    rows = [(0, True, "1", None, "on_time"), (3600, True, "1", None, "catching_up"), (-3600, True, "1", None, "too_early"), (0, False, "1", None, "disabled"), (86400, True, "1", None, "other_day"), (0, True, "", "2026-07-27", "already_today")]
+    d = spark.createDataFrame([(1785121200 + s, e, days, last) for s, e, days, last, _ in rows], "t long, e boolean, days string, last string")
+    got = [r[0] for r in d.select(X.due_reason(F.timestamp_seconds("t"), F.col("e"), X.parse_days(F.col("days")), F.lit(3), F.col("last"))).collect()]
+    assert got == [x[-1] for x in rows]
+
+
+def test_stream_fires_once_a_day(spark, tmp_path):
+    spark.createDataFrame([(1, 1785121200 + h * 3600) for h in range(-3, 30)], "portfolio int, t long").select("portfolio", F.timestamp_seconds("t").alias("ts")).write.parquet(f"{tmp_path}/ticks")
+    ticks = spark.readStream.schema("portfolio int, ts timestamp").parquet(f"{tmp_path}/ticks")
+    q = X.fired_stream(ticks, 3, "").writeStream.format("memory").queryName("fired").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("fired").count() == 2
+
+
+def test_parameters():
+    check_params(max_pages=500)
+    for wrong in ({"max_pages": 0}, {"limit": 201}, {"severity": "urgent"}):
+        with pytest.raises(BadInput):
+            check_params(**wrong)
