@@ -5,7 +5,8 @@ Equal windows own equal anchors at equal places, so an anchor is a shard key tha
 windows together without sending every window. Consecutive windows with the same anchor form a
 run; a run's region is the text of its windows.
 
-1. Runs (document, anchor, hash of the region, place) are made from every text.
+1. Runs (document, anchor, hash of the region, place) are made from every text; a region that one
+   text repeats is told once.
 2. Anchors of one document only are dropped by an aggregate and a semi-join. What is left is stored.
 3. Equal regions of an anchor are merged to one, with the smallest document, before any text moves;
    so a group of copies of any size weighs as much as one document.
@@ -79,6 +80,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p0, q0 = p[begin], q[begin]
         row = words.row[p0]
         region = mix(spans_of(sums, p0, p0 + n + WINDOW - 1) + (q0 - p0).astype(U))
+        # a region that a text repeats is told once: covered() finds its other places in the text
+        once = np.sort(np.unique(mix(region + mix(grams[q0] + row.astype(U))), return_index=True)[1])
+        p0, q0, n, row, region = p0[once], q0[once], n[once], row[once], region[once]
         place = (_tags(sums, words)[row] << U(40)) | (n.astype(U) << U(32)) | (p0 - words.first[row]).astype(U)
         ids = part.column(0).take(pa.array(row))
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in (grams[q0], region, place))], ["doc_id", "anchor", "region", "place"])
@@ -206,13 +210,22 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "least")).alias("spans"))
 
 
-def covered(n: int, doc_id: int, spans: list[dict]) -> np.ndarray:
-    """Which of the n words a window of a smaller document covers."""
+def covered(sums: np.ndarray, doc_id: int, spans: list[dict]) -> np.ndarray:
+    """Which words of a text (by the prefix sums of its words) a window of a smaller document covers."""
+    n = len(sums) - 1
     edge = np.zeros(n + 1, np.int64)
+    by: dict[int, list[tuple[int, np.ndarray]]] = {}
     for s in spans:
-        p = (s["place"] & 0xFFFFFFFF) + np.flatnonzero(np.array(s["least"]) < doc_id)
-        np.add.at(edge, p, 1)
-        np.add.at(edge, np.minimum(p + WINDOW, n), -1)
+        by.setdefault(s["place"] >> 32 & 0xFF, []).append((s["place"] & 0xFFFFFFFF, np.flatnonzero(np.array(s["least"]) < doc_id)))
+    for many, found in by.items():
+        at = np.arange(n - (many + WINDOW - 1) + 1)
+        keys = spans_of(sums, at, at + many + WINDOW - 1)
+        order = np.argsort(keys, kind="stable")
+        first, last = (np.searchsorted(keys[order], keys[[p for p, _ in found]], side) for side in ("left", "right"))
+        for (_, inside), a, b in zip(found, first, last, strict=True):
+            p = (order[a:b, None] + inside).ravel()  # every place that has the region's words
+            np.add.at(edge, p, 1)
+            np.add.at(edge, p + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -227,9 +240,9 @@ def _kept(batch: pa.RecordBatch, text_at: int, id_at: int, spans_at: int) -> Ite
         gone = None
         if found[i].is_valid and doc_id is not None:
             one = Words(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), SPACED)
-            tag = int(_tags(sums_of(one.hashes()), one)[0])
-            spans = [s for s in found[i].as_py() if s["place"] >> 40 == tag]
-            gone = covered(len(words), doc_id, spans)
+            sums = sums_of(one.hashes())
+            tag = int(_tags(sums, one)[0])
+            gone = covered(sums, doc_id, [s for s in found[i].as_py() if s["place"] >> 40 == tag])
         if gone is None or not gone.any():
             yield len(words), 0, b" ".join(words)
         else:
