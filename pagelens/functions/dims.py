@@ -96,6 +96,8 @@ CACHE_HEADERS = {
     "x-litespeed-cache": "LiteSpeed", "x-lsadc-cache": "LiteSpeed", "cf-cache-status": "Cloudflare", "x-cache": "CDN", "x-proxy-cache": "Nginx",
     "x-nginx-cache": "Nginx", "x-fastcgi-cache": "Nginx FastCGI", "x-cache-status": "cache", "x-wp-super-cache": "WP Super Cache", "x-kinsta-cache": "Kinsta", "x-sg-cachehit": "SiteGround",
 }
+#: how marks in a tracker begin, so that tasks exported before are found again
+MARK = "seoaudit-"
 COVERAGE_TOLERANCE, PAGE_SIZE, PAGE_MOST = 0.25, 50, 200
 # end of fixed values ----------------------------------------------------------------------------
 

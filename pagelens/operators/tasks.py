@@ -20,7 +20,7 @@ def subject_of() -> Column:
 
 
 def fingerprint(site: Column, rule: Column, subject: Column) -> Column:
-    return F.concat(F.lit("seoaudit-"), F.substring(F.sha1(F.concat_ws("|", site, rule, subject)), 1, 12))
+    return F.concat(F.lit(D.MARK), F.substring(F.sha1(F.concat_ws("|", site, rule, subject)), 1, 12))
 
 
 def build_tasks(found: DataFrame, min_severity: str = "medium", include_rules: list[str] | None = None) -> DataFrame:

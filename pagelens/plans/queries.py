@@ -170,7 +170,7 @@ grouped AS (
   SELECT run_id, site_id, host, origin, rule, subject, min(rank_) AS rank_, max(layer) AS layer, max(effort) AS effort, count(*) AS items, min(finding_no) AS first_no FROM found WHERE rank_ <= 2 GROUP BY run_id, site_id, host, origin, rule, subject),
 spread AS (SELECT DISTINCT run_id, site_id, rule, subject, u FROM (SELECT run_id, site_id, rule, subject, unnest(list_append(urls, url)) AS u FROM found WHERE rank_ <= 2) AS q WHERE u <> ''),
 tasks AS (
-  SELECT g.*, {D.sql_case('g.rank_', dict(enumerate(D.SEVERITIES)))} AS severity, CASE WHEN coalesce(c.n, 0) > 0 THEN c.n ELSE g.items END AS count_, concat('seoaudit-', substr(sha1(concat(origin, '|', g.rule, '|', g.subject)), 1, 12)) AS fingerprint,
+  SELECT g.*, {D.sql_case('g.rank_', dict(enumerate(D.SEVERITIES)))} AS severity, CASE WHEN coalesce(c.n, 0) > 0 THEN c.n ELSE g.items END AS count_, concat('{D.MARK}', substr(sha1(concat(origin, '|', g.rule, '|', g.subject)), 1, 12)) AS fingerprint,
          {D.sql_case('g.rank_', {0: 2, 1: 7, 2: 30, 3: 90}, '30')} AS due_days, g.rule IN ('canonical.cross_language', 'canonical.cross_host', 'canonical.missing') AS autofixable
   FROM grouped g LEFT JOIN (SELECT run_id, site_id, rule, subject, count(*) AS n FROM spread GROUP BY run_id, site_id, rule, subject) AS c ON c.run_id = g.run_id AND c.site_id = g.site_id AND c.rule = g.rule AND c.subject = g.subject)"""
 of_audit("tasks_grouped", lambda a: numbered(build_tasks(a.findings)).select(*SITE, "rule", "subject", "severity", "layer", "effort", "count", "due_days", "autofixable", "position"),
