@@ -14,7 +14,9 @@ REPO = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package although their working folder is another one."""
+    """Let Python workers import this package although their working folder is another one, and keep
+    what is sent to them at once small: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in paths:
@@ -53,8 +55,3 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`; null ids count as remainder 0 of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
-
-
-def sql_crc32(column: str, modulus: int) -> str:
-    """Not available in every SQL dialect; kept beside crc_mod for documentation of the fold rule."""
-    return f"crc32(cast({column} as varchar)) % {modulus}"

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import stored, table
 from pagelens.llm.words import ALNUM, LOWER, U, Words, blocks, bytes_of
 
-SHARD_BYTES, BLOCK_ITEMS, SIZE = 4 << 20, 20_000, 10
+SHARD_BYTES, BLOCK_ITEMS, SIZE = 2 << 20, 20_000, 10
 INDEX = "shard string, doc_ids array<long>, first array<int>, terms array<long>, sizes array<int>, positions array<int>"
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE, GRAM = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Bytes of words between ASCII white space (U+0020, U+0009 to U+000D).
 SPACED = np.ones(256, bool)
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = ((n + 1) >> 18) + 1 << 18
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             row = np.full(size, b, U)
