@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagelens.llm.common import table
 from pagelens.llm.words import BASE, U, blocks, bytes_of, mix, powers, take_spans
 
-MODEL, THETA, K, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 2, 2 << 20
+MODEL, THETA, K, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 2, 3 << 19
 
 
 @dataclass
@@ -127,7 +127,7 @@ class Lattice:
         unit = np.repeat(np.arange(len(size)), size)
         left = np.repeat(start + size, size) - np.arange(n)  # bytes to the unit's end
         self.root = start + np.arange(len(size))
-        node = np.arange(n) + unit
+        node = (np.arange(n) + unit).astype(np.int32)
         sums, lead = _sums(data), (data & 0xC0) != 0x80
         maybe = np.zeros(1 << 20, bool)
         maybe[(vocab.hashes >> U(44)).astype(np.int64)] = True
@@ -153,9 +153,11 @@ class Lattice:
             piece.append(vocab.ids[k])
         at = np.flatnonzero(bare)  # characters that are no piece
         begin, length, piece = np.concatenate([*begin, at]), np.concatenate([*length, char[at]]), np.concatenate([*piece, np.full(len(at), -1, np.int32)])
+        begin, length = begin.astype(np.int32), length.astype(np.int32)
         order = np.argsort(begin, kind="stable")
         self.begin, self.length, self.piece = begin[order], length[order], piece[order]
-        self.start, self.end = node[self.begin], node[self.begin] + self.length
+        self.start = node[self.begin]
+        self.end = self.start + self.length
         weight = np.where(self.piece < 0, vocab.byte_weight * self.length, vocab.weight[self.piece])
         nodes = n + len(size)
         degree = np.bincount(self.start, minlength=nodes)
@@ -164,6 +166,8 @@ class Lattice:
         mass = np.full(nodes, -np.inf)
         mass[self.root + size] = 0
         to_end = left[self.begin]
+        if n and left.max() < 1 << 16:
+            to_end = to_end.astype(np.uint16)  # sorted by digits, not by comparisons
         by = np.argsort(to_end, kind="stable")
         cuts = np.flatnonzero(np.r_[True, to_end[by][1:] != to_end[by][:-1]]) if len(by) else np.zeros(0, int)
         for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
