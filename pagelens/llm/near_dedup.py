@@ -149,7 +149,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(items[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "set"])
 
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    # shuffled at every size: a plan that changes with the number of candidates has no even growth
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
     return texts.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
@@ -221,7 +222,8 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def blockwise_links(queries: DataFrame, rows: DataFrame) -> Iterator[DataFrame]:
-    """Links between the query sets and all rows (doc_id, set), one DataFrame a block of QUERY_SHINGLES shingles."""
+    """Links between components (x, y) that query sets and any rows (doc_id, set, label) have, a DataFrame for each block
+    of QUERY_SHINGLES shingles. Every task keeps to links that join components it hasn't joined yet."""
     spark = rows.sparkSession
 
     def search(held: list[tuple[int, bytes]]) -> DataFrame:
@@ -231,25 +233,36 @@ def blockwise_links(queries: DataFrame, rows: DataFrame) -> Iterator[DataFrame]:
         sent = spark.sparkContext.broadcast((np.array([d for d, _ in held]), size, items[order], np.repeat(np.arange(len(held)), size)[order]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, size, items, owner = sent.value
+            labels, size, items, owner = sent.value
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (up := root.get(v, v)) != v:
+                    root[v] = root.get(up, up)
+                    v = up
+                return v
+
             for batch in batches:
                 x, y = [], []
-                for d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = np.frombuffer(s, U)
                     a, b = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
                     many = b - a
                     at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                    both = np.bincount(owner[at], minlength=len(ids))
-                    good = ids[(both >= LIKE * (size + len(own) - both)) & (ids != d) & (both > 0)]
-                    x += np.minimum(good, d).tolist()
-                    y += np.maximum(good, d).tolist()
+                    both = np.bincount(owner[at], minlength=len(labels))
+                    for other in np.unique(labels[(both >= LIKE * (size + len(own) - both)) & (both > 0)]).tolist():
+                        p, q = find(label), find(other)
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            x.append(min(label, other))
+                            y.append(max(label, other))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
-        return rows.select("doc_id", "set").mapInArrow(run, "x long, y long")
+        return rows.select("set", "label").mapInArrow(run, "x long, y long").distinct()
 
     held, size = [], 0
-    for r in queries.select("doc_id", "set").toLocalIterator():
-        held.append((r.doc_id, bytes(r.set)))
+    for r in queries.select("label", "set").toLocalIterator():
+        held.append((r.label, bytes(r.set)))
         size += len(r.set) // 8
         if size >= QUERY_SHINGLES:
             yield search(held)
@@ -282,10 +295,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
         main = parts.groupBy("band").agg(F.max_by("label", "m").alias("main"))
         left = stored(spark, told.join(main, "band").where("label != main").select("doc_id").distinct(), "left")
         if not left.isEmpty():
-            rows = stored(spark, sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), "rows")
+            rows = stored(spark, sets.join(told.select("doc_id", "label").distinct(), "doc_id"), "rows")
+            joined = None
             for found in blockwise_links(rows.join(left, "doc_id", "left_semi"), rows):
-                links = links.unionByName(stored(spark, found, "links"))
-            labels = components(links.distinct())
+                part = stored(spark, found, "joins")
+                joined = part if joined is None else joined.unionByName(part)
+            # components of components; a text without a link so far is one of its own
+            more = components(joined.distinct()).toDF("old", "new")
+            labels = labels.join(more, labels["label"] == more["old"], "full_outer").select(F.coalesce("v", "old").alias("v"), F.coalesce("new", "label").alias("label"))
     full = sketches.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).join(labels.withColumnRenamed("v", "first"), "first", "left")
     return full.select("doc_id", F.coalesce("label", "first").alias("class_id"))
 
