@@ -13,7 +13,8 @@ bounded, and more items take more blocks.
 
 Terms are 64-bit hashes of lower-cased words. Cases: null and empty texts have no words and are
 never hit. Items without words match nothing; repeated items match separately, each item_id
-counted once. Rows that repeat a doc_id are judged on their own. Empty tables give empty or
+counted once. Items with a null item_id hit as others do; together they count as one item, a
+null at the end of a document's items, which the joined text of the items leaves out. Rows that repeat a doc_id are judged on their own. Empty tables give empty or
 clean results. Other columns are not read; a text of any length is one shard at most.
 """
 
@@ -34,10 +35,15 @@ SHARD_BYTES, BLOCK_ITEMS, SIZE = 2 << 20, 20_000, 10
 INDEX = "shard string, doc_ids array<long>, first array<int>, terms array<long>, sizes array<int>, positions array<int>"
 
 
+def in_order(names: set[str | None]) -> list[str | None]:
+    """Sorted, a null at the end as array_sort has it."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
 class Queries:
     """Windows of benchmark items: terms[i, :length[i]] are the hashes of window i; items by window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = SIZE):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = SIZE):
         data, off = bytes_of(pa.array([t for _, t in items], pa.large_string()))
         words = Words(LOWER[data], off, ALNUM)
         h, found = words.hashes(), {}
@@ -45,12 +51,12 @@ class Queries:
             own = h[words.first[i] : words.first[i + 1]]
             n = len(own)
             for k in range(n - size + 1) if n >= size else range(min(n, 1)):
-                found.setdefault(own[k : k + size].tobytes(), set()).add(str(name))
+                found.setdefault(own[k : k + size].tobytes(), set()).add(name)
         self.length = np.array([len(k) // 8 for k in found], np.int64)
         self.terms = np.zeros((len(found), size), U)
         for i, k in enumerate(found):
             self.terms[i, : self.length[i]] = np.frombuffer(k, U)
-        self.items = [sorted(v) for v in found.values()]
+        self.items = [in_order(v) for v in found.values()]
         self.vocabulary = np.unique(h)
 
 
@@ -151,10 +157,9 @@ class Shard:
 
 def query_blocks(benchmark: DataFrame, size: int = SIZE) -> Iterator[Queries]:
     """The benchmark's windows, BLOCK_ITEMS items at a time."""
-    held: list[tuple[str, str | None]] = []
+    held: list[tuple[str | None, str | None]] = []
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        if r.i is not None:
-            held.append((r.i, r.text))
+        held.append((r.i, r.text))
         if len(held) == BLOCK_ITEMS:
             yield Queries(held, size)
             held = []
@@ -176,7 +181,7 @@ def find_hits(index: DataFrame, q: Queries) -> DataFrame:
                 n = len(s.doc_ids)
                 w, at = s.phrases(q)
                 hit: list[list[int] | np.ndarray] = [[]] * n
-                items: list[list[str]] = [[]] * n
+                items: list[list[str | None]] = [[]] * n
                 if len(w):
                     cover = np.zeros(s.first[-1] + 1, np.int64)
                     np.add.at(cover, at, 1)
@@ -185,7 +190,7 @@ def find_hits(index: DataFrame, q: Queries) -> DataFrame:
                     doc, of = s.doc_of(words), s.doc_of(at)
                     for d in np.unique(of):
                         hit[d] = (words[doc == d] - s.first[d]).astype(np.int32)
-                        items[d] = sorted({x for j in w[of == d] for x in q.items[j]})
+                        items[d] = in_order({x for j in w[of == d] for x in q.items[j]})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), s.doc_ids,
                      pa.array(np.diff(s.first)), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],

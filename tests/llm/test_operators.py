@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -312,6 +313,28 @@ def test_decontamination(spark):
         decontaminate.BLOCK_ITEMS = old
 
 
+def test_benchmark_items_without_an_id(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c = (text(rng, 12) for _ in range(3))
+    d = spark.createDataFrame([(0, "x " + a, "en", "x"), (1, b + " y " + c, "en", "x"), (2, "clean", "en", "x"), (3, c, "en", "x")], DOCS)
+    items = spark.createDataFrame([(None, a), (None, b), (7, c), (None, None)], "item_id long, text string")
+    n = [len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)) for x in (a, b, c)]
+    want = {0: (n[0], [None]), 1: (n[1] + n[2], ["7", None]), 2: (0, []), 3: (n[2], ["7"])}
+    old = decontaminate.BLOCK_ITEMS
+    try:
+        for decontaminate.BLOCK_ITEMS in (old, 1):
+            assert {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(d, items).collect()} == want
+    finally:
+        decontaminate.BLOCK_ITEMS = old
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    # as OP9_SQL: null ids are one item of count(*) over distinct ids, and string_agg leaves them out
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: (r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, sha(""), True), 1: (2, sha("7"), True), 2: (0, sha(""), False), 3: (1, sha("7"), True)}
+    assert [r.doc_id for r in decontaminate.decontamination_stage(spark, d, str(tmp_path)).collect()] == [2]
+
+
 # 10 segmentation --------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def vocab():
