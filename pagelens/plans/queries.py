@@ -202,6 +202,7 @@ fixes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, site_
 of_audit("fix_plan", lambda a: fix_plan(a.findings, a.flat).where("field != 'meta_title'").select(*SITE, "url", "field", "rule", "current", "proposed", "confidence", "ready"), sql("SELECT run_id, site_id, url, field, rule, current, proposed, confidence, ready FROM fixes", _FIX))
 of_audit("fix_titles", lambda a: fix_plan(a.findings, a.flat).where("field = 'meta_title'").select(*SITE, "url", "rule", "current", "proposed", "confidence", "ready"), None)
 of_audit("fix_summary", lambda a: fix_summary(fix_plan(a.findings, a.flat).where("field != 'meta_title'")), sql("SELECT run_id, site_id, count(*) AS total, count(*) FILTER (ready) AS ready, count(*) FILTER (NOT ready) AS needs_review, count(DISTINCT url) AS pages, count(*) FILTER (field = 'meta_title') AS meta_title, count(*) FILTER (field = 'meta_description') AS meta_description, count(*) FILTER (field = 'canonical_url') AS canonical_url FROM fixes GROUP BY run_id, site_id", _FIX))
+of_audit("fix_summary_whole", lambda a: fix_summary(fix_plan(a.findings, a.flat)), None)
 
 # comparisons ---------------------------------------------------------------------------------------------------
 _DIFF = f"""
