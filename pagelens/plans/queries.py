@@ -109,6 +109,9 @@ _CYR = "concat(repeat('Привет мир ', CAST(doc_id % 40 AS INT)), left(te
 of_table("script_guess", "documents", lambda d: d.select("doc_id", T.guess_script(F.expr(_CYR)).alias("got"), T.expected_script(F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("lang"), F.lit("_XX"))).otherwise(F.col("lang"))).alias("want")),
          f"""SELECT doc_id, CASE WHEN c = 0 AND l = 0 THEN '' WHEN c > 2 * l THEN 'cyrillic' WHEN l > 2 * c THEN 'latin' ELSE 'mixed' END AS got, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN 'latin' ELSE '' END AS want
          FROM (SELECT doc_id, lang, length(regexp_replace({_CYR}, '[^а-яёА-ЯЁ]', '', 'g')) AS c, length(regexp_replace({_CYR}, '[^a-zA-Z]', '', 'g')) AS l FROM documents) AS q""")
+_CYR_WHOLE = "concat(repeat('Привет мир ', CAST(floor(doc_id % 40 * length(text) / 200.0) AS INT)), text)"
+of_table("script_guess_whole", "documents", lambda d: d.select("doc_id", T.guess_script(F.expr(_CYR_WHOLE)).alias("got"), T.expected_script(F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("lang"), F.lit("_XX"))).otherwise(F.col("lang"))).alias("want")),
+         QUERIES["script_guess"][1].replace(_CYR, _CYR_WHOLE))
 _CUT = "left(t, 160)"
 of_table("trim_to", "documents", lambda d: d.select("doc_id", T.trim_to("text", 160).alias("words"), T.trim_to("text", 160, 120).alias("sentence")),
          f"""WITH t AS (SELECT doc_id, {collapse('text')} AS t FROM documents),

@@ -208,6 +208,20 @@ def test_text_functions(spark):
     assert (row.g, row.slug, row.brand, row.k, row.h) == ("cyrillic", "aer cond", "Oakshop", "http://a.md/x", "a.md")
 
 
+def test_script_of_whole_texts(spark, tmp_path):
+    late, both, short = "abc " * 60 + "Это другой язык " * 90, "abc " * 60 + "привет " * 30, "x" * 150
+    rows = [(0, late, "en"), (40, both, "ru"), (80, short, "fr_FR"), (1, None, None), (2, "12", "en"), (3, short, "de"), (21, "abc " * 300, "ro")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def guess(i, t):
+        t = "Привет мир " * (i % 40 * len(t or "") // 200) + (t or "")
+        c, n = len(re.findall("[а-яёА-ЯЁ]", t)), len(re.findall("[a-zA-Z]", t))
+        return "" if not c + n else "cyrillic" if c > 2 * n else "latin" if n > 2 * c else "mixed"
+
+    got = {r.doc_id: r.got for r in queries.QUERIES["script_guess_whole"][0](spark, str(tmp_path)).collect()}
+    assert got == {i: guess(i, t) for i, t, _ in rows} and (got[0], got[40], got[80]) == ("cyrillic", "mixed", "latin")
+
+
 def test_site_lists_robots_sitemaps(spark, tmp_path):
     got = spark.range(1).select(S.parse_site_list(F.lit("a.com, A.COM; http://b.md/\nwww.a.com,,")).alias("x")).first().x
     assert got == ["https://a.com", "http://b.md/"]
