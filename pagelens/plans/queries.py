@@ -183,6 +183,7 @@ _STATIC = "rule NOT IN ('http.server_error', 'title.too_short', 'title.too_long'
 _PLAIN_NAME = "replace(replace(rule, '.', ': '), '_', ' ')"
 of_audit("task_titles", lambda a: build_tasks(a.findings).where(_STATIC).select(*SITE, "rule", "subject", "title", F.array_join("tags", ",").alias("tags")),
          sql(f"SELECT run_id, site_id, rule, subject, concat('[', host, '] ', {_PLAIN_NAME}, CASE WHEN count_ > 1 THEN concat(' — ', CAST(count_ AS VARCHAR), ' pages') ELSE '' END) AS title, concat('seo:', {D.sql_case('layer', D.LAYERS)}, ',seo:', severity, ',', host) AS tags FROM tasks WHERE {_STATIC}", _TASKS))
+of_audit("task_titles_whole", lambda a: build_tasks(a.findings).select(*SITE, "rule", "subject", "title", F.array_join("tags", ",").alias("tags")), None)
 _LAYERS = ", ".join(f"count(*) FILTER (layer = {k}) AS layer_{k}" for k in D.LAYERS)
 of_audit("task_summary", lambda a: task_summary(build_tasks(a.findings)), sql(f"SELECT run_id, site_id, count(*) AS tasks, CAST(sum(count_) AS BIGINT) AS pages_touched, count(*) FILTER (autofixable) AS autofixable, {_SEV}, {_LAYERS} FROM tasks GROUP BY run_id, site_id", _TASKS))
 of_audit("task_body", lambda a: R.task_bodies(a), None)
@@ -253,6 +254,7 @@ of_audit("site_history_top12", lambda a: V.site_history(a), sql("SELECT s.host A
 _ANY = "https://tionsh.example.net"
 of_audit("list_findings", lambda a: V.list_findings(a, 2, "high", limit=100), sql("SELECT site_id, finding_no, rule, severity, url, '' AS matched_via FROM found WHERE run_id = 2 AND rank_ <= 1 ORDER BY layer, rank_, site_id, finding_no LIMIT 100"))
 of_audit("list_findings_page_slice", lambda a: V.list_findings(a, 1, "info", f"{_ANY}/", 200).where("matched_via = 'url'").select("site_id", "rule", "severity", "matched_via"), sql(f"SELECT site_id, rule, severity, 'url' AS matched_via FROM found WHERE run_id = 1 AND {rstrip('url')} = '{_ANY}'"))
+of_audit("list_findings_page_whole", lambda a: V.list_findings(a, 1, "info", f"{_ANY}/", 200).select("site_id", "rule", "severity", "matched_via"), None)
 of_audit("list_tasks", lambda a: V.list_tasks(a, 2, limit=60).select("site_id", "rule", "subject", "severity", "count", "fingerprint"), sql("SELECT site_id, rule, subject, severity, count_ AS count, fingerprint FROM tasks WHERE run_id = 2 ORDER BY rank_, host, layer, count_ DESC, first_no, rule, subject LIMIT 60", _TASKS))
 of_audit("tasks_page_slice", lambda a: V.list_tasks(a, 1, "info", f"{_ANY}/", 200).select("site_id", "rule", "subject", "severity"), sql(f"SELECT DISTINCT t.site_id AS site_id, t.rule AS rule, t.subject AS subject, t.severity AS severity FROM tasks t JOIN spread s ON s.run_id = t.run_id AND s.site_id = t.site_id AND s.rule = t.rule AND s.subject = t.subject WHERE t.run_id = 1 AND {rstrip('s.u')} = '{_ANY}'", _TASKS.replace("rank_ <= 2", "rank_ <= 4")))
 of_audit("tasks_screen_top60", lambda a: numbered(build_tasks(a.findings.where("run_id = 3"))).orderBy(D.rank(F.col("severity")), "origin", "rule", "subject").limit(60).select("origin", "rule", "subject", "severity"), sql("SELECT origin, rule, subject, severity FROM tasks WHERE run_id = 3 ORDER BY rank_, origin, rule, subject LIMIT 60", _TASKS))

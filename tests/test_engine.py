@@ -188,6 +188,25 @@ def test_fixes_whole(spark, monkeypatch):
         (1, 1, len(want), ready, len(want) - ready, len({u for u, _ in want}), count("meta_title"), count("meta_description"), count("canonical_url"))]
 
 
+def test_task_titles_whole(spark, monkeypatch):
+    head = lambda title, text: HOME.replace("Un titlu destul de lung pentru pagina", title).replace("</head>", f'<meta name="description" content="{text}"></head>')
+    pages = [page(1, "https://a.md/1", head("t" * 9, "d" * 40)), page(2, "https://a.md/2", head("t" * 12, "d" * 200)), page(3, "https://a.md/3", head("t" * 70, "d" * 130)), page(4, "https://a.md/4", HOME, status=503), page(5, "https://a.md/5", HOME, status=500)]
+    found = page_findings(flat_pages(spark.createDataFrame([dict(p) for p in pages], PAGE)))
+    found = found.withColumn("finding_no", F.col("page_id")).withColumn("severity", F.when(F.col("rule").rlike("server_error|too_"), "high").otherwise(F.col("severity")))
+    got = {r.rule: (r.title, r.tags) for r in of_fixture("task_titles_whole", spark, monkeypatch, found) if r.rule == "http.server_error" or ".too_" in r.rule}
+    want = {"http.server_error": "server answers 503 — 2 pages", "title.too_short": "title is short: 9 — 2 pages", "title.too_long": "title is long: 70", "description.too_short": "description is short: 40", "description.too_long": "description is long: 200"}
+    assert {k: v[0] for k, v in got.items()} == {k: "[a.md] " + v for k, v in want.items()}
+    assert all(v[1].endswith(",seo:high,a.md") for v in got.values())
+
+
+def test_page_slice_whole(spark, monkeypatch):
+    me, other = "https://tionsh.example.net", "https://tionsh.example.net/else"
+    rows = [finding("a", me, no=1), finding("b", other, no=2, urls=[other, me + "/"]), finding("c", other, no=3, pages=[(me, 4)]), finding("d", other, no=4, examples={"t": [other, me]}), finding("e", other, no=5, urls=[other]),
+            finding("f", me + "/", no=6, urls=[me]), finding("g", other, no=7, orphans=[me]), finding("h", other, no=8, targets=["HTTPS://Tionsh.Example.NET:443/"]), finding("a", me, no=1, run=2)]
+    got = {(r.rule, r.matched_via) for r in of_fixture("list_findings_page_whole", spark, monkeypatch, spark.createDataFrame(rows, FOUND))}
+    assert got == {("a", "url"), ("f", "url")} | {(k, "evidence") for k in "bcdgh"}
+
+
 def test_diff_is_a_partition(spark):
     rows = [finding("a", "https://a.md/1/", no=1), finding("a", "https://a.md/2", no=2), finding("a", "https://a.md/1", no=1, run=2), finding("b", "https://a.md/2", no=2, run=2)]
     got = sorted((r.kind, r.rule, r.url) for r in compare_runs(spark.createDataFrame(rows, FOUND), 1, 2).collect())
