@@ -139,31 +139,39 @@ class Shard:
         return np.concatenate([empty, *windows]), np.concatenate([empty, *starts])
 
     def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """First positions of every stretch of `span` words of one document that holds all these terms, in any order."""
+        """Every position of which the `span` words from it on, or as many as its document has left, hold all these terms, in any order."""
         terms = np.unique(terms)
         begin, end = self.lists(terms)
         order = np.argsort(end - begin, kind="stable")
         if not len(terms) or (end == begin).any():
             return np.zeros(0, np.int64)
         rare = self.positions[begin[order[0]] : end[order[0]]]
-        at = np.unique((rare[:, None] - np.arange(span)).ravel())
-        at = at[at >= 0]
+        back = rare[:, None] - np.arange(span)
+        at = np.unique(back[back >= self.first[self.doc_of(rare)][:, None]])
+        last = np.minimum(at + span, self.first[self.doc_of(at) + 1])
         for k in order[1:]:
             other = self.positions[begin[k] : end[k]]
             place = np.searchsorted(other, at)
-            at = at[(place < len(other)) & (other[np.minimum(place, len(other) - 1)] < at + span)]
-        return at[(at + span <= self.first[-1])][self.doc_of(at[at + span <= self.first[-1]]) == self.doc_of(at[at + span <= self.first[-1]] + span - 1)]
+            keep = (place < len(other)) & (other[np.minimum(place, len(other) - 1)] < last)
+            at, last = at[keep], last[keep]
+        return at
 
 
-def query_blocks(benchmark: DataFrame, size: int = SIZE) -> Iterator[Queries]:
-    """The benchmark's windows, BLOCK_ITEMS items at a time."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's items, BLOCK_ITEMS at a time; the last block may be empty."""
     held: list[tuple[str | None, str | None]] = []
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         held.append((r.i, r.text))
         if len(held) == BLOCK_ITEMS:
-            yield Queries(held, size)
+            yield held
             held = []
-    yield Queries(held, size)
+    yield held
+
+
+def query_blocks(benchmark: DataFrame, size: int = SIZE) -> Iterator[Queries]:
+    """The benchmark's windows, BLOCK_ITEMS items at a time."""
+    for held in item_blocks(benchmark):
+        yield Queries(held, size)
 
 
 OUT = "shard string, doc_no int, doc_id long, n_words long, hit array<int>, items array<string>"
@@ -220,6 +228,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+NEAR = "shard string, doc_no int, doc_id long, item_id string, at array<int>"
+
+
+def find_near(index: DataFrame, asked: list[tuple[str | None, np.ndarray]], span: int) -> DataFrame:
+    """A row for every indexed document and item (item_id, terms) whose terms all meet within `span` words: where such stretches begin."""
+    sent = index.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = Shard(batch, i)
+                docs: list[int] = []
+                items: list[str | None] = []
+                places: list[np.ndarray] = []
+                for name, terms in sent.value:
+                    at = s.near(terms, span)
+                    of = s.doc_of(at)
+                    for d in np.unique(of):
+                        docs.append(int(d))
+                        items.append(name)
+                        places.append((at[of == d] - s.first[d]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * len(docs), pa.string()), pa.array(docs, pa.int32()), s.doc_ids.take(pa.array(docs, pa.int64())), pa.array(items, pa.string()), pa.array(places, pa.list_(pa.int32()))],
+                    ["shard", "doc_no", "doc_id", "item_id", "at"],
+                )
+
+    return index.mapInArrow(run, NEAR)
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
+    """doc_id, item_id and at (ascending) of every document and item whose words all occur within `span` words, in any order.
+
+    A stretch begins at any word and ends with its document, so that texts shorter than `span` match too. A word that an item
+    repeats is asked for once; items without words match nothing; of rows that repeat an item each gives its own match.
+    """
+    if span < 1:
+        raise ValueError("span must be 1 at least")
+    index, out = build_index(docs), None
+    for held in item_blocks(benchmark):
+        data, off = bytes_of(pa.array([t for _, t in held], pa.large_string()))
+        words = Words(LOWER[data], off, ALNUM)
+        h = words.hashes()
+        part = find_near(index, [(name, np.unique(h[words.first[i] : words.first[i + 1]])) for i, (name, _) in enumerate(held)], span)
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "item_id", "at")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -335,6 +335,30 @@ def test_benchmark_items_without_an_id(spark, tmp_path):
     assert [r.doc_id for r in decontaminate.decontamination_stage(spark, d, str(tmp_path)).collect()] == [2]
 
 
+def test_proximity(spark):
+    rng = random.Random(4)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    some = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, some(rng.randrange(1, 40)), "en", "x") for i in range(60)] + [(60, "A b c d e", "en", "x"), (61, None, "en", "x"), (62, "", "en", "x"), (62, "b a", "en", "x")]
+    items = [(0, "a b"), (1, "e a c b"), (2, "H"), (3, None), (4, "a nowhere"), (5, "a a"), (None, "g h a"), (6, "")]
+    d, b = spark.createDataFrame(rows, DOCS).repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    for span, block in ((10, 20_000), (3, 3), (1, 20_000)):
+        want = collections.Counter()
+        for i, t, *_ in rows:
+            w = words(t)
+            for name, x in items:
+                v = set(words(x))
+                at = tuple(p for p in range(len(w)) if v and v <= set(w[p : p + span]))
+                if at:
+                    want[i, None if name is None else str(name), at] += 1
+        old, decontaminate.BLOCK_ITEMS = decontaminate.BLOCK_ITEMS, block
+        try:
+            got = collections.Counter((r.doc_id, r.item_id, tuple(r["at"])) for r in decontaminate.proximity(d, b, span).collect())
+        finally:
+            decontaminate.BLOCK_ITEMS = old
+        assert got == want and (span < 10 or (60, "1", (0,)) in want)
+
+
 # 10 segmentation --------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def vocab():
