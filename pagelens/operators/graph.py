@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as N
 
 SITE = ["run_id", "site_id"]
+KEEP = 16
 
 
 def edges(flat: DataFrame) -> DataFrame:
@@ -31,25 +34,28 @@ def broken_edges(flat: DataFrame) -> DataFrame:
     return edges(flat).join(status.where("target_status >= 400"), [*SITE, "key"])
 
 
-def click_depth(flat: DataFrame, most: int = 100) -> DataFrame:
+def click_depth(flat: DataFrame) -> DataFrame:
     """run_id, site_id, key, depth: the least number of clicks from a site's home pages, by frontiers of one step.
 
     Every step joins only the pages reached in the step before and keeps those not seen yet; it is
-    stored, so that lineage stays short. Sites take as many steps as the deepest of them.
+    stored, so that lineage stays short, and so is all that was seen, every KEEP steps. Sites take
+    as many steps as the deepest of them; it ends when no site has a page left to reach.
     """
-    spark = flat.sparkSession
+    keep = (lambda df: df.checkpoint()) if _can_checkpoint(flat.sparkSession) else (lambda df: df.localCheckpoint())
     pages = flat.where("page_url != ''").select(*SITE, N.graph_key("page_url").alias("key"), N.is_root("page_url").alias("root")).groupBy(*SITE, "key").agg(F.max("root").alias("root"))
     links = edges(flat).select(*SITE, N.graph_key("src").alias("src"), "key").join(pages.select(*SITE, "key"), [*SITE, "key"]).distinct()
-    links = links.checkpoint() if _can_checkpoint(spark) else links.cache()
+    links = keep(links)
+    parts = links.rdd.getNumPartitions()
     seen = pages.where("root").select(*SITE, "key", F.lit(0).alias("depth"))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         step = front.select(*SITE, F.col("key").alias("src")).join(links, [*SITE, "src"]).select(*SITE, "key").distinct().join(seen.select(*SITE, "key"), [*SITE, "key"], "left_anti").withColumn("depth", F.lit(depth))
-        step = step.checkpoint() if _can_checkpoint(spark) else step.cache()
+        step = keep(step)
         if step.isEmpty():
-            break
+            return seen
         seen, front = seen.unionByName(step), step
-    return seen
+        if depth % KEEP == 0:
+            seen = keep(seen.coalesce(parts))
 
 
 def _can_checkpoint(spark) -> bool:

@@ -93,6 +93,19 @@ def test_graph_rules(spark):
     assert found["structure.orphan_page"].evidence.urls == [u[1], u[2]] and "structure.dead_end" not in found
 
 
+def test_deep_chain(spark):
+    u = ["https://a.md/"] + [f"https://a.md/p{i}" for i in range(1, 104)]
+    rows = [(1, 1, i, x, u[i + 1 : i + 2] + u[:1] + u[max(i - 1, 0) : i]) for i, x in enumerate(u)] + [(1, 1, 200, "https://a.md/island", [])]
+    flat = spark.createDataFrame(rows, "run_id int, site_id long, page_id long, page_url string, links_internal array<string>")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = click_depth(flat.coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {r.key: r.depth for r in got} == {x: i for i, x in enumerate(u)} and len(got) == len(u)
+
+
 def finding(rule, url, severity="high", no=1, run=1, **e):
     return (run, 1, "a.md", "https://a.md", no, rule, 1, severity, 2, url, rule, "", False, e)
 
