@@ -69,17 +69,26 @@ def is_sitemap_index(xml) -> Column:
 
 
 def expand_sitemaps(files: DataFrame, roots: DataFrame, most: int = 60) -> DataFrame:
-    """site, url of pages from sitemaps (url, xml), from the roots (site, url) through indexes; loops end as seen maps are left out."""
-    spark, seen, front, found = files.sparkSession, roots, roots, None
+    """site, url of pages from sitemaps (url, xml), from the roots (site, url) through indexes; loops end as seen maps are left out.
+
+    Of every site the first `most` different maps count, over all levels, in the order in which they are first seen: roots by
+    url, then the maps that the indexes of a level name, in the order of those indexes and of their lines.
+    """
+    sc = files.sparkSession.sparkContext._jsc.sc()
+    keep = (lambda df: df.checkpoint()) if sc.getCheckpointDir().isDefined() else (lambda df: df.localCheckpoint())
+    in_order = Window.partitionBy("site").orderBy("no", "pos", "url")
+    front = roots.select("site", "url").distinct().withColumns({"no": F.lit(0), "pos": F.lit(0), "before": F.lit(0)})
+    seen = found = None
     while True:
-        got = front.join(files, "url").withColumn("loc", F.explode(sitemap_locs(F.col("xml")))).withColumn("index", is_sitemap_index(F.col("xml")))
+        front = keep(front.withColumn("no", F.col("before") + F.row_number().over(in_order)).where(F.col("no") <= most).select("site", "url", "no"))
+        if front.isEmpty():
+            return found.distinct() if found is not None else front.select("site", "url")
+        seen = front if seen is None else keep(seen.unionByName(front))
+        got = front.join(files, "url").select("site", "no", is_sitemap_index(F.col("xml")).alias("index"), F.posexplode(sitemap_locs(F.col("xml"))).alias("pos", "loc"))
         pages = got.where("NOT index").select("site", F.col("loc").alias("url"))
         found = pages if found is None else found.unionByName(pages)
-        front = got.where("index").select("site", F.col("loc").alias("url")).distinct().join(seen, ["site", "url"], "left_anti")
-        front = spark.createDataFrame(front.limit(most).collect(), front.schema)  # at most `most` maps a run, as the limit says
-        if front.isEmpty():
-            return found.distinct()
-        seen = seen.unionByName(front)
+        named = got.where("index").groupBy("site", F.col("loc").alias("url")).agg(F.min(F.struct("no", "pos")).alias("first")).select("site", "url", "first.no", "first.pos")
+        front = named.join(seen.select("site", "url"), ["site", "url"], "left_anti").join(seen.groupBy("site").agg(F.count("*").cast("int").alias("before")), "site")
 
 
 def cache_reading(headers) -> tuple[Column, Column]:

@@ -266,6 +266,20 @@ def test_site_lists_robots_sitemaps(spark, tmp_path):
     assert {r.origin for r in S.read_site_list(spark, str(tmp_path / "sites.txt")).collect()} == {"https://a.md", "https://b.md"}
 
 
+def test_sitemaps_are_bounded_by_site(spark):
+    index = lambda us: "<sitemapindex>" + "".join(f"<loc>{u}</loc>" for u in us) + "</sitemapindex>"
+    leaf = lambda u: f"<urlset><loc>page-{u}</loc></urlset>"
+    files, roots = [], []
+    for k in range(3):
+        # the 40 maps of the first level in falling order, one of them an index of 40 more: 1 + 40 + 19 maps count
+        first, deep = [f"s{k}-a{i}" for i in range(40, 0, -1)], [f"s{k}-b{i}" for i in range(40)]
+        files += [(f"s{k}", index(first)), (first[5], index([first[0], *deep, f"s{k}"]))] + [(u, leaf(u)) for u in first[:5] + first[6:] + deep]
+        roots.append((f"site{k}", f"s{k}"))
+    got = S.expand_sitemaps(spark.createDataFrame(files, "url string, xml string"), spark.createDataFrame(roots, "site string, url string")).collect()
+    want = {(f"site{k}", f"page-s{k}-a{i}") for k in range(3) for i in range(1, 41) if i != 35} | {(f"site{k}", f"page-s{k}-b{i}") for k in range(3) for i in range(19)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_schedule(spark):
     rows = [(0, True, "1", None, "on_time"), (3600, True, "1", None, "catching_up"), (-3600, True, "1", None, "too_early"), (0, False, "1", None, "disabled"), (86400, True, "1", None, "other_day"), (0, True, "", "2026-07-27", "already_today")]
     d = spark.createDataFrame([(1785121200 + s, e, days, last) for s, e, days, last, _ in rows], "t long, e boolean, days string, last string")
