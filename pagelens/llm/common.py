@@ -52,6 +52,19 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str):
+    """The column of this name, whatever characters the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """`wanted`, with as many underscores in front as it takes to be no name of these, however written."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`; null ids count as remainder 0 of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -8,26 +8,31 @@ weight is above that level. A slot's signature is the first point of all shingle
 agree in a slot with probability equal to their weighted Jaccard likeness, and a text of n
 shingles needs about M log M + n points, not M n.
 
-1. Sketches of every text: a hash of the multiset, BANDS bands of ROWS slots, a short signature.
+1. Sketches of every text: a hash of the multiset, its size, and BANDS bands of ROWS slots.
 2. Texts with equal multisets are one class at once, by an aggregate; only the one with the
    smallest id goes on. So groups of exact copies have no weight below.
-3. Bands that hold one text are dropped. In a band of at most SMALL texts all pairs are candidates.
-   In a larger one every text is paired with a few hubs: those whose bands are the fullest (the
-   least edited texts of a group), and some at random.
-4. Candidates whose short signatures agree in less than LEAST_LIKE of the slots are dropped (4.5
-   standard errors below the threshold); the others' multisets are intersected exactly.
-5. Components of the links are found by label passing. In large bands, texts outside the band's
-   largest component are a query set: in blocks, each is compared exactly with all texts of large
-   bands through an inverted index, so no link of a candidate is lost to the choice of hubs.
+3. Bands that hold one text are dropped. In each other band the text whose bands are the fullest
+   (the least edited one of a group) is the hub; all texts of the hub's bands are compared with it.
+   Texts whose sizes rule out a likeness of 0.8 are left out first, which loses nothing.
+4. Components of these links are found by label passing. A band of three texts or more that still
+   holds several components has pairs that nobody compared: the texts outside its largest component
+   are queries against all texts of the band. Bands with the same largest component are one group,
+   so a text is sent once however many bands it shares.
+5. A group's queries are dealt out in blocks of QUERY_SHINGLES and its texts in chunks of
+   CHUNK_SHINGLES, by block and chunk; each task holds one block in an inverted index and streams
+   the chunk past it, so no task grows with a group, nothing passes through the driver, and
+   pairs exist only as counts in a task. Overlaps of multisets are exact.
 
 A link needs a weighted Jaccard likeness of 0.8 at least; texts at 0.8 share a band with
-probability 1 - (1 - 0.8^ROWS)^BANDS = 0.99997. Classes are components of links; class_id is the
+probability 1 - (1 - 0.8^ROWS)^BANDS = 0.99997, and every pair that shares a band is compared
+unless it is already in one component. Classes are components of links; class_id is the
 smallest doc_id in it.
 
 Cases: null and empty texts have the empty multiset and are copies of each other. Rows that
-share a doc_id are one document. A row with a null doc_id is its own class (class_id null,
-kept). Ties between equal texts are broken by the smallest id. Empty tables give empty results;
-other columns are carried by the stage only. Long texts are sketched whole.
+share a doc_id are one document, linked by any of its texts; each row has the class of its
+own text. A row with a null doc_id is its own class (class_id null, kept). Ties between equal
+texts are broken by the smallest id. Empty tables give empty results; other columns are
+carried by the stage only, under any name. Long texts are sketched whole.
 """
 
 from __future__ import annotations
@@ -39,12 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored, table
+from pagelens.llm.common import free_name, named, stored, table
 from pagelens.llm.words import GRAM, SPACED, U, Words, blocks, bytes_of, mix, spans_of, sums_of
 
-SHINGLE, LIKE, ROWS, BANDS = 5, 0.8, 4, 20
+SHINGLE, ROWS, BANDS = 5, 4, 20
 M = ROWS * BANDS
-SMALL, LEAST_LIKE, QUERY_SHINGLES = 8, 0.6, 400_000
+#: The least likeness of a link, as a fraction.
+LIKE = 4, 5
+#: Shingles of a block of queries and of a chunk of texts.
+QUERY_SHINGLES, CHUNK_SHINGLES = 400_000, 4_000_000
 
 
 def shingles_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +116,7 @@ def bag_signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int)
     return ids.reshape(rows, M)
 
 
-SKETCH = "doc_id long, h1 long, h2 long, bands array<long>, short binary"
+SKETCH = "doc_id long, h1 long, h2 long, n long, bands array<long>"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -127,10 +135,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 band = mix(band + sig[:, k::ROWS] + U(k))
             band = mix(band + np.arange(BANDS, dtype=U) * U(GRAM))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel().view(np.int64)))
-            short = (sig & U(0xFF)).astype(np.uint8)
+            size = np.bincount(row, count, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array([r.tobytes() for r in short], pa.binary())],
-                ["doc_id", "h1", "h2", "bands", "short"],
+                [part.column(0), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size), lists], ["doc_id", "h1", "h2", "n", "bands"]
             )
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, SKETCH)
@@ -149,41 +156,81 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(items[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "set"])
 
-    # shuffled at every size: a plan that changes with the number of candidates has no even growth
+    # both sides are dealt by doc_id at any size: the ids are a share of the corpus, which no broadcast may hold
     texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(run, "doc_id long, set binary")
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard likeness of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or len(a) < LIKE * len(b):
-        return 0.0
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return both / (len(a) + len(b) - both)
+class Block:
+    """Sets of queries in an inverted index."""
 
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        self.docs, self.labels = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        self.size = np.array([len(r[2]) // 8 for r in rows])
+        items = np.frombuffer(b"".join(r[2] for r in rows), U)
+        order = np.argsort(items, kind="stable")
+        self.items, self.owner = items[order], np.repeat(np.arange(len(rows)), self.size)[order]
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows x, y, short_x, short_y: those that may be linked."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, M) for k in (2, 3))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array((a == b).mean(1) >= LEAST_LIKE))
+    def overlaps(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The queries that are alike enough to a sorted set, and how many items each has in common with it."""
+        a, b = np.searchsorted(self.items, own, "left"), np.searchsorted(self.items, own, "right")
+        many = b - a
+        at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        both = np.bincount(self.owner[at], minlength=len(self.docs))
+        found = np.flatnonzero((LIKE[1] * both >= LIKE[0] * (self.size + len(own) - both)) & (both > 0))
+        return found, both[found]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        good = [overlap(np.frombuffer(p, U), np.frombuffer(q, U)) >= LIKE for p, q in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(good, pa.bool_()))
+LINK = "x long, y long, both long, either long, label_x long, label_y long"
+
 
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between queries and texts from rows (key, query, doc_id, label, set) in the order of key, queries first. Of links
+    between the same components a key keeps those that join them for the first time."""
+    key, held, index, root = None, [], None, {}
 
-def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among candidate pairs x < y."""
-    short = sketches.select("doc_id", "short")
-    near = pairs.join(short.toDF("x", "short_x"), "x").join(short.toDF("y", "short_y"), "y").select("x", "y", "short_x", "short_y").mapInArrow(_near, "x long, y long")
-    full = near.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("y", "set_y"), "y")
-    return full.select("x", "y", "set_x", "set_y").mapInArrow(_verify, "x long, y long")
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    for batch in batches:
+        out: list[list[int]] = [[] for _ in range(6)]
+        for own_key, query, doc_id, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own_key != key:
+                key, held, index, root = own_key, [], None, {}
+            if query:
+                held.append((doc_id, label, raw))
+                continue
+            if index is None:
+                index = Block(held)
+            own = np.frombuffer(raw, U)
+            for i, both in zip(*index.overlaps(own), strict=True):
+                other = int(index.labels[i])
+                p, q = find(label), find(other)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    for column, value in zip(out, (doc_id, int(index.docs[i]), int(both), int(index.size[i] + len(own) - both), label, other), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y", "both", "either", "label_x", "label_y"])
+
+
+def links_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the queries of a group and any text of it that is in another component.
+    groups: g, doc_id, label, n (shingles), query; a query is a text of the group too."""
+    spark = groups.sparkSession
+    parts = groups.groupBy("g").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("query"), F.col("n"))).alias("asked"))
+    parts = parts.select("g", F.ceil((F.col("all") + 1) / CHUNK_SHINGLES).cast("int").alias("chunks"), F.ceil((F.col("asked") + 1) / QUERY_SHINGLES).cast("int").alias("blocks"))
+    parts = stored(spark, parts, "parts")
+    told = groups.join(parts, "g")
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = told.select("g", "doc_id", "label", F.lit(False).alias("query"), spot("chunks").alias("chunk"), F.explode(every("blocks")).alias("block"))
+    asked = told.where("query").select("g", "doc_id", "label", "query", F.explode(every("chunks")).alias("chunk"), spot("blocks").alias("block"))
+    both = rows.unionByName(asked).join(sets, "doc_id")
+    keyed = both.select(F.concat_ws("/", "g", "chunk", "block").alias("key"), "query", "doc_id", "label", "set")
+    return keyed.repartition("key").sortWithinPartitions("key", F.desc("query"), "doc_id").mapInArrow(_search, LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,119 +249,68 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
-def _in_order(a, b):
-    return F.least(a, b).alias("x"), F.greatest(a, b).alias("y")
-
-
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs x < y from bands (band, doc_id, n members, central): all of small bands, hubs with the others of large ones."""
-    small = members.where(F.col("n") <= SMALL).select("band", "doc_id")
-    pairs = small.join(small.withColumnRenamed("doc_id", "other"), "band").where("doc_id < other").select(F.col("doc_id").alias("x"), F.col("other").alias("y"))
-    large = members.where(F.col("n") > SMALL)
-    noise = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    hubs = large.groupBy("band").agg(
-        F.array_distinct(F.array(
-            F.max_by("doc_id", F.col("central") - F.col("doc_id") * 1e-15), *[F.max_by("doc_id", F.col("central") * noise(s)) for s in (1, 2)], *[F.max_by("doc_id", noise(s)) for s in (3, 4)]
-        )).alias("hubs")
-    )
-    stars = large.join(hubs, "band").select("doc_id", F.explode("hubs").alias("hub")).where("doc_id != hub").select(*_in_order("doc_id", "hub"))
-    return pairs.unionByName(stars).distinct()
+def hub_groups(members: DataFrame) -> DataFrame:
+    """A group for each hub, from members (band, doc_id, n, texts in the band): the hub, and every text of its bands whose size allows a link."""
+    central = members.groupBy("doc_id").agg(F.sum(F.log("texts")).alias("central"))
+    best = F.max(F.struct("central", (-F.col("doc_id")).alias("low"), "n"))
+    hubs = members.join(central, "doc_id").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.low")).alias("g"), F.col("best.n").alias("hub_n"))
+    hubs = stored(members.sparkSession, hubs, "hubs")
+    near = members.join(hubs, "band").where(F.least("n", "hub_n") * LIKE[1] >= F.greatest("n", "hub_n") * LIKE[0])
+    return near.select("g", "doc_id", F.col("doc_id").alias("label"), "n", (F.col("doc_id") == F.col("g")).alias("query")).distinct()
 
 
-def blockwise_links(queries: DataFrame, rows: DataFrame) -> Iterator[DataFrame]:
-    """Links between components (x, y) that query sets and any rows (doc_id, set, label) have, a DataFrame for each block
-    of QUERY_SHINGLES shingles. Every task keeps to links that join components it hasn't joined yet."""
-    spark = rows.sparkSession
-
-    def search(held: list[tuple[int, bytes]]) -> DataFrame:
-        size = np.array([len(s) // 8 for _, s in held])
-        items = np.frombuffer(b"".join(s for _, s in held), U)
-        order = np.argsort(items, kind="stable")
-        sent = spark.sparkContext.broadcast((np.array([d for d, _ in held]), size, items[order], np.repeat(np.arange(len(held)), size)[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            labels, size, items, owner = sent.value
-            root: dict[int, int] = {}
-
-            def find(v: int) -> int:
-                while (up := root.get(v, v)) != v:
-                    root[v] = root.get(up, up)
-                    v = up
-                return v
-
-            for batch in batches:
-                x, y = [], []
-                for s, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = np.frombuffer(s, U)
-                    a, b = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
-                    many = b - a
-                    at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                    both = np.bincount(owner[at], minlength=len(labels))
-                    for other in np.unique(labels[(both >= LIKE * (size + len(own) - both)) & (both > 0)]).tolist():
-                        p, q = find(label), find(other)
-                        if p != q:
-                            root[max(p, q)] = min(p, q)
-                            x.append(min(label, other))
-                            y.append(max(label, other))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
-
-        return rows.select("set", "label").mapInArrow(run, "x long, y long").distinct()
-
-    held, size = [], 0
-    for r in queries.select("label", "set").toLocalIterator():
-        held.append((r.label, bytes(r.set)))
-        size += len(r.set) // 8
-        if size >= QUERY_SHINGLES:
-            yield search(held)
-            held, size = [], 0
-    if held:
-        yield search(held)
+def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of bands with several components: queries are the texts outside the band's largest component, whose label is the group."""
+    told = members.where("texts > 2").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
+    told = stored(members.sparkSession, told.select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "told")
+    mains = told.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("g"), F.count("*").alias("labels"))
+    mains = stored(members.sparkSession, mains.where("labels > 1").select("band", "g"), "mains")
+    return told.join(mains, "band").select("g", "doc_id", "label", "n", (F.col("label") != F.col("g")).alias("query")).distinct()
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id of every row with a doc_id."""
+def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What near-duplicates are made of, as stored tables: every row's class of equal texts (doc_id, first), the verified links
+    between first documents of such classes (x, y, both, either: shingles in common and in all), and labels (v, label) of these."""
     spark = docs.sparkSession
     sketches = stored(spark, sketch(docs), "sketches")
-    copies = sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    copies = stored(spark, sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "copies")
     one = sketches.join(copies.withColumnRenamed("first", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
-    bands = one.select("doc_id", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("band", "n")
+    bands = one.select("doc_id", "n", F.explode("bands").alias("band"))
+    shared = stored(spark, bands.groupBy("band").agg(F.count("*").alias("texts"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("band", "texts"), "shared")
     members = stored(spark, bands.join(shared, "band"), "members")
-    central = members.groupBy("doc_id").agg(F.sum(F.log("n")).alias("central"))
-    members = stored(spark, members.join(central, "doc_id"), "members")
-    sets = stored(spark, shingle_sets(docs, central.select("doc_id")), "sets")
-    known = stored(spark, sketches.select("doc_id", "short").join(central.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "short")
-    links = stored(spark, verified(candidates(members), known, sets), "links")
+    sets = stored(spark, shingle_sets(docs, members.select("doc_id").distinct()), "sets")
+    links = stored(spark, links_of(stored(spark, hub_groups(members), "hub-groups"), sets), "links")
     labels = components(links)
-    # texts of large bands outside the band's largest component
-    large = members.where(F.col("n") > SMALL).select("band", "doc_id", "n")
-    if not large.isEmpty():
-        told = large.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-        told = stored(spark, told, "told")
-        parts = told.groupBy("band", "label").agg(F.count("*").alias("m"))
-        main = parts.groupBy("band").agg(F.max_by("label", "m").alias("main"))
-        left = stored(spark, told.join(main, "band").where("label != main").select("doc_id").distinct(), "left")
-        if not left.isEmpty():
-            rows = stored(spark, sets.join(told.select("doc_id", "label").distinct(), "doc_id"), "rows")
-            joined = None
-            for found in blockwise_links(rows.join(left, "doc_id", "left_semi"), rows):
-                part = stored(spark, found, "joins")
-                joined = part if joined is None else joined.unionByName(part)
-            # components of components; a text without a link so far is one of its own
-            more = components(joined.distinct()).toDF("old", "new")
-            labels = labels.join(more, labels["label"] == more["old"], "full_outer").select(F.coalesce("v", "old").alias("v"), F.coalesce("new", "label").alias("label"))
-    full = sketches.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).join(labels.withColumnRenamed("v", "first"), "first", "left")
-    return full.select("doc_id", F.coalesce("label", "first").alias("class_id"))
+    more = stored(spark, links_of(stored(spark, open_groups(members, labels), "open-groups"), sets), "links")
+    # components of components; a text without a link so far is one of its own
+    joined = components(more.select(F.col("label_x").alias("x"), F.col("label_y").alias("y"))).toDF("old", "new")
+    labels = labels.join(joined, labels["label"] == joined["old"], "full_outer").select(F.coalesce("v", "old").alias("v"), F.coalesce("new", "label").alias("label"))
+    classes = sketches.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "first")
+    return classes, links.unionByName(more).select("x", "y", "both", "either"), stored(spark, labels, "labels")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id of every row with a doc_id."""
+    classes, _, labels = near_links(docs)
+    return classes.join(labels.withColumnRenamed("v", "first"), "first", "left").select("doc_id", F.coalesce("label", "first").alias("class_id"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, kept, n_links (verified links of the document's text) and least_like (the least likeness among these, null without)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near_classes(docs).unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
-    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    classes, links, labels = near_links(docs)
+    like = F.col("both") / F.col("either")
+    ends = links.select(F.col("x").alias("first"), like.alias("like")).unionByName(links.select(F.col("y").alias("first"), like.alias("like")))
+    linked = ends.groupBy("first").agg(F.count("*").alias("n_links"), F.min("like").alias("least_like"))
+    told = stored(spark, labels.withColumnRenamed("v", "first").join(linked, "first", "left"), "linked")
+    found = classes.join(told, "first", "left").select("doc_id", F.coalesce("label", "first").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "least_like")
+    alone = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("least_like"))
+    out = found.unionByName(alone)
+    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "n_links", "least_like")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one with the smallest id, with its columns."""
-    gone = near_classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(spark, gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = near_classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stored(spark, gone, "gone"), docs["doc_id"] == named(name), "left_anti")
