@@ -38,7 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pagelens.llm.common import table
 from pagelens.llm.words import BASE, U, blocks, bytes_of, mix, powers, take_spans
 
-MODEL, THETA, K, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 2, 3 << 19
+MODEL, THETA, K = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 2
+#: Bytes of text sampled at once, and edges of units that a task keeps between blocks.
+BLOCK, MOST_EDGES = 1 << 18, 600_000
 
 
 @dataclass
@@ -82,16 +84,31 @@ class Vocabulary:
         size = np.diff(off)
         return cls(data, off, -THETA * np.log(2 + np.maximum(rank, 0)), byte_ids, -THETA * float(np.log(2 + len(texts))), h[order], ids[order], np.unique(size[ids]))
 
-    def openings(self) -> dict[int, np.ndarray]:
-        """By length from 3 on: which codes of three bytes begin a piece of that length."""
-        if not hasattr(self, "_openings"):
+    def short(self, data: np.ndarray, length: int) -> np.ndarray:
+        """The piece of one or two bytes that begins at each byte, -1 for none."""
+        if not hasattr(self, "_short"):
+            size = self.offsets[self.ids + 1] - self.offsets[self.ids]
+            self._short = {l: np.full(1 << 8 * l, -1, np.int32) for l in (1, 2)}
+            for l, ids in self._short.items():
+                own, at = self.ids[size == l], self.offsets[self.ids[size == l]]
+                ids[self.data[at] if l == 1 else self.data[at].astype(np.int32) << 8 | self.data[at + 1]] = own
+        if length == 1:
+            return self._short[1][data]
+        wide = np.append(data, np.uint8(0)).astype(np.int32)
+        return self._short[2][wide[:-1] << 8 | wide[1:]]
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By code of three bytes: the lengths from 3 on of the pieces that begin with it, and of those that end with it (bit
+        l for length l, the last bit for all longer ones), and the longest of the former."""
+        if not hasattr(self, "_ends"):
             code, size = prefix_codes(self.data), self.offsets[self.ids + 1] - self.offsets[self.ids]
-            found = {}
-            for l in self.lengths[self.lengths >= 3]:
-                found[int(l)] = np.zeros(1 << 18, bool)
-                found[int(l)][code[self.offsets[self.ids[size == l]]]] = True
-            self._openings = found
-        return self._openings
+            self._ends = np.zeros(1 << 18, U), np.zeros(1 << 18, U), np.zeros(1 << 18, np.int32)
+            for l in self.lengths[self.lengths >= 3].tolist():
+                at = self.offsets[self.ids[size == l]]
+                for table, codes in zip(self._ends, (code[at], code[at + l - 3]), strict=False):
+                    table[codes] |= U(1 << min(l, 63))
+                self._ends[2][code[at]] = l
+        return self._ends
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes: pieces joined, without the blank in front."""
@@ -120,7 +137,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.n
 
 
 class Lattice:
-    """Of distinct units: node (unit, byte), edges in the order of their starts, completion masses, conditional probabilities."""
+    """Of distinct units: nodes (unit, byte), edges in the order of their starts with log-probabilities given their
+    start, the log of what their start's other edges have, and the share of the start's edges up to this one."""
+
+    ARRAYS = ("length", "piece", "start", "logp", "rest", "share")
 
     def __init__(self, vocab: Vocabulary, data: np.ndarray, start: np.ndarray, size: np.ndarray):
         n = len(data)
@@ -129,35 +149,36 @@ class Lattice:
         self.root = start + np.arange(len(size))
         node = (np.arange(n) + unit).astype(np.int32)
         sums, lead = _sums(data), (data & 0xC0) != 0x80
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(vocab.hashes >> U(44)).astype(np.int64)] = True
         char = np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
         bare, begin, length, piece = lead.copy(), [], [], []
         head = prefix_codes(data)
-        open_, rest = vocab.openings(), np.flatnonzero(lead)
-        for l in vocab.lengths[::-1]:  # long pieces first, as they are mostly the likely ones
-            at = rest[left[rest] >= l]
-            if l >= 3:
-                at = at[open_[l][head[at]]]
-            if not len(at):
-                continue
-            h = span_hashes(data, at, at + l, sums)
-            hit = maybe[(h >> U(44)).astype(np.int64)]
-            at, h = at[hit], h[hit]
-            k = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-            hit = vocab.hashes[k] == h
-            at, k = at[hit], k[hit]
-            bare[at[char[at] == l]] = False
-            begin.append(at)
-            length.append(np.full(len(at), l))
-            piece.append(vocab.ids[k])
+        rest = np.flatnonzero(lead)
+        opens, closes, longest = vocab.ends()
+        reach = np.minimum(longest[head[rest]], left[rest])
+        for l in vocab.lengths[::-1].tolist():  # long pieces first, as they are mostly the likely ones
+            if l < 3:
+                k = vocab.short(data, l)
+                at = np.flatnonzero((k >= 0) & lead & (left >= l))
+                found = k[at]
+            else:
+                at, bit = rest[reach >= l], U(1 << min(l, 63))
+                at = at[(opens[head[at]] & bit) > 0]
+                at = at[(closes[head[at + l - 3]] & bit) > 0]
+                h = span_hashes(data, at, at + l, sums)
+                k = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
+                hit = vocab.hashes[k] == h
+                at, found = at[hit], vocab.ids[k[hit]]
+            if len(at):
+                bare[at[char[at] == l]] = False
+                begin.append(at)
+                length.append(np.full(len(at), l))
+                piece.append(found)
         at = np.flatnonzero(bare)  # characters that are no piece
         begin, length, piece = np.concatenate([*begin, at]), np.concatenate([*length, char[at]]), np.concatenate([*piece, np.full(len(at), -1, np.int32)])
-        begin, length = begin.astype(np.int32), length.astype(np.int32)
         order = np.argsort(begin, kind="stable")
-        self.begin, self.length, self.piece = begin[order], length[order], piece[order]
-        self.start = node[self.begin]
-        self.end = self.start + self.length
+        begin, self.length, self.piece = begin[order], length[order].astype(np.int32), piece[order]
+        self.start = node[begin]
+        end = self.start + self.length
         weight = np.where(self.piece < 0, vocab.byte_weight * self.length, vocab.weight[self.piece])
         nodes = n + len(size)
         degree = np.bincount(self.start, minlength=nodes)
@@ -165,29 +186,41 @@ class Lattice:
         # completion masses, all units at once, from their ends: edges by the bytes to the unit's end
         mass = np.full(nodes, -np.inf)
         mass[self.root + size] = 0
-        to_end = left[self.begin]
+        to_end = left[begin]
         if n and left.max() < 1 << 16:
             to_end = to_end.astype(np.uint16)  # sorted by digits, not by comparisons
         by = np.argsort(to_end, kind="stable")
         cuts = np.flatnonzero(np.r_[True, to_end[by][1:] != to_end[by][:-1]]) if len(by) else np.zeros(0, int)
-        for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+        for a, b in zip(cuts, np.append(cuts, len(by))[1:], strict=True):
             e = by[a:b]
-            x, s = weight[e] + mass[self.end[e]], self.start[e]
+            x, s = weight[e] + mass[end[e]], self.start[e]
             new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             top = np.maximum.reduceat(x, new)
             safe = np.where(np.isfinite(top), top, 0)
             with np.errstate(divide="ignore"):
                 mass[s[new]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, np.diff(np.append(new, len(e))))), new))
-        with np.errstate(invalid="ignore"):
-            self.p = np.nan_to_num(np.exp(weight + mass[self.end] - mass[self.start]))
-        total = np.cumsum(self.p)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.logp = weight + mass[end] - mass[self.start]
+            self.logp[np.isnan(self.logp)] = -np.inf
+            p = np.exp(self.logp)
+            self.rest = np.log(np.where(degree[self.start] == 1, 0, np.maximum(1 - p, 0)))
+        total = np.cumsum(p)
         before = np.append(0, total)[self.first[self.start]]
         # the share of a node's edges up to this one
         self.share = np.minimum(total - before, 1)
         self.share[self.first[1:][degree > 0] - 1] = 2
         self.stop = np.zeros(nodes, bool)
         self.stop[self.root + size] = True
-        self.single = (degree == 1)[self.start]
+
+    def with_units(self, other: Lattice) -> Lattice:
+        """This lattice with the units of another one behind its own."""
+        out, nodes, edges = object.__new__(Lattice), len(self.stop), len(self.piece)
+        for name in self.ARRAYS:
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name) + (np.int32(nodes) if name == "start" else 0)]))
+        out.root = np.concatenate([self.root, other.root + nodes])
+        out.first = np.concatenate([self.first, other.first[1:] + edges])
+        out.stop = np.concatenate([self.stop, other.stop])
+        return out
 
     def walk(self, node: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges from each node to its unit's end, drawn by their masses, and how many of each walker.
@@ -203,16 +236,46 @@ class Lattice:
                 on = on[self.share[e[on]] < u[on]]
             steps.append((who, e))
             count[who] += 1
-            at, where = self.end[e], where + self.length[e]
+            at, where = self.start[e] + self.length[e], where + self.length[e]
             going = ~self.stop[at]
             who, at, where = who[going], at[going], where[going]
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         base = np.cumsum(count) - count
         for k, (w, e) in enumerate(steps):
             out[base[w] + k] = e
         return out, count
 
 
+class Units:
+    """The lattices of the units that a task has met so far, up to `most` edges; those of other units are made for a block and dropped."""
+
+    def __init__(self, vocab: Vocabulary, most: int = MOST_EDGES):
+        self.vocab, self.most = vocab, most
+        self.lattice = Lattice(vocab, np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.hashes, self.numbers = np.zeros(0, U), np.zeros(0, np.int64)
+
+    def lattice_of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """A lattice that holds all these units, and the number of each in it."""
+        h, example, kind, seen = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True, return_counts=True)
+        number = np.full(len(h), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            number = np.where(self.hashes[at] == h, self.numbers[at], -1)
+        lattice, fresh = self.lattice, number < 0
+        for again in (True, False):  # units that a block repeats are worth keeping
+            new = np.flatnonzero(fresh & ((seen > 1) == again))
+            if not len(new):
+                continue
+            number[new] = len(lattice.root) + np.arange(len(new))
+            length = (end - begin)[example[new]]
+            lattice = lattice.with_units(Lattice(self.vocab, take_spans(data, begin[example[new]], length), np.cumsum(length) - length, length))
+            if again and len(lattice.piece) <= self.most:
+                self.lattice, hashes = lattice, np.concatenate([self.hashes, h[new]])
+                order = np.argsort(hashes)
+                self.hashes, self.numbers = hashes[order], np.concatenate([self.numbers, number[new]])[order]
+        return lattice, number[kind]
+
+
 def uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     """In (0, 1), by key and place."""
     return ((mix(key ^ (place.astype(U) * U(0xD6E8FEB86659FD93))) >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
@@ -224,163 +287,217 @@ def truncated(location: np.ndarray, bound: np.ndarray | float, u: np.ndarray) ->
         return -np.logaddexp(-bound, np.log(-np.log(u)) - location)
 
 
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (length[i] numbers) for all i, joined."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+@dataclass
+class Paths:
+    """The r-th samples of a block: steps bounds[i] .. bounds[i + 1] are text i's, none where it has no such sample.
+
+    Of each step its edge, the log mass before it, and the Gumbel maximum of its siblings; steps that a path shares with the
+    one it left have none, as their siblings stay with that one. value: the perturbed log p of each text's sample."""
+
+    edges: np.ndarray
+    bounds: np.ndarray
+    prefix: np.ndarray
+    z: np.ndarray
+    value: np.ndarray
+
+    def settle(self) -> None:
+        """The largest maximum of each text (top) and its first step (at)."""
+        many = np.diff(self.bounds)
+        some = np.flatnonzero(many)
+        self.top, self.at = np.full(len(many), -np.inf), np.zeros(len(many), np.int64)
+        if len(some):
+            self.top[some] = np.maximum.reduceat(self.z, self.bounds[some])
+            hit = np.flatnonzero(self.z == np.repeat(self.top, many))[::-1]
+            self.at[np.searchsorted(self.bounds, hit, "right") - 1] = hit
+
+
 class Sampler:
     """Samples of a block of texts (bytes with offsets)."""
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, off: np.ndarray):
-        self.vocab, size = vocab, np.diff(off)
+    def __init__(self, units: Units, data: np.ndarray, off: np.ndarray):
+        self.vocab, size = units.vocab, np.diff(off)
         self.some = np.flatnonzero(size)
         size = size[self.some] + 1
-        row = np.repeat(np.arange(len(self.some)), size - 1)
         self.off = np.append(0, np.cumsum(size))
-        self.data = np.empty(int(size.sum()), np.uint8)
-        self.data[self.off[:-1]] = 0x20
-        self.data[np.arange(len(data)) + row + 1] = data
-        d = self.data
+        self.data = d = np.full(int(self.off[-1]), 0x20, np.uint8)
+        inside = np.ones(len(d), bool)
+        inside[self.off[:-1]] = False
+        d[inside] = data
         begins = np.zeros(len(d), bool)
         if len(d):
             before = np.r_[np.uint8(0x0A), d[:-1]]
             begins = ((d == 0x20) & (before != 0x20)) | (d == 0x0A) | (before == 0x0A)
             begins[self.off[:-1]] = True
         self.unit = np.flatnonzero(begins)
-        end = np.append(self.unit[1:], len(d))
-        _, example, self.kind = np.unique(span_hashes(d, self.unit, end), return_index=True, return_inverse=True)
-        length = (end - self.unit)[example]
-        self.lattice = Lattice(vocab, take_spans(d, self.unit[example], length), np.cumsum(length) - length, length)
+        self.lattice, self.kind = units.lattice_of(d, self.unit, np.append(self.unit[1:], len(d)))
         self.first = np.searchsorted(self.unit, self.off)  # first unit of each text
         self.unit_row = np.repeat(np.arange(len(self.some)), np.diff(self.first))
 
-    def run(self, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-        """For each text with bytes: (edges, log p, perturbed log p, log inclusion) of up to k samples."""
+    def run(self, seeds: np.ndarray, k: int) -> tuple[list[Paths], np.ndarray]:
+        """The first to k-th samples of the texts with bytes, and each text's threshold of inclusion."""
         lat, n = self.lattice, len(self.some)
         seeds = seeds[self.some]
         key = lambda r, use: mix(seeds + U(2 * r + use))
         edges, count = lat.walk(lat.root[self.kind], key(0, 0)[self.unit_row], self.unit - self.off[self.unit_row])
-        steps = np.append(0, np.cumsum(count))[self.first]
-        paths = [[edges[a:b] for a, b in zip(steps[:-1], steps[1:], strict=True)]]
+        bounds = np.append(0, np.cumsum(count))[self.first]
         best = -np.log(-np.log(uniform(key(0, 1), np.zeros(n, np.int64))))
-        prefix, sets, top = self.siblings(edges, steps, np.zeros(n), best, key(0, 1))
-        prefixes, groups, tops = [prefix], [sets], [top]  # by path: of each text
-        out = [[(p, float(best[i]))] for i, p in enumerate(paths[0])]
+        paths = [Paths(edges, bounds, *self.siblings(edges, bounds, np.zeros(n), best, key(0, 1)), best)]
+        paths[0].settle()
+        used: list[dict[int, list[int]]] = [{}]  # by path and step: edges of earlier samples, the path's own apart
         for r in range(1, k):
-            chosen = np.argmax(np.stack(tops), axis=0)
-            value = np.stack(tops)[chosen, np.arange(n)]
+            tops = np.stack([p.top for p in paths])
+            chosen = np.argmax(tops, axis=0)
+            value = tops[chosen, np.arange(n)]
             live = np.flatnonzero(np.isfinite(value))
             if not len(live):
                 break
-            # the sibling that leads to the next sample, and the units that are left behind it
-            fresh, where, step = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
-            u, gone = uniform(key(r, 0)[live], np.full(len(live), -1)), []
+            old = [live[chosen[live] == j] for j in range(r)]  # the texts whose next sample leaves path j
+            own = [paths[j].at[x] for j, x in enumerate(old)]
+            order = np.argsort(np.concatenate(old), kind="stable")
+            joined = lambda parts: np.concatenate(parts)[order]
+            step, base = joined(own), joined([paths[j].bounds[x] for j, x in enumerate(old)])
+            path_of = joined([np.full(len(x), j) for j, x in enumerate(old)])
+            left = joined([paths[j].edges[x] for j, x in enumerate(own)])
+            before = joined([paths[j].prefix[x] for j, x in enumerate(own)])
+            # the sibling that leads to the next sample: one row a text, its node's edges that no sample took
+            a = lat.first[lat.start[left]]
+            degree = lat.first[lat.start[left] + 1] - a
+            edge = a[:, None] + np.arange(int(degree.max()))
+            inside = edge < (a + degree)[:, None]
+            mass = np.where(inside & (edge != left[:, None]), np.exp(lat.logp[np.where(inside, edge, a[:, None])]), 0)
+            taken = np.ones(len(live), np.int64)
+            for j in range(r):
+                for x in np.flatnonzero(path_of == j) if used[j] else ():
+                    gone = used[j].get(int(step[x]), [])
+                    mass[x, np.array(gone, np.int64) - a[x]] = 0
+                    taken[x] += len(gone)
+            total = np.cumsum(mass, axis=1)
+            u = uniform(key(r, 0)[live], np.full(len(live), -1))
+            last = mass.shape[1] - 1 - np.argmax(mass[:, ::-1] > 0, axis=1)
+            fresh = np.minimum((total <= (u * total[:, -1])[:, None]).sum(1), last)
+            rest = mass.sum(1) - mass[np.arange(len(live)), fresh]
+            fresh += a
             again = uniform(key(r, 1)[live], np.full(len(live), -2))
-            for x, i in enumerate(live):
-                j = chosen[i]
-                z, taken = groups[j][i]
-                t = int(np.argmax(z))
-                path, pre = paths[j][i], prefixes[j][i]
-                used = taken.setdefault(t, [int(path[t])])
-                a, b = int(lat.first[lat.start[path[t]]]), int(lat.first[lat.start[path[t]] + 1])
-                mass = lat.p[a:b].copy()
-                mass[[q - a for q in used]] = 0
-                total = np.cumsum(mass)
-                e = a + min(int(np.searchsorted(total, u[x] * total[-1], "right")), int(np.flatnonzero(mass)[-1]))
-                used.append(e)
-                rest = mass.sum() - mass[e - a]
-                z[t] = truncated(np.array(pre[t] + np.log(rest)), value[i], again[x : x + 1])[0] if len(used) < b - a and rest > 0 else -np.inf
-                tops[j][i] = z.max()
-                gone.append((path[:t], pre[t]))
-                fresh[x], step[x] = e, t
-                where[x] = int(lat.length[path[:t]].sum())
+            with np.errstate(divide="ignore"):
+                z = truncated(before + np.log(rest), value[live], again)
+            z[(taken + 1 >= degree) | (rest <= 0)] = -np.inf
+            for j in range(r):
+                x = np.flatnonzero(path_of == j)
+                if len(x):
+                    paths[j].z[step[x]] = z[x]
+                    paths[j].settle()
+                    if r + 1 < k:
+                        for t, e in zip(step[x].tolist(), fresh[x].tolist(), strict=True):
+                            used[j].setdefault(t, []).append(e)
             # walkers: the rest of the unit, then the units behind it
+            kept = step - base
+            heads = [ragged(paths[j].bounds[x], y - paths[j].bounds[x]) for j, (x, y) in enumerate(zip(old, own, strict=True))]
+            shared = np.concatenate([paths[j].edges[x] for j, x in enumerate(heads)])
+            rows = np.repeat(np.argsort(order), kept[np.argsort(order)])  # of `shared`, which is in the order of `old`
+            where = np.bincount(rows, lat.length[shared], minlength=len(live)).astype(np.int64)
             at = self.off[live] + where
             unit = np.searchsorted(self.unit, at, "right") - 1
             many = self.first[live + 1] - unit
-            walker = take_spans(np.arange(len(self.unit)), unit, many)
+            walker = ragged(unit, many)
             node, place = lat.root[self.kind[walker]], self.unit[walker] - np.repeat(self.off[live], many)
             front = np.cumsum(many) - many
-            node[front], place[front] = lat.end[fresh], where + lat.length[fresh]
+            node[front], place[front] = lat.start[fresh] + lat.length[fresh], where + lat.length[fresh]
             new, count = lat.walk(node, np.repeat(key(r, 0)[live], many), place)
-            bounds = np.append(0, np.cumsum(count))[np.append(front, len(walker))]
+            ends = np.append(0, np.cumsum(count))[np.append(front, len(walker))]
             # the new steps' siblings: their prefix begins behind the chosen one
-            start = np.array([pre for _, pre in gone]) + np.log(lat.p[fresh])
-            prefix, sets, top = self.siblings(new, bounds, start, value[live], key(r, 1)[live])
-            paths.append([None] * n)
-            prefixes.append([None] * n)
-            groups.append([None] * n)
-            tops.append(np.full(n, -np.inf))
-            for x, i in enumerate(live):
-                before = gone[x][0]
-                paths[r][i] = np.concatenate([before, fresh[x : x + 1], new[bounds[x] : bounds[x + 1]]])
-                # steps before the new ones stay with the path that they came from
-                blank = np.full(len(before) + 1, -np.inf)
-                prefixes[r][i] = np.concatenate([blank, prefix[x]])
-                groups[r][i] = (np.concatenate([blank, sets[x][0]]), {})
-                tops[r][i] = top[x]
-                out[i].append((paths[r][i], float(value[i])))
-        threshold = np.max(np.stack(tops), axis=0) if n else np.zeros(0)
-        done = []
-        for i, samples in enumerate(out):
-            rows = []
-            for path, perturbed in samples:
-                logp = float(np.log(lat.p[path]).sum())
-                rows.append((path, logp, perturbed, log_inclusion(logp, threshold[i])))
-            done.append(rows)
-        return done
-
-    def siblings(self, edges: np.ndarray, bounds: np.ndarray, start: np.ndarray, bound: np.ndarray, key: np.ndarray):
-        """Of each text's steps: the log mass before them, their siblings' Gumbel maxima, and the largest of these."""
-        lat, many = self.lattice, np.diff(bounds)
-        with np.errstate(divide="ignore"):
-            logp = np.log(lat.p[edges])
-            rest = np.log(np.where(lat.single[edges], 0, np.maximum(1 - lat.p[edges], 0)))
+            prefix, z = self.siblings(new, ends, before + lat.logp[fresh], value[live], key(r, 1)[live])
+            size = np.zeros(n, np.int64)
+            size[live] = kept + 1 + np.diff(ends)
+            bounds = np.append(0, np.cumsum(size))
+            path = Paths(np.empty(bounds[-1], np.int32), bounds, np.full(bounds[-1], -np.inf), np.full(bounds[-1], -np.inf), np.where(np.isfinite(value), value, np.nan))
+            begin = bounds[live]
+            path.edges[ragged(begin, kept)] = shared[np.argsort(rows, kind="stable")]
+            path.edges[begin + kept] = fresh
+            tail = ragged(begin + kept + 1, np.diff(ends))
+            path.edges[tail], path.prefix[tail], path.z[tail] = new, prefix, z
+            path.settle()
+            paths.append(path)
+            used.append({})
+        return paths, np.max(np.stack([p.top for p in paths]), axis=0) if n else np.zeros(0)
+
+    def siblings(self, edges: np.ndarray, bounds: np.ndarray, start: np.ndarray, bound: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text's steps: the log mass before them and their siblings' Gumbel maxima."""
+        many = np.diff(bounds)
+        logp = self.lattice.logp[edges]
         total = np.cumsum(logp)
         origin = np.append(0, total)[bounds[:-1]]
         prefix = total - logp - np.repeat(origin - start, many)
         step = np.arange(len(edges)) - np.repeat(bounds[:-1], many)
-        z = truncated(prefix + rest, np.repeat(bound, many), uniform(np.repeat(key, many), step + 1))
-        top = np.full(len(many), -np.inf)
-        full = np.flatnonzero(many)
-        if len(full):
-            top[full] = np.maximum.reduceat(z, bounds[:-1][full])
-        cut = lambda x: [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return cut(prefix), [(x, {}) for x in cut(z)], top
-
-    def ids(self, path: np.ndarray, at: int) -> np.ndarray:
-        """The piece ids of a path of the text that begins at this byte."""
-        lat = self.lattice
-        piece = lat.piece[path]
-        if not (piece < 0).any():
-            return piece
-        size = np.where(piece < 0, lat.length[path], 1)
-        out = np.repeat(piece, size)
-        where = at + np.cumsum(lat.length[path]) - lat.length[path]
+        z = np.full(len(edges), -np.inf)
+        some = np.flatnonzero(np.isfinite(rest := self.lattice.rest[edges]))
+        row = np.repeat(np.arange(len(many)), many)[some]
+        z[some] = truncated(prefix[some] + rest[some], bound[row], uniform(key[row], step[some] + 1))
+        return prefix, z
+
+    def ids(self, path: Paths) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of the paths, and their bounds."""
+        lat, text = self.lattice, np.repeat(np.arange(len(path.bounds) - 1), np.diff(path.bounds))
+        piece, length = lat.piece[path.edges], lat.length[path.edges]
         raw = np.flatnonzero(piece < 0)
-        spread = np.repeat(piece < 0, size)
-        out[spread] = self.vocab.byte_ids[take_spans(self.data, where[raw], size[raw])]
-        return out
-
-
-def log_inclusion(logp: float, threshold: float) -> float:
+        if not len(raw):
+            return piece, path.bounds
+        size = np.ones(len(piece), np.int64)
+        size[raw] = length[raw]
+        ends = np.append(0, np.cumsum(length))
+        where = ends[raw] - ends[path.bounds[text[raw]]] + self.off[text[raw]]
+        out = np.repeat(piece, size)
+        out[out < 0] = self.vocab.byte_ids[take_spans(self.data, where, size[raw])]
+        return out, np.append(0, np.cumsum(size))[path.bounds]
+
+    def exact(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether decoding gives each text back (true for texts without such a sample)."""
+        begin, size = self.vocab.offsets[ids], self.vocab.offsets[ids + 1] - self.vocab.offsets[ids]
+        ends = np.append(0, np.cumsum(size))[bounds]
+        there = np.diff(bounds) > 0
+        same = ~there | (np.diff(ends) == np.diff(self.off))
+        # the bytes of texts whose lengths agree are compared
+        text = np.flatnonzero(there & same)
+        got = take_spans(self.vocab.data, begin, size)
+        length = np.diff(self.off)[text]
+        differ = take_spans(got, ends[text], length) != take_spans(self.data, self.off[text], length)
+        same[np.repeat(text, length)[differ]] = False
+        return same
+
+
+def log_inclusion(logp: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     """log P(perturbed log p > threshold)."""
-    if threshold == -np.inf:
-        return 0.0
-    x = logp - threshold
-    rate = np.exp(min(x, 700.0))
-    return float(np.log(-np.expm1(-rate))) if rate > 1e-12 else float(x)
+    x = np.where(np.isfinite(threshold), logp - threshold, np.inf)
+    rate = np.exp(np.minimum(x, 700.0))
+    with np.errstate(divide="ignore"):
+        return np.where(np.isfinite(threshold), np.where(rate > 1e-12, np.log(-np.expm1(-rate)), x), 0.0)
 
 
-def sample_block(vocab: Vocabulary, keys: np.ndarray, column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float, bool]]:
-    """(row, rank, ids, log p, perturbed, log inclusion, whether decoding gives the text back)."""
+def sample_block(units: Units, keys: np.ndarray, column: pa.Array, k: int) -> dict[str, np.ndarray | list[np.ndarray]]:
+    """Of every sample, by row and rank: row, rank, ids, log_prob, perturbed, log_inclusion and exact (decoding gives the text back)."""
     data, off = bytes_of(column)
-    s = Sampler(vocab, data, off)
-    found = s.run(keys, k)
     empty = np.flatnonzero(np.diff(off) == 0)
-    for i in empty:
-        yield int(i), 1, np.zeros(0, np.int32), 0.0, float(-np.log(-np.log(uniform(keys[i : i + 1], np.zeros(1, np.int64)))[0])), 0.0, True
-    for x, (i, samples) in enumerate(zip(s.some, found, strict=True)):
-        raw = data[off[i] : off[i + 1]].tobytes()
-        for rank, (path, logp, perturbed, inclusion) in enumerate(samples, 1):
-            ids = s.ids(path, int(s.off[x]))
-            yield int(i), rank, ids, logp, perturbed, inclusion, vocab.decode(ids) == raw
+    s = Sampler(units, data, off)
+    paths, threshold = s.run(keys, k)
+    first = -np.log(-np.log(uniform(keys[empty], np.zeros(len(empty), np.int64))))
+    parts = [(empty, np.ones(len(empty), np.int32), np.zeros(len(empty)), first, np.zeros(len(empty)), np.ones(len(empty), bool))]
+    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(empty)
+    for rank, path in enumerate(paths, 1):
+        has = np.flatnonzero(np.diff(path.bounds))
+        own, bounds = s.ids(path)
+        logp = np.add.reduceat(s.lattice.logp[path.edges], path.bounds[has]) if len(has) else np.zeros(0)
+        parts.append((s.some[has], np.full(len(has), rank, np.int32), logp, path.value[has], log_inclusion(logp, threshold[has]), s.exact(own, bounds)[has]))
+        ids += [own[a:b] for a, b in zip(bounds[has].tolist(), bounds[has + 1].tolist(), strict=True)]
+    row, rank, logp, perturbed, inclusion, exact = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((rank, row))
+    return {
+        "row": row[order], "rank": rank[order], "ids": [ids[i] for i in order.tolist()], "log_prob": logp[order], "perturbed": perturbed[order],
+        "log_inclusion": inclusion[order], "exact": exact[order],
+    }
 
 
 def seeds_of(ids: pa.Array) -> np.ndarray:
@@ -396,14 +513,17 @@ def segmentations(docs: DataFrame, vocab: Vocabulary, k: int = K, digest: bool =
     name, kind = ("pieces_sha256", "string") if digest else ("ids", "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(sent.value)
         for part in blocks(batches, "text", BLOCK):
-            rows = []
-            for i, rank, ids, *rest in sample_block(sent.value, seeds_of(part.column(0)), part.column(1), k):
-                rows.append((i, rank, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() if digest else ids, *rest))
-            i, rank, n, out, logp, perturbed, inclusion, exact = zip(*rows, strict=True)
+            found = sample_block(units, seeds_of(part.column(0)), part.column(1), k)
+            ids = found["ids"]
+            if digest:
+                out = pa.array([hashlib.sha256(x.astype("<i4", copy=False)).hexdigest() for x in ids], pa.string())
+            else:
+                out = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(i)), pa.array(rank, pa.int32()), pa.array(n, pa.int64()), pa.array(out, pa.string() if digest else pa.list_(pa.int32())),
-                 pa.array(logp), pa.array(perturbed), pa.array(inclusion), pa.array(exact)],
+                [part.column(0).take(pa.array(found["row"])), pa.array(found["rank"]), pa.array([len(x) for x in ids], pa.int64()), out,
+                 *(pa.array(found[c]) for c in ("log_prob", "perturbed", "log_inclusion", "exact"))],
                 ["doc_id", "rank", "n_pieces", name, "log_prob", "perturbed", "log_inclusion", "exact"],
             )
 
