@@ -98,7 +98,9 @@ CACHE_HEADERS = {
 }
 #: how marks in a tracker begin, so that tasks exported before are found again
 MARK = "seoaudit-"
-COVERAGE_TOLERANCE, PAGE_SIZE, PAGE_MOST = 0.25, 50, 200
+COVERAGE_TOLERANCE, PAGE_SIZE, PAGE_MOST, RUNS_MOST = 0.25, 50, 200, 50
+#: states of a site, in words
+STATES = {"pending": "waiting", "discovering": "looking for pages", "fetching": "loading pages", "done": "done", "error": "failed"}
 # end of fixed values ----------------------------------------------------------------------------
 
 
@@ -121,5 +123,5 @@ def weight(severity: Column) -> Column:
 
 def sql_case(key: str, values: dict, other: str = "NULL") -> str:
     """The same as SQL text, for oracles."""
-    q = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    q = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return f"CASE {key} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in values.items()) + f" ELSE {other} END"

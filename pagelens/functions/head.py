@@ -9,7 +9,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 # fixed values -----------------------------------------------------------------------------------
 HIDDEN = {"script", "style", "template", "svg", "noscript"}
 BLOCKS = {"p", "div", "br", "li", "tr", "td", "th", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+OG = {"og_url", "og_title", "og_description", "og_locale", "og_image", "og_type"}
 TEXT_MOST, SAMPLE_MOST, LINKS_MOST, LEVELS_MOST = 200_000, 1500, 3000, 200
 # end of fixed values ----------------------------------------------------------------------------
 
@@ -41,24 +42,31 @@ def _types(node: object, out: list[str]) -> None:
         x = stack.pop()
         if isinstance(x, dict):
             t = x.get("@type")
-            out += [t] if isinstance(t, str) else [v for v in t if isinstance(v, str)] if isinstance(t, list) else []
+            out += [t] if isinstance(t, str) else [str(v) for v in t] if isinstance(t, list) else []
             stack += reversed(list(x.values()))
         elif isinstance(x, list):
             stack += reversed(x)
 
 
 class _Reader(HTMLParser):
-    def __init__(self, url: str, origin: str):
+    """Attribute values are squeezed; of fields that a page may give twice the first that says something counts."""
+
+    def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.origin = url, origin
+        self.url = url
+        at = urlsplit(url)
+        self.origin = f"{at.scheme}://{at.netloc}" if at.scheme and at.netloc else ""
         self.h: dict = dict.fromkeys(_TEXT, "") | {
             "title_count": 0, "description_count": 0, "canonical_all": [], "robots_all": [], "hreflang": [], "h1": [], "text_len": 0, "word_count": 0, "links_internal": [],
             "links_external": 0, "links_internal_total": 0, "heading_levels": [], "images_total": 0, "images_no_alt": 0, "json_ld_types": [], "has_noscript_only": False,
         }
         self.open: list[str] = []
-        self.taking: dict[str, list[str]] = {}
+        self.title: list[str] | None = None
+        self.ld: list[str] | None = None
+        self.h1: list[str] = []
+        self.h1_open = 0
         self.text: list[str] = []
-        self.used = 0
+        self.left = TEXT_MOST
 
     def first(self, field: str, value: str) -> None:
         if value and not self.h[field]:
@@ -69,53 +77,45 @@ class _Reader(HTMLParser):
         h = self.h
         self.open.append(tag)
         if tag == "html":
-            self.first("html_lang", a.get("lang", "").strip())
+            self.first("html_lang", _squeeze(a.get("lang", "")))
         elif tag == "title":
             h["title_count"] += 1
-            self.taking["title"] = []
+            self.title = []
         elif tag == "meta":
-            self.meta(a)
+            self.meta({k: _squeeze(v) for k, v in a.items()})
         elif tag == "link":
             self.link(a)
         elif tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
-            self.taking["ld"] = []
+            self.ld = []
         elif tag == "img":
             h["images_total"] += 1
-            h["images_no_alt"] += not a.get("alt", "").strip()
+            h["images_no_alt"] += not _squeeze(a.get("alt", ""))
         elif tag == "a":
             self.anchor(a.get("href", "").strip())
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             if tag == "h1":
-                self.taking["h1"] = []
+                self.h1, self.h1_open = [], self.h1_open + 1
             if tag == "h1" or len(h["heading_levels"]) < LEVELS_MOST:
                 h["heading_levels"].append(int(tag[1]))
 
     def anchor(self, href: str) -> None:
         if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
             return
-        try:
-            full = urljoin(self.url, href)
-        except ValueError:
-            return
+        full = urljoin(self.url, href)
         if self.origin and full.startswith(self.origin):
             self.h["links_internal_total"] += 1
             if len(self.h["links_internal"]) < LINKS_MOST:
                 self.h["links_internal"].append(full)
-        elif full.startswith("http"):
+        elif full.startswith(("http://", "https://")):
             self.h["links_external"] += 1
 
     def meta(self, a: dict[str, str]) -> None:
-        name, prop, content = a.get("name", "").strip().lower(), a.get("property", "").strip().lower(), a.get("content", "").strip()
+        name, prop, content = a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", "")
         h = self.h
-        if a.get("charset", "").strip():
-            self.first("charset", a["charset"].strip())
-        elif a.get("http-equiv", "").strip().lower() == "content-type" and "charset=" in content.lower():
-            self.first("charset", content.lower().split("charset=")[1].split(";")[0].strip())
-        if a.get("http-equiv", "").strip().lower() == "content-language":
-            self.first("html_lang", content)
+        self.first("charset", a.get("charset", ""))
         if name == "description":
             h["description_count"] += 1
-            self.first("description", _squeeze(content))
+            self.first("description", content)
         elif name == "robots":
             h["robots_all"].append(content)
             self.first("robots", content)
@@ -124,72 +124,83 @@ class _Reader(HTMLParser):
         elif name == "generator":
             self.first("generator", content)
         for key in (prop, name):
-            if key.startswith("og:") and (field := f"og_{key[3:]}") in ("og_url", "og_title", "og_description", "og_locale", "og_image", "og_type"):
+            if key.startswith("og:") and (field := f"og_{key[3:]}") in OG:
                 self.first(field, content)
+        if a.get("http-equiv", "").lower() == "content-language":
+            self.first("html_lang", content)
 
     def link(self, a: dict[str, str]) -> None:
         rel, href = a.get("rel", "").lower().split(), a.get("href", "").strip()
-        if not href:
-            return
-        try:
-            full = urljoin(self.url, href)
-        except ValueError:
+        if not rel or not href:
             return
         if "canonical" in rel:
+            full = urljoin(self.url, href)
             self.h["canonical_all"].append(full)
             self.first("canonical", full)
-        if "alternate" in rel and a.get("hreflang", "").strip():
-            pair = {"lang": a["hreflang"].strip(), "href": full}
+        if "alternate" in rel and a.get("hreflang"):
+            pair = {"lang": _squeeze(a["hreflang"]).lower(), "href": urljoin(self.url, href)}
             if pair not in self.h["hreflang"]:
                 self.h["hreflang"].append(pair)
 
     def handle_endtag(self, tag):
-        if tag == "title" and "title" in self.taking:
-            self.first("title", _squeeze("".join(self.taking.pop("title"))))
-        elif tag == "h1" and "h1" in self.taking:
-            if text := _squeeze("".join(self.taking.pop("h1"))):
+        if tag == "title" and self.title is not None:
+            self.first("title", _squeeze("".join(self.title)))
+            self.title = None
+        elif tag == "h1" and self.h1_open:
+            self.h1_open -= 1
+            if text := _squeeze("".join(self.h1)):
                 self.h["h1"].append(text)
-        elif tag == "script" and "ld" in self.taking:
+        elif tag == "script" and self.ld is not None:
+            raw, self.ld = "".join(self.ld).strip(), None
             try:
-                _types(json.loads("".join(self.taking.pop("ld"))), self.h["json_ld_types"])
-            except ValueError:
+                _types(json.loads(raw), self.h["json_ld_types"])
+            except (ValueError, RecursionError):
                 pass
-        if tag in BLOCKS:
+        if tag in BLOCKS and self.left > 0:
             self.text.append(" ")
         while self.open:
             if self.open.pop() == tag:
                 break
 
     def handle_data(self, data):
-        for part in self.taking.values():
-            part.append(data)
-        if not HIDDEN.intersection(self.open[-3:]) and self.used < TEXT_MOST:
-            self.text.append(data[: TEXT_MOST - self.used])
-            self.used += len(data)
+        if self.title is not None:
+            self.title.append(data)
+        if self.ld is not None:
+            self.ld.append(data)
+            return
+        if self.h1_open:
+            self.h1.append(data)
+        if self.left > 0 and not HIDDEN.intersection(self.open[-3:]):
+            self.text.append(data)
+            self.left -= len(data)
 
 
-def read_head(html: str | None, url: str | None, origin: str | None) -> dict:
-    r = _Reader(url or "", origin or "")
+def read_head(html: str | None, url: str | None) -> dict:
+    """HEAD of a page as a dictionary. What the parser can't read ends the reading; what was read until then stays."""
     try:
-        r.feed(html or "")
-        r.close()
-    except Exception:  # noqa: BLE001  a page that can't be read keeps what was read of it
-        pass
+        r = _Reader(url or "")
+    except ValueError:  # the address itself can't be split
+        r = _Reader("")
+    for step in (lambda: r.feed(html or ""), r.close):
+        try:
+            step()
+        except Exception:  # noqa: BLE001  the parser raises what it likes
+            pass
     text = _squeeze("".join(r.text))
     r.h |= {"text_sample": text[:SAMPLE_MOST], "text_len": len(text), "word_count": sum(any(map(str.isalnum, w)) for w in text.split())}
     return r.h
 
 
-def _heads(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _heads(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in HEAD.split(", ")]
-    for html, url, origin in parts:
-        rows = [read_head(*x) for x in zip(html, url, origin, strict=True)]
+    for html, url in parts:
+        rows = [read_head(*x) for x in zip(html, url, strict=True)]
         yield pd.DataFrame({n: [r[n] for r in rows] for n in names}, columns=names)
 
 
-def extract_head(html, url, origin) -> Column:
+def extract_head(html, url) -> Column:
     """HEAD of a page. Not deterministic to the planner, so that no filter makes it run a second time."""
-    return F.pandas_udf(_heads, HEAD).asNondeterministic()(html, url, origin)
+    return F.pandas_udf(_heads, HEAD).asNondeterministic()(html, url)
 
 
 def _entities(x: Column) -> Column:

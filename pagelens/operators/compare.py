@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import dims as D
@@ -25,6 +25,25 @@ def compare_runs(found: DataFrame, before: int, after: int) -> DataFrame:
     return both.select("host", "rule", kind.alias("kind"), v.url.alias("url"), v.severity.alias("severity"), v.layer.alias("layer"), v.message.alias("message"))
 
 
+def change_order() -> list[Column]:
+    return [D.rank(F.col("severity")).asc(), F.asc("layer"), F.asc("rule"), F.asc("host"), F.asc("url")]
+
+
+def top_changes(changes: DataFrame, most: int = 50) -> DataFrame:
+    """Of each kind the first changes in their order, with position and the total of the kind."""
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(*change_order())).cast("long")
+    return changes.withColumn("position", place).where(F.col("position") <= most).join(F.broadcast(changes.groupBy("kind").agg(F.count("*").alias("total"))), "kind")
+
+
+def morning_report(found: DataFrame, pages: DataFrame, scores: DataFrame, before: int, after: int) -> DataFrame:
+    """What a scheduled run tells: one row a host that both runs saw, those with new findings first; a host of one run only says so."""
+    told = compare_summary(compare_runs(found, before, after), pages, scores, before, after)
+    one = (F.col("before_pages") == 0) | (F.col("after_pages") == 0)
+    said = F.when(one, F.lit("only one run: nothing to compare")).when(~F.col("reliable"), F.concat(F.lit("fewer pages than before, compare with care: "), "summary")).otherwise(F.col("summary"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("appeared_weight"), F.desc("appeared"), "host")).cast("long")
+    return told.select("host", "fixed", "remains", "appeared", "appeared_weight", F.concat("host", F.lit(": "), said).alias("line")).withColumn("position", place)
+
+
 def compare_summary(changes: DataFrame, pages: DataFrame, scores: DataFrame, before: int, after: int) -> DataFrame:
     """Per host: counts and weights by kind, scores, and whether the later run covers enough pages to be believed."""
     kinds = ["fixed", "remains", "appeared"]

@@ -12,6 +12,7 @@ from pagelens.functions import urls as N
 from pagelens.operators.page_rules import flat_pages, page_findings
 from pagelens.operators.site_rules import site_findings
 from pagelens.sources.crawl import crawl_tables
+from pagelens.sources.store import stored
 
 
 def score_of(severity="severity", effort="effort") -> Column:
@@ -33,7 +34,7 @@ def touched(found="evidence", url="url") -> Column:
     """Every url of a finding: its own first, then those of its evidence."""
     e = F.col(found)
     none = F.array().cast("array<string>")
-    lists = [F.coalesce(e[k], none) for k in ("urls", "orphans", "targets")]
+    lists = [F.coalesce(e[k], none) for k in ("urls", "orphans", "targets", "dead")]
     deep = F.coalesce(F.transform(e["pages"], lambda p: p.url), none)
     examples = F.coalesce(F.flatten(F.map_values(e["examples"])), none)
     return F.array_distinct(F.filter(F.concat(F.array(F.col(url)), *lists, deep, examples), lambda u: u != ""))
@@ -48,17 +49,18 @@ class Audit:
     findings: DataFrame
 
 
-_made: dict[tuple[int, str], Audit] = {}
+_made: dict[tuple[str, str], Audit] = {}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> Audit:
-    """The planted crawl of a folder and its findings; kept for the session, as an audit's stored tables would be."""
-    key = (id(spark.sparkContext), sf_dir)
+    """The planted crawl of a folder and its findings, as tables stored once an application: the parse is the dear part, and a
+    stored table outlives its executors."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
         runs, sites, pages = crawl_tables(spark, sf_dir)
-        pages, sites = pages.persist(), sites.persist()
-        flat = flat_pages(pages).persist()
-        _made[key] = Audit(runs, sites, pages, flat, analyse(flat, sites).persist())
+        pages, sites = stored(pages, "pages"), stored(sites, "sites")
+        flat = stored(flat_pages(pages), "flat")
+        _made[key] = Audit(runs, sites, pages, flat, stored(analyse(flat, sites), "findings"))
     return _made[key]
 
 

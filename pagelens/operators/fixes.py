@@ -58,6 +58,21 @@ def fix_plan(found: DataFrame, flat: DataFrame) -> DataFrame:
     return j.withColumn("_n", first).where("_n = 1").drop("_n", "key", "sure")
 
 
+def fix_order() -> list[Column]:
+    return [F.desc("ready"), F.asc("url"), F.asc("field"), F.asc("site_id")]
+
+
+def only_ready(fixes: DataFrame) -> DataFrame:
+    """Fixes that can be put in place without a person."""
+    return fixes.where("ready")
+
+
+def fixes_screen(fixes: DataFrame, most: int = 80) -> DataFrame:
+    """Of every run the first fixes in their order, with position."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(*fix_order())).cast("long")
+    return fixes.withColumn("position", place).where(F.col("position") <= most)
+
+
 def fix_summary(fixes: DataFrame) -> DataFrame:
     by = [F.count_if(F.col("field") == k).alias(k) for k in ("meta_title", "meta_description", "canonical_url")]
     return fixes.groupBy("run_id", "site_id").agg(F.count("*").alias("total"), F.count_if("ready").alias("ready"), F.count_if(~F.col("ready")).alias("needs_review"), F.countDistinct("url").alias("pages"), *by)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as N
+from pagelens.sources.store import stored
 
 SITE = ["run_id", "site_id"]
 KEEP = 16
@@ -41,11 +42,10 @@ def click_depth(flat: DataFrame) -> DataFrame:
     stored, so that lineage stays short, and so is all that was seen, every KEEP steps. Sites take
     as many steps as the deepest of them; it ends when no site has a page left to reach.
     """
-    keep = (lambda df: df.checkpoint()) if _can_checkpoint(flat.sparkSession) else (lambda df: df.localCheckpoint())
+    keep = lambda df: stored(df, "walk")
     pages = flat.where("page_url != ''").select(*SITE, N.graph_key("page_url").alias("key"), N.is_root("page_url").alias("root")).groupBy(*SITE, "key").agg(F.max("root").alias("root"))
     links = edges(flat).select(*SITE, N.graph_key("src").alias("src"), "key").join(pages.select(*SITE, "key"), [*SITE, "key"]).distinct()
     links = keep(links)
-    parts = links.rdd.getNumPartitions()
     seen = pages.where("root").select(*SITE, "key", F.lit(0).alias("depth"))
     front = seen
     for depth in itertools.count(1):
@@ -55,8 +55,4 @@ def click_depth(flat: DataFrame) -> DataFrame:
             return seen
         seen, front = seen.unionByName(step), step
         if depth % KEEP == 0:
-            seen = keep(seen.coalesce(parts))
-
-
-def _can_checkpoint(spark) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+            seen = keep(seen)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pagelens.functions import dims as D
 from pagelens.functions import text as T
 from pagelens.functions import urls as N
+from pagelens.functions.advice import ADVICE
 
 _FIELDS = {
-    "urls": "array<string>", "orphans": "array<string>", "targets": "array<string>", "pages": "array<struct<url:string,depth:int>>", "section": "string", "value": "string",
+    "urls": "array<string>", "orphans": "array<string>", "targets": "array<string>", "dead": "array<string>", "pages": "array<struct<url:string,depth:int>>",
+    "section": "string", "post_type": "string", "cluster": "string", "value": "string",
     "canonical": "string", "count": "bigint", "examples": "map<string,array<string>>", "levels": "array<int>", "values": "array<string>",
 }
 
@@ -21,12 +23,14 @@ def evidence(**found: Column) -> Column:
     return F.struct(*[found.get(k, F.lit(None)).cast(t).alias(k) for k, t in _FIELDS.items()])
 
 
-def finding(rule: str, url: Column, message: Column | None = None, detail: str = "", **found: Column) -> Column:
+def finding(rule: str, url: Column, number: Column | None = None, **found: Column) -> Column:
+    """A finding of this rule; `number` goes into its message."""
     layer, severity, effort, fixable = D.RULES[rule]
-    said = message if message is not None else F.lit(rule.replace(".", ": ").replace("_", " "))
+    said, detail = ADVICE[rule]
+    message = F.lit(said) if number is None else F.concat(F.lit(f"{said}: "), number.cast("string"))
     return F.struct(
         F.lit(rule).alias("rule"), F.lit(layer).alias("layer"), F.lit(severity).alias("severity"), F.lit(effort).alias("effort"), url.alias("url"),
-        said.alias("message"), F.lit(detail).alias("detail"), F.lit(fixable).alias("fixable"), evidence(**found).alias("evidence"),
+        message.alias("message"), F.lit(detail).alias("detail"), F.lit(fixable).alias("fixable"), evidence(**found).alias("evidence"),
     )
 
 
@@ -60,9 +64,15 @@ def flat_pages(pages: DataFrame, judge_error_pages: bool = True) -> DataFrame:
 
 
 def with_target_lang(flat: DataFrame) -> DataFrame:
-    """Adds target_base: the language that the page at the canonical address declares."""
-    by = flat.select("run_id", "site_id", N.rstrip("page_url").alias("_key"), F.col("lang_base").alias("target_base")).where("_key != ''")
-    return flat.withColumn("_key", F.when(F.col("canonical") != "", N.rstrip("canonical"))).join(by, ["run_id", "site_id", "_key"], "left").drop("_key")
+    """Adds target_base: the language that the page at the canonical address declares; its slashes at the end don't matter,
+    and where no such page is known the very address is looked for."""
+    by = flat.select("run_id", "site_id", N.rstrip("page_url").alias("_key"), F.col("page_url").alias("_exact"), F.col("lang_base").alias("target_base")).where("_key != ''")
+    loose = by.select("run_id", "site_id", "_key", "target_base")
+    exact = by.where("_exact != _key").groupBy("run_id", "site_id", F.col("_exact").alias("_url")).agg(F.first("target_base").alias("_target"))
+    out = flat.withColumn("_key", F.when(F.col("canonical") != "", N.rstrip("canonical"))).join(loose, ["run_id", "site_id", "_key"], "left")
+    # an address without its slashes is the key of the page itself, so only an odd one needs the second look
+    odd = F.when(F.col("target_base").isNull() & (F.col("canonical") != ""), F.col("canonical"))
+    return out.withColumn("_url", odd).join(exact, ["run_id", "site_id", "_url"], "left").withColumn("target_base", F.coalesce("target_base", "_target")).drop("_key", "_url", "_target")
 
 
 def own() -> Column:
@@ -75,7 +85,7 @@ def rule_status(p=None) -> list[Column]:
     seen = ~lost
     return [
         F.when(lost, finding("http.unreachable", url)),
-        F.when(seen & (s >= 500), finding("http.server_error", url, F.concat(F.lit("server answers "), s.cast("string")))),
+        F.when(seen & (s >= 500), finding("http.server_error", url, s)),
         F.when(seen & (s == 404) & (F.col("source") == "sitemap"), finding("http.404_in_sitemap", url)),
         F.when(seen & (s >= 400) & (s < 500) & ~s.isin(401, 403) & ~((s == 404) & (F.col("source") == "sitemap")), finding("http.client_error", url)),
         F.when(seen & (F.col("redirects") >= 3), finding("http.redirect_chain", url)),
@@ -114,8 +124,8 @@ def _length_rules(field: str, least: int, most: int) -> list[Column]:
     return [
         F.when(F.col(f"{field}_count") > 1, finding(f"{field}.duplicate_tag", own(), count=F.col(f"{field}_count"))),
         F.when(n == 0, finding(f"{field}.missing", own())),
-        F.when((n > 0) & (n < least), finding(f"{field}.too_short", own(), F.concat(F.lit(f"{field} is short: "), n.cast("string")), value=F.col(field))),
-        F.when(n > most, finding(f"{field}.too_long", own(), F.concat(F.lit(f"{field} is long: "), n.cast("string")), value=F.col(field))),
+        F.when((n > 0) & (n < least), finding(f"{field}.too_short", own(), n, value=F.col(field))),
+        F.when(n > most, finding(f"{field}.too_long", own(), n, value=F.col(field))),
     ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
@@ -18,9 +18,15 @@ def _rows(df: DataFrame, found: Column, ordinal: Column | None = None) -> DataFr
     return df.select(*KEPT, (ordinal if ordinal is not None else F.lit(0)).cast("long").alias("page_id"), F.inline(F.array_compact(F.array(found))))
 
 
-def listed(value, order="page_id") -> Column:
-    """Values in the order of pages."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (F.col(value) if isinstance(value, str) else value).alias("u")))), lambda x: x.u)
+def listed(df: DataFrame, keys: list[str], value: str, most: int, least: int = 1, order: tuple[str, ...] = ("page_id",), also: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n and first (of all rows of a group that has `least` rows) and urls: its first `most` values in this order, each
+    with the columns `also` if there are any. No group is ever gathered: rows beyond the limit go before the shuffle."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where(F.col("n") >= least)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    top = df.select(*keys, "page_id", value, *[c for c in {*order, *also} - {*keys, "page_id", value}]).withColumn("_at", place).where(F.col("_at") <= most)
+    kept = F.struct(F.col(value).alias("url"), *also) if also else F.col(value)
+    top = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", kept.alias("u")))), lambda x: x.u).alias("urls"))
+    return groups.join(top, keys)
 
 
 def _per_site(flat: DataFrame) -> DataFrame:
@@ -34,23 +40,19 @@ def sitemap_rules(flat: DataFrame, sites: DataFrame) -> DataFrame:
     out = out.unionByName(_rows(sites, F.when(F.col("sitemaps_seen") & ~F.col("robots_sitemaps"), finding("sitemap.not_in_robots", origin))))
     p = flat.where("page_url != ''").withColumn("section", N.section("page_url")).withColumn("key", N.rstrip("page_url"))
     known = p.where("source = 'sitemap'").select(*SITE, "key").distinct().withColumn("covered", F.lit(True))
-    groups = (
-        p.where("section != ''").join(known, [*SITE, "key"], "left").groupBy(*SITE, "section")
-        .agg(F.count("*").alias("n"), F.count("covered").alias("covered"), listed("page_url").alias("urls"), F.min("page_id").alias("first")).where("n >= 3 AND covered = 0")
-    )
+    in_map = p.join(known, [*SITE, "key"], "left").where("covered").select(*SITE, "section").distinct()
+    groups = listed(p.where("section != ''").join(in_map, [*SITE, "section"], "left_anti"), [*SITE, "section"], "page_url", 10, 3)
     absent = groups.join(sites.where("sitemaps_seen").select(*KEPT), SITE)
-    return out.unionByName(_rows(absent, finding("sitemap.section_absent", F.get("urls", F.lit(0)), section=F.col("section"), count=F.col("n"), urls=F.slice("urls", 1, 10)), F.col("first")))
+    return out.unionByName(_rows(absent, finding("sitemap.section_absent", F.get("urls", F.lit(0)), section=F.col("section"), count=F.col("n"), urls=F.col("urls")), F.col("first")))
 
 
 def duplicate_meta(flat: DataFrame, sites: DataFrame) -> DataFrame:
     out = None
     for field in ("title", "description"):
         value = F.lower(T.collapse(field))
-        groups = (
-            flat.where((F.col("status") == 200) & ~F.col("noindex") & (value != "")).groupBy(*KEPT, value.alias("value"))
-            .agg(F.count("*").alias("n"), listed("page_url").alias("urls"), F.min("page_id").alias("first")).where("n >= 2")
-        )
-        part = _rows(groups, finding(f"duplicate.{field}", F.get("urls", F.lit(0)), value=F.substring("value", 1, 160), count=F.col("n"), urls=F.slice("urls", 1, 12)), F.col("first"))
+        seen = flat.where((F.col("status") == 200) & ~F.col("noindex") & (value != "")).withColumn("value", value)
+        groups = listed(seen, [*KEPT, "value"], "page_url", 12, 2)
+        part = _rows(groups, finding(f"duplicate.{field}", F.get("urls", F.lit(0)), value=F.substring("value", 1, 160), count=F.col("n"), urls=F.col("urls")), F.col("first"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -58,8 +60,8 @@ def duplicate_meta(flat: DataFrame, sites: DataFrame) -> DataFrame:
 def canonical_clusters(flat: DataFrame, sites: DataFrame) -> DataFrame:
     canon = N.strip("canonical")
     away = flat.where((F.col("status") == 200) & (canon != "") & (F.col("canon_key") != F.col("page_key")))
-    groups = away.groupBy(*KEPT, N.rstrip(canon).alias("canon")).agg(F.count("*").alias("n"), listed("page_url").alias("urls"), F.min("page_id").alias("first")).where("n >= 3")
-    return _rows(groups, finding("canonical.mass_collapse", F.get("urls", F.lit(0)), canonical=F.col("canon"), count=F.col("n"), urls=F.slice("urls", 1, 15)), F.col("first"))
+    groups = listed(away.withColumn("canon", N.rstrip(canon)), [*KEPT, "canon"], "page_url", 15, 3)
+    return _rows(groups, finding("canonical.mass_collapse", F.get("urls", F.lit(0)), canonical=F.col("canon"), count=F.col("n"), urls=F.col("urls")), F.col("first"))
 
 
 def cache_masking(flat: DataFrame, sites: DataFrame) -> DataFrame:
@@ -80,31 +82,32 @@ def mixed_scheme(flat: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def orphan_pages(flat: DataFrame, sites: DataFrame) -> DataFrame:
-    lost = orphans(flat).groupBy(*KEPT).agg(listed("page_url").alias("urls")).join(_per_site(flat).where("pages >= 4 AND have_links"), SITE)
-    n = F.size("urls")
+    lost = listed(orphans(flat), KEPT, "page_url", 20).join(_per_site(flat).where("pages >= 4 AND have_links"), SITE)
+    n = F.col("n")
     found = F.when(n / F.col("pages") > 0.8, finding("structure.orphan_suspect", F.get("urls", F.lit(0)), orphans=F.slice("urls", 1, 10), count=F.col("pages"))).otherwise(
-        finding("structure.orphan_page", F.get("urls", F.lit(0)), urls=F.slice("urls", 1, 20), count=n))
+        finding("structure.orphan_page", F.get("urls", F.lit(0)), urls=F.col("urls"), count=n))
     return _rows(lost, found)
 
 
 def broken_links(flat: DataFrame, sites: DataFrame) -> DataFrame:
-    bad = broken_edges(flat)
-    targets = bad.groupBy(*SITE, "href").agg(F.slice(F.array_distinct(listed("src")), 1, 5).alias("sources"))
-    s = targets.groupBy(*SITE).agg(F.array_sort(F.collect_list(F.struct("href", "sources"))).alias("t")).join(flat.select(*KEPT).distinct(), SITE)
-    examples = F.map_from_entries(F.transform(F.slice("t", 1, 5), lambda x: F.struct(x.href, x.sources)))
-    return _rows(s, finding("structure.broken_internal_link", F.get("t", F.lit(0)).href, targets=F.slice(F.transform("t", lambda x: x.href), 1, 20), count=F.size("t"), examples=examples))
+    bad = broken_edges(flat).groupBy(*SITE, "href", "src").agg(F.min("page_id").alias("page_id"))
+    targets = listed(bad.groupBy(*SITE, "href").agg(F.min("page_id").alias("page_id")), SITE, "href", 20, order=("href",))
+    shown = targets.select(*SITE, F.explode(F.slice("urls", 1, 5)).alias("href")).join(bad, [*SITE, "href"])
+    sources = listed(shown, [*SITE, "href"], "src", 5).groupBy(*SITE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("href", "urls")))).alias("examples"))
+    s = targets.join(sources, SITE).join(flat.select(*KEPT).distinct(), SITE)
+    return _rows(s, finding("structure.broken_internal_link", F.get("urls", F.lit(0)), targets=F.col("urls"), count=F.col("n"), examples=F.col("examples")))
 
 
 def deep_pages(flat: DataFrame, sites: DataFrame) -> DataFrame:
     keyed = flat.where("page_url != ''").groupBy(*KEPT, N.graph_key("page_url").alias("key")).agg(F.max_by("page_url", "page_id").alias("page_url"), F.min("page_id").alias("page_id"))
-    deep = click_depth(flat).where("depth >= 4").join(keyed, [*SITE, "key"]).join(_per_site(flat).where("pages >= 8"), SITE)
-    s = deep.groupBy(*KEPT).agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("o"), "page_id", F.col("page_url").alias("url"), "depth"))).alias("d"))
-    return _rows(s, finding("structure.deep_page", F.get("d", F.lit(0)).url, count=F.size("d"), pages=F.transform(F.slice("d", 1, 20), lambda x: F.struct(x.url.alias("url"), x.depth.alias("depth")))))
+    deep = click_depth(flat).where("depth >= 4").join(keyed, [*SITE, "key"]).join(_per_site(flat).where("pages >= 8"), SITE).withColumn("shallow", -F.col("depth"))
+    s = listed(deep, KEPT, "page_url", 20, order=("shallow", "page_id"), also=("depth",))
+    return _rows(s, finding("structure.deep_page", F.get("urls", F.lit(0)).url, count=F.col("n"), pages=F.col("urls")))
 
 
 def link_dead_ends(flat: DataFrame, sites: DataFrame) -> DataFrame:
-    s = dead_ends(flat).groupBy(*KEPT).agg(listed("page_url").alias("urls")).join(_per_site(flat).where("pages >= 6 AND have_links"), SITE)
-    return _rows(s.where(F.size("urls") / F.col("pages") <= 0.8), finding("structure.dead_end", F.get("urls", F.lit(0)), urls=F.slice("urls", 1, 20), count=F.size("urls")))
+    s = listed(dead_ends(flat), KEPT, "page_url", 20).join(_per_site(flat).where("pages >= 6 AND have_links"), SITE)
+    return _rows(s.where(F.col("n") / F.col("pages") <= 0.8), finding("structure.dead_end", F.get("urls", F.lit(0)), urls=F.col("urls"), count=F.col("n")))
 
 
 SITE_RULES = {

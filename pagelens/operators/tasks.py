@@ -13,10 +13,10 @@ GROUP = ["run_id", "site_id", "host", "origin", "rule", "subject"]
 
 
 def subject_of() -> Column:
+    """What a task of a rule that is split is about: the first of these that the evidence has."""
     e = F.col("evidence")
-    split = F.when(F.coalesce(e.section, F.lit("")) != "", F.concat(F.lit("section="), F.substring(e.section, 1, 80))).when(
-        F.coalesce(e.value, F.lit("")) != "", F.concat(F.lit("value="), F.substring(e.value, 1, 80)))
-    return F.when(F.col("rule").isin(D.SPLIT_BY_SUBJECT), F.coalesce(split, F.lit(""))).otherwise("")
+    parts = [F.when(F.coalesce(e[k], F.lit("")) != "", F.concat(F.lit(f"{k}="), F.substring(e[k], 1, 80))) for k in ("section", "post_type", "cluster", "value")]
+    return F.when(F.col("rule").isin(D.SPLIT_BY_SUBJECT), F.coalesce(*parts, F.lit(""))).otherwise("")
 
 
 def fingerprint(site: Column, rule: Column, subject: Column) -> Column:
@@ -56,7 +56,7 @@ def body() -> Column:
     more = F.when(F.size("urls") > 15, F.concat(F.lit("\nand "), (F.size("urls") - 15).cast("string"), F.lit(" more"))).otherwise("")
     return F.concat(
         F.lit("Site: "), "origin", F.lit("\nLayer: "), D.pick(F.col("layer"), D.LAYERS, ""), F.lit(" · Severity: "), "severity", F.lit(" · Effort: "), D.pick(F.col("effort"), D.EFFORTS, ""),
-        F.lit("\n\nWhat to do: "), F.when(F.col("detail") != "", F.col("detail")).otherwise("Find the cause and mend it."), F.lit("\n\nPages:\n"), listed, more, F.lit("\n\n—\nAudit mark: "), "fingerprint",
+        F.lit("\n\nWhat to do: "), "detail", F.lit("\n\nPages:\n"), listed, more, F.lit("\n\n—\nAudit mark: "), "fingerprint",
     )
 
 
@@ -77,10 +77,20 @@ def tracker_plan(tasks: DataFrame, today: str) -> DataFrame:
     """Entries for a tracker, due so many days after `today` (yyyy-mm-dd)."""
     return tasks.select(
         "run_id", "site_id", "host", "rule", "subject", "fingerprint", "title", "severity", "count", "autofixable", D.pick(F.col("severity"), SECTIONS, "Medium: this month").alias("section"),
-        F.date_add(F.lit(today).cast("date"), F.col("due_days")).alias("due"),
+        F.date_add(F.lit(today).cast("date"), F.col("due_days")).alias("due"), "layer", "first_no",
     )
 
 
+def plan_order() -> list[Column]:
+    """Order of a tracker's entries within a run."""
+    return [D.rank(F.col("severity")).asc(), F.asc("host"), F.asc("rule"), F.asc("subject")]
+
+
+def ordered_plan(plan: DataFrame) -> DataFrame:
+    """The plan with each entry's position in its run."""
+    return plan.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy(*plan_order())).cast("long"))
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("run_id", "section").agg(F.count("*").alias("tasks"), F.countDistinct("host").alias("sites"), F.count_if("autofixable").alias("autofixable"), F.sum("count").cast("long").alias("pages_touched"))
 

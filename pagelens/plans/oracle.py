@@ -6,7 +6,8 @@ Everything is a chain of common table expressions: a query's SQL is sql(SELECT .
 from __future__ import annotations
 
 from pagelens.functions import dims as D
-from pagelens.sources.crawl import CRAWL_SQL, CYRILLIC, GOOD, LONG, LONG_TITLE, SHORT
+from pagelens.functions.advice import ADVICE
+from pagelens.sources.crawl import CRAWL_SQL, CYRILLIC, CYRILLIC_SHORT, GOOD, LONG, LONG_TITLE, SHORT
 
 RX = "'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#]*))?(?:#(.*))?$'"
 
@@ -47,7 +48,7 @@ seen AS (SELECT *, state = 'error' AS e FROM crawl WHERE state IN ('done', 'erro
 said AS (
   SELECT *, CASE WHEN e THEN '' WHEN v % 16 = 10 THEN '' WHEN v % 16 = 11 THEN {collapse(f"concat('{LONG_TITLE}', {_DECODED})")} WHEN v % 16 = 12 THEN {collapse(f"concat('{CYRILLIC}', {_DECODED})")} ELSE {collapse(_DECODED)} END AS title,
     CASE WHEN e THEN 0 WHEN v % 16 = 9 THEN 2 ELSE 1 END AS title_count,
-    CASE WHEN e THEN '' ELSE CASE v % 5 WHEN 1 THEN '{SHORT}' WHEN 2 THEN '{GOOD}' WHEN 3 THEN '{LONG}' WHEN 4 THEN '{GOOD}' ELSE '' END END AS description,
+    CASE WHEN e THEN '' WHEN v % 25 = 6 THEN '{CYRILLIC_SHORT}' ELSE CASE v % 5 WHEN 1 THEN '{SHORT}' WHEN 2 THEN '{GOOD}' WHEN 3 THEN '{LONG}' WHEN 4 THEN '{GOOD}' ELSE '' END END AS description,
     CASE WHEN e THEN 0 ELSE CASE v % 5 WHEN 0 THEN 0 WHEN 4 THEN 2 ELSE 1 END END AS description_count,
     CASE WHEN e THEN '' ELSE CASE v % 7 WHEN 1 THEN final_url WHEN 2 THEN 'https://other.example.org/x' WHEN 3 THEN final_url WHEN 4 THEN concat('https://', host, '/elsewhere') WHEN 5 THEN concat(final_url, '/') WHEN 6 THEN concat('https://', host, '/hub') ELSE '' END END AS canonical,
     CASE WHEN e OR v % 7 = 0 THEN 0 WHEN v % 7 = 3 THEN 2 ELSE 1 END AS canonicals,
@@ -55,7 +56,7 @@ said AS (
     CASE WHEN e OR v % 12 = 7 THEN '' ELSE regexp_extract(html0, '<html lang="([^"]*)"', 1) END AS html_lang,
     CASE WHEN e OR v % 14 = 3 THEN CASE WHEN NOT e AND v % 14 = 5 THEN 1 ELSE 0 END WHEN v % 14 = 5 THEN 2 ELSE 1 END AS h1s,
     CASE WHEN e THEN 0 ELSE len(list_filter(string_split(trim(regexp_replace({_TEXT}, '[\\s\\x{{00A0}}]+', ' ', 'g')), ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) END AS word_count,
-    CASE WHEN e OR v % 15 = 2 THEN 0 ELSE (CASE WHEN final_url LIKE 'http://%' THEN 0 ELSE len(string_split(html0, '<a href=')) - 1 END) + CASE WHEN child_a <> '' THEN 1 ELSE 0 END + CASE WHEN child_b <> '' THEN 1 ELSE 0 END END AS links
+    CASE WHEN e OR v % 15 = 2 THEN 0 ELSE len(string_split(html0, '<a href=')) - 1 + CASE WHEN final_url LIKE 'https://%' THEN CASE WHEN child_a <> '' THEN 1 ELSE 0 END + CASE WHEN child_b <> '' THEN 1 ELSE 0 END ELSE 0 END END AS links
   FROM seen),
 flat AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, site_id, {rstrip("final_url")} ORDER BY page_id) AS n_ FROM said) AS q WHERE n_ = 1)
@@ -97,7 +98,7 @@ PAGE_CASES = {
     "performance.slow": ("elapsed_ms BETWEEN 2500 AND 4999", "final_url"),
     "i18n.lang_missing": ("html_lang = ''", "final_url"),
     "i18n.title_language_mismatch": (_CYR, "final_url"),
-    "i18n.description_language_mismatch": ("false", "final_url"),
+    "i18n.description_language_mismatch": ("NOT e AND v % 25 = 6 AND html_lang IN ('en', 'de', 'fr', 'es')", "final_url"),
     "i18n.hreflang_no_self": (f"NOT e AND (v % 13 = 1 AND {rstrip('final_url')} NOT IN (concat('https://', host), concat('https://', host, '/de')) OR v % 13 = 2 AND {rstrip('final_url')} <> concat('https://', host, '/elsewhere'))", "final_url"),
     "i18n.hreflang_lang_absent": ("NOT e AND html_lang <> '' AND (v % 13 = 0 AND html_lang <> 'en' OR v % 13 = 1 AND html_lang <> 'de' OR v % 13 = 2)", "final_url"),
     "robots.conflicting": ("NOT e AND v % 11 = 1", "final_url"),
@@ -113,7 +114,10 @@ PAGE_CASES = {
 }
 _SITE = "run_id, site_id, host, origin"
 _NO = "CAST([] AS VARCHAR[])"
-_ROW = f"SELECT {_SITE}, page_id, '{{}}' AS rule, {{}} AS url, '' AS subject, {_NO} AS urls FROM flat WHERE {{}}"
+_ROW = f"SELECT {_SITE}, page_id, '{{}}' AS rule, {{}} AS url, '' AS subject, {_NO} AS urls, {_NO} AS more, {{}} AS said FROM flat WHERE {{}}"
+_NUMBER = {
+    "http.server_error": "status", "title.too_short": "length(title)", "title.too_long": "length(title)", "description.too_short": "length(description)", "description.too_long": "length(description)",
+}
 SITES = """
 sites AS (
   SELECT run_id, site_id, max(host) AS host, max(origin) AS origin, bool_or(robots_present) AS robots_present, bool_or(sitemaps_seen) AS sitemaps_seen, bool_or(robots_sitemaps) AS robots_sitemaps,
@@ -123,11 +127,11 @@ sites AS (
 _PATH1 = f"list_filter(string_split({part('final_url', 3)}, '/'), lambda x: x <> '')"
 GRAPH = f"""
 nodes AS (SELECT *, {graph_key("final_url")} AS key, {part("final_url", 3)} IN ('', '/') AS root FROM flat),
-nav AS (SELECT {_SITE}, page_id, final_url AS src, unnest(regexp_extract_all(html0, '<a href="([^"]*)"', 1)) AS href0 FROM nodes WHERE NOT e AND v % 15 <> 2 AND final_url LIKE 'https://%'),
+nav AS (SELECT {_SITE}, page_id, final_url AS src, unnest(regexp_extract_all(html0, '<a href="([^"]*)"', 1)) AS href0 FROM nodes WHERE NOT e AND v % 15 <> 2),
 edges AS (
-  SELECT {_SITE}, page_id, src, concat(origin, href0) AS href FROM nav WHERE href0 LIKE '/%'
-  UNION ALL SELECT {_SITE}, page_id, final_url, child_a FROM nodes WHERE NOT e AND v % 15 <> 2 AND child_a <> ''
-  UNION ALL SELECT {_SITE}, page_id, final_url, child_b FROM nodes WHERE NOT e AND v % 15 <> 2 AND child_b <> ''),
+  SELECT {_SITE}, page_id, src, concat(CASE WHEN src LIKE 'https://%' THEN 'https://' ELSE 'http://' END, host, href0) AS href FROM nav WHERE href0 LIKE '/%'
+  UNION ALL SELECT {_SITE}, page_id, final_url, child_a FROM nodes WHERE NOT e AND v % 15 <> 2 AND child_a <> '' AND final_url LIKE 'https://%'
+  UNION ALL SELECT {_SITE}, page_id, final_url, child_b FROM nodes WHERE NOT e AND v % 15 <> 2 AND child_b <> '' AND final_url LIKE 'https://%'),
 keyed AS (SELECT *, {graph_key("href")} AS key FROM edges),
 per_site AS (SELECT run_id, site_id, count(*) AS pages, bool_or(links > 0) AS have_links FROM flat GROUP BY run_id, site_id),
 orphan AS (
@@ -153,16 +157,16 @@ sectioned AS (
 def _group(rule: str, source: str, subject: str, by: str, least: int, slice_: int, extra: str = "") -> str:
     return (
         f"SELECT {_SITE}, min(page_id) AS page_id, '{rule}' AS rule, list_extract(list(final_url ORDER BY page_id), 1) AS url, {subject} AS subject, "
-        f"list_slice(list(final_url ORDER BY page_id), 1, {slice_}) AS urls FROM {source} GROUP BY {_SITE}, {by} HAVING count(*) >= {least}{extra}"
+        f"list_slice(list(final_url ORDER BY page_id), 1, {slice_}) AS urls, {_NO} AS more, '' AS said FROM {source} GROUP BY {_SITE}, {by} HAVING count(*) >= {least}{extra}"
     )
 
 
 def _site(rule: str, where: str) -> str:
-    return f"SELECT {_SITE}, 0 AS page_id, '{rule}' AS rule, origin AS url, '' AS subject, {_NO} AS urls FROM sites WHERE {where}"
+    return f"SELECT {_SITE}, 0 AS page_id, '{rule}' AS rule, origin AS url, '' AS subject, {_NO} AS urls, {_NO} AS more, '' AS said FROM sites WHERE {where}"
 
 
-def _one(rule: str, source: str, urls: str, where: str = "true", url: str = "list_extract(us, 1)") -> str:
-    return f"SELECT {_SITE}, 0 AS page_id, '{rule}' AS rule, {url} AS url, '' AS subject, {urls} AS urls FROM {source} WHERE {where}"
+def _one(rule: str, source: str, urls: str, where: str = "true", url: str = "list_extract(us, 1)", more: str = _NO) -> str:
+    return f"SELECT {_SITE}, 0 AS page_id, '{rule}' AS rule, {url} AS url, '' AS subject, {urls} AS urls, {more} AS more, '' AS said FROM {source} WHERE {where}"
 
 
 _COUNTS = f"""(SELECT {_SITE}, count(*) FILTER (cache_state = 'hit') AS hits, count(*) FILTER (cache_stale) AS stale, count(*) FILTER (status = 200) AS ok, count(*) FILTER (final_url LIKE 'http://%') AS plain,
@@ -178,17 +182,21 @@ SITE_CASES = [
     _group("canonical.mass_collapse", "(SELECT * FROM flat WHERE status = 200 AND NOT e AND v % 7 IN (2, 4, 6)) AS y", "''", "canonical", 3, 15),
     _one("cache.serving_stale", _COUNTS, _NO, "stale > 0", "stale_url"), _one("cache.fully_cached", _COUNTS, _NO, "stale = 0 AND hits > 0 AND hits = ok", "hit_url"),
     _one("security.mixed_scheme", _COUNTS, _NO, "plain > 0 AND safe > 0", "plain_url"),
-    _one("structure.orphan_suspect", _LISTED.format("orphan", 4), _NO, "len(us) / pages > 0.8"), _one("structure.orphan_page", _LISTED.format("orphan", 4), "list_slice(us, 1, 20)", "len(us) / pages <= 0.8"),
-    f"SELECT {_SITE}, 0 AS page_id, 'structure.broken_internal_link' AS rule, min(href) AS url, '' AS subject, {_NO} AS urls FROM broken GROUP BY {_SITE}",
-    f"SELECT run_id, site_id, max(host) AS host, max(origin) AS origin, 0 AS page_id, 'structure.deep_page' AS rule, list_extract(list(url ORDER BY -depth, page_id), 1) AS url, '' AS subject, {_NO} AS urls FROM deep GROUP BY run_id, site_id",
+    _one("structure.orphan_suspect", _LISTED.format("orphan", 4), _NO, "len(us) / pages > 0.8", more="list_slice(us, 1, 10)"), _one("structure.orphan_page", _LISTED.format("orphan", 4), "list_slice(us, 1, 20)", "len(us) / pages <= 0.8"),
+    f"""SELECT {_SITE}, 0 AS page_id, 'structure.broken_internal_link' AS rule, min(href) AS url, '' AS subject, {_NO} AS urls,
+    list_concat(list_slice(list(href ORDER BY href), 1, 20), flatten(list_slice(list(list_slice(sources, 1, 5) ORDER BY href), 1, 5))) AS more, '' AS said
+    FROM (SELECT {_SITE}, href, list(src ORDER BY page_id) AS sources FROM (SELECT DISTINCT {_SITE}, href, src, page_id FROM broken) AS q GROUP BY {_SITE}, href) AS r GROUP BY {_SITE}""",
+    f"""SELECT run_id, site_id, max(host) AS host, max(origin) AS origin, 0 AS page_id, 'structure.deep_page' AS rule, list_extract(list(url ORDER BY -depth, page_id), 1) AS url, '' AS subject, {_NO} AS urls,
+    list_slice(list(url ORDER BY -depth, page_id), 1, 20) AS more, '' AS said FROM deep GROUP BY run_id, site_id""",
     _one("structure.dead_end", _LISTED.format(_DEAD, 6), "list_slice(us, 1, 20)", "len(us) / pages <= 0.8"),
 ]
 _DIM = ", ".join(f"('{r}', {a}, '{s}', {e}, {str(f).lower()})" for r, (a, s, e, f) in D.RULES.items())
 FINDINGS = f"""
 dim(rule_, layer, severity, effort, fixable) AS (VALUES {_DIM}),
-raw_found AS ({" UNION ALL ".join([_ROW.format(r, u, c) for r, (c, u) in PAGE_CASES.items()] + SITE_CASES)}),
+raw_found AS ({" UNION ALL ".join([_ROW.format(r, u, f"CAST({_NUMBER[r]} AS VARCHAR)" if r in _NUMBER else "''", c) for r, (c, u) in PAGE_CASES.items()] + SITE_CASES)}),
 found AS (
-  SELECT f.*, d.layer AS layer, d.severity AS severity, d.effort AS effort, d.fixable AS fixable, {rank("d.severity")} AS rank_, {weight("d.severity")} AS weight_,
+  SELECT f.*, concat({D.sql_case("rule", {r: m for r, (m, _) in ADVICE.items()})}, CASE WHEN said <> '' THEN concat(': ', said) ELSE '' END) AS message, {D.sql_case("rule", {r: t for r, (_, t) in ADVICE.items()})} AS detail,
+         d.layer AS layer, d.severity AS severity, d.effort AS effort, d.fixable AS fixable, {rank("d.severity")} AS rank_, {weight("d.severity")} AS weight_,
          row_number() OVER (PARTITION BY run_id, site_id ORDER BY d.layer, {rank("d.severity")}, -({weight("d.severity")} / d.effort), rule, url, page_id) AS finding_no
   FROM raw_found f JOIN dim d ON d.rule_ = f.rule)
 """

@@ -12,16 +12,19 @@ from pagelens.functions import head as H
 from pagelens.functions import text as T
 from pagelens.functions import urls as N
 from pagelens.operators import graph as G
-from pagelens.operators.compare import compare_runs, compare_summary, previous_runs
+from pagelens.operators.compare import compare_runs, compare_summary, morning_report, previous_runs, top_changes
 from pagelens.operators.findings import Audit, audit, health, score_of, touched
-from pagelens.operators.fixes import fix_plan, fix_summary
+from pagelens.operators.fixes import fix_plan, fix_summary, fixes_screen
 from pagelens.operators.page_rules import PAGE_RULES
 from pagelens.operators.site_rules import SITE_RULES
-from pagelens.operators.tasks import build_tasks, numbered, plan_summary, task_summary, tracker_plan
+from pagelens.operators.tasks import build_tasks, numbered, ordered_plan, plan_summary, task_summary, tracker_plan
 from pagelens.plans import read as V
 from pagelens.plans import reports as R
 from pagelens.plans.oracle import GRAPH, collapse, graph_key, part, rank, rstrip, sql, weight
+from pagelens.sources import discovery as DS
 from pagelens.sources import files as S
+from pagelens.sources import http as HT
+from pagelens.sources.crawl import PLACED_SQL, planted_responses
 from pagelens.streaming import ticks as X
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +68,7 @@ of_table("head_native", "pages", lambda p: p.select(
 
 
 def head_exact(p: DataFrame) -> DataFrame:
-    h = H.extract_head(F.col("html"), F.col("url"), F.regexp_extract("url", "^([^:]*://[^/?#]*)", 1))
+    h = H.extract_head(F.col("html"), F.col("url"))
     return p.select("page_id", h.alias("h")).select("page_id", F.col("h.title").alias("title"), F.get("h.h1", F.lit(0)).alias("h1"), F.col("h.html_lang").alias("lang"), F.col("h.charset").alias("charset"), F.col("h.links_internal_total").alias("links"), F.col("h.word_count").alias("words"))
 
 
@@ -131,11 +134,13 @@ _RULES_OF = {
     "cache_masking": ["cache.serving_stale", "cache.fully_cached"], "mixed_scheme": ["security.mixed_scheme"], "orphan_pages": ["structure.orphan_suspect", "structure.orphan_page"], "broken_links": ["structure.broken_internal_link"],
     "deep_pages": ["structure.deep_page"], "dead_ends": ["structure.dead_end"],
 }
-_F = "run_id, site_id, host, rule, layer, severity, effort, fixable, url"
+_F = "run_id, site_id, host, rule, layer, severity, effort, fixable, url, message, detail"
+_TOUCHED = "list_filter(list_distinct(list_concat([url], list_concat(urls, more))), lambda u: u <> '')"
 for _kind, _names in (("rule", PAGE_RULES), ("site_rule", SITE_RULES)):
     for _name in _names:
         _in = ", ".join(f"'{r}'" for r in _RULES_OF[_name])
-        of_audit(f"{_kind}_{_name}", lambda a, keys=tuple(_RULES_OF[_name]): a.findings.where(F.col("rule").isin(*keys)).select(*_F.split(", ")), sql(f"SELECT {_F} FROM found WHERE rule IN ({_in})"))
+        of_audit(f"{_kind}_{_name}", lambda a, keys=tuple(_RULES_OF[_name]): a.findings.where(F.col("rule").isin(*keys)).select(*_F.split(", "), F.array_join(F.array_sort(touched()), " ").alias("touches")),
+                 sql(f"SELECT {_F}, array_to_string(list_sort({_TOUCHED}), ' ') AS touches FROM found WHERE rule IN ({_in})"))
 of_audit("robots_tokens", lambda a: a.flat.select("page_id", F.array_join(F.array_sort("robots_tokens"), ",").alias("tokens"), "noindex"),
          sql("SELECT page_id, CASE WHEN e THEN '' ELSE CASE v % 11 WHEN 0 THEN 'noindex' WHEN 1 THEN 'follow,index,noindex' WHEN 2 THEN 'index' ELSE '' END END AS tokens, noindex FROM flat", upto="flat"))
 of_audit("flat_pages", lambda a: a.flat.select("run_id", "site_id", "page_id", "title", "description", "canonical", "html_lang", "word_count", F.size("h1").alias("h1s"), F.col("links_internal_total").alias("links")),
@@ -170,7 +175,7 @@ of_audit("run_summary", V.run_summary, sql("""SELECT s.run_id AS run_id, s.sites
 # tasks, plan, fixes --------------------------------------------------------------------------------------------
 _TASKS = f"""
 grouped AS (
-  SELECT run_id, site_id, host, origin, rule, subject, min(rank_) AS rank_, max(layer) AS layer, max(effort) AS effort, count(*) AS items, min(finding_no) AS first_no FROM found WHERE rank_ <= 2 GROUP BY run_id, site_id, host, origin, rule, subject),
+  SELECT run_id, site_id, host, origin, rule, subject, min(rank_) AS rank_, max(layer) AS layer, max(effort) AS effort, count(*) AS items, min(finding_no) AS first_no, arg_min(message, finding_no) AS message, arg_min(detail, finding_no) AS detail FROM found WHERE rank_ <= 2 GROUP BY run_id, site_id, host, origin, rule, subject),
 spread AS (SELECT DISTINCT run_id, site_id, rule, subject, u FROM (SELECT run_id, site_id, rule, subject, unnest(list_append(urls, url)) AS u FROM found WHERE rank_ <= 2) AS q WHERE u <> ''),
 tasks AS (
   SELECT g.*, {D.sql_case('g.rank_', dict(enumerate(D.SEVERITIES)))} AS severity, CASE WHEN coalesce(c.n, 0) > 0 THEN c.n ELSE g.items END AS count_, concat('{D.MARK}', substr(sha1(concat(origin, '|', g.rule, '|', g.subject)), 1, 12)) AS fingerprint,
@@ -179,14 +184,20 @@ tasks AS (
 of_audit("tasks_grouped", lambda a: numbered(build_tasks(a.findings)).select(*SITE, "rule", "subject", "severity", "layer", "effort", "count", "due_days", "autofixable", "position"),
          sql("SELECT run_id, site_id, rule, subject, severity, layer, effort, count_ AS count, due_days, autofixable, row_number() OVER (PARTITION BY run_id, site_id ORDER BY rank_, layer, -count_, first_no, rule, subject) AS position FROM tasks", _TASKS))
 of_audit("task_fingerprint", lambda a: build_tasks(a.findings, "info").select("host", "rule", "subject", "fingerprint").distinct(), sql("SELECT DISTINCT host, rule, subject, fingerprint FROM tasks", _TASKS.replace("rank_ <= 2", "rank_ <= 4")))
-_STATIC = "rule NOT IN ('http.server_error', 'title.too_short', 'title.too_long', 'description.too_short', 'description.too_long')"
-_PLAIN_NAME = "replace(replace(rule, '.', ': '), '_', ' ')"
-of_audit("task_titles", lambda a: build_tasks(a.findings).where(_STATIC).select(*SITE, "rule", "subject", "title", F.array_join("tags", ",").alias("tags")),
-         sql(f"SELECT run_id, site_id, rule, subject, concat('[', host, '] ', {_PLAIN_NAME}, CASE WHEN count_ > 1 THEN concat(' — ', CAST(count_ AS VARCHAR), ' pages') ELSE '' END) AS title, concat('seo:', {D.sql_case('layer', D.LAYERS)}, ',seo:', severity, ',', host) AS tags FROM tasks WHERE {_STATIC}", _TASKS))
-of_audit("task_titles_whole", lambda a: build_tasks(a.findings).select(*SITE, "rule", "subject", "title", F.array_join("tags", ",").alias("tags")), None)
+_TITLE_OF = "concat('[', host, '] ', message, CASE WHEN count_ > 1 AND NOT contains(message, 'pages)') THEN concat(' — ', CAST(count_ AS VARCHAR), ' pages') ELSE '' END)"
+of_audit("task_titles", lambda a: build_tasks(a.findings).select(*SITE, "rule", "subject", "title", F.array_join("tags", ",").alias("tags")),
+         sql(f"SELECT run_id, site_id, rule, subject, {_TITLE_OF} AS title, concat('seo:', {D.sql_case('layer', D.LAYERS)}, ',seo:', severity, ',', host) AS tags FROM tasks", _TASKS))
+_BODY = _TASKS + """,
+told_ AS (SELECT run_id, site_id, rule, subject, u, min(finding_no * 1000 + pos) AS o FROM (
+  SELECT run_id, site_id, rule, subject, finding_no, unnest(list_append(urls, url)) AS u, generate_subscripts(list_append(urls, url), 1) AS pos FROM found WHERE rank_ <= 2) AS q WHERE u <> '' GROUP BY run_id, site_id, rule, subject, u),
+listed_ AS (SELECT run_id, site_id, rule, subject, list(u ORDER BY o) AS us FROM told_ GROUP BY run_id, site_id, rule, subject)"""
+of_audit("task_body", lambda a: R.task_bodies(a), sql(f"""
+SELECT t.run_id AS run_id, t.site_id AS site_id, t.rule AS rule, t.subject AS subject, {_TITLE_OF} AS title, concat('Site: ', origin, '\nLayer: ', {D.sql_case('layer', D.LAYERS)}, ' · Severity: ', severity, ' · Effort: ',
+  {D.sql_case('effort', D.EFFORTS)}, '\n\nWhat to do: ', detail, '\n\nPages:\n', array_to_string(list_transform(list_slice(coalesce(us, CAST([] AS VARCHAR[])), 1, 15), lambda u: concat('- ', u)), '\n'),
+  CASE WHEN len(us) > 15 THEN concat('\nand ', CAST(len(us) - 15 AS VARCHAR), ' more') ELSE '' END, '\n\n—\nAudit mark: ', fingerprint) AS body
+FROM tasks t LEFT JOIN listed_ x ON x.run_id = t.run_id AND x.site_id = t.site_id AND x.rule = t.rule AND x.subject = t.subject""", _BODY))
 _LAYERS = ", ".join(f"count(*) FILTER (layer = {k}) AS layer_{k}" for k in D.LAYERS)
 of_audit("task_summary", lambda a: task_summary(build_tasks(a.findings)), sql(f"SELECT run_id, site_id, count(*) AS tasks, CAST(sum(count_) AS BIGINT) AS pages_touched, count(*) FILTER (autofixable) AS autofixable, {_SEV}, {_LAYERS} FROM tasks GROUP BY run_id, site_id", _TASKS))
-of_audit("task_body", lambda a: R.task_bodies(a), None)
 _SECTION = D.sql_case("severity", {"critical": "Critical: now", "high": "High: this week"}, "'Medium: this month'")
 of_audit("tracker_plan", lambda a: tracker_plan(build_tasks(a.findings), TODAY).select(*SITE, "rule", "subject", "section", F.col("due").cast("string").alias("due"), "fingerprint"),
          sql(f"SELECT run_id, site_id, rule, subject, {_SECTION} AS section, CAST(DATE '{TODAY}' + CAST(due_days AS INT) AS VARCHAR) AS due, fingerprint FROM tasks", _TASKS))
@@ -252,13 +263,20 @@ of_audit("connected_sites_search", lambda a: V.connected_page(a, 200, 0, "EXAMPL
 of_audit("connected_sites_total", lambda a: V.connected(a).agg(F.count("*").alias("hosts")), sql("SELECT count(*) AS hosts FROM conn", _CONN, "crawl"))
 of_audit("site_history_top12", lambda a: V.site_history(a), sql("SELECT s.host AS host, s.run_id AS run_id, row_number() OVER (PARTITION BY s.host ORDER BY s.run_id DESC) AS rn, s.state AS state, h.score AS score FROM sites s JOIN h ON h.run_id = s.run_id AND h.site_id = s.site_id", _HEALTH))
 _ANY = "https://tionsh.example.net"
-of_audit("list_findings", lambda a: V.list_findings(a, 2, "high", limit=100), sql("SELECT site_id, finding_no, rule, severity, url, '' AS matched_via FROM found WHERE run_id = 2 AND rank_ <= 1 ORDER BY layer, rank_, site_id, finding_no LIMIT 100"))
-of_audit("list_findings_page_slice", lambda a: V.list_findings(a, 1, "info", f"{_ANY}/", 200).where("matched_via = 'url'").select("site_id", "rule", "severity", "matched_via"), sql(f"SELECT site_id, rule, severity, 'url' AS matched_via FROM found WHERE run_id = 1 AND {rstrip('url')} = '{_ANY}'"))
-of_audit("list_findings_page_whole", lambda a: V.list_findings(a, 1, "info", f"{_ANY}/", 200).select("site_id", "rule", "severity", "matched_via"), None)
-of_audit("list_tasks", lambda a: V.list_tasks(a, 2, limit=60).select("site_id", "rule", "subject", "severity", "count", "fingerprint"), sql("SELECT site_id, rule, subject, severity, count_ AS count, fingerprint FROM tasks WHERE run_id = 2 ORDER BY rank_, host, layer, count_ DESC, first_no, rule, subject LIMIT 60", _TASKS))
+of_audit("list_findings", lambda a: V.list_findings(a, 2, "high", limit=100), sql("SELECT site_id, finding_no, rule, severity, url, '' AS matched_via, row_number() OVER (ORDER BY layer, rank_, site_id, finding_no) AS position, count(*) OVER () AS total FROM found WHERE run_id = 2 AND rank_ <= 1 ORDER BY position LIMIT 100"))
+_SLICE = f"""
+slice_ AS (
+  SELECT *, CASE WHEN {rstrip('url')} = '{_ANY}' THEN 'url' WHEN list_contains(list_transform({_TOUCHED}, lambda u: {rstrip('u')}), '{_ANY}') THEN 'evidence' END AS via FROM found)"""
+of_audit("list_findings_page_slice", lambda a: V.list_findings(a, 1, "info", f"{_ANY}/", 200).select("site_id", "finding_no", "rule", "severity", "matched_via"),
+         sql("SELECT site_id, finding_no, rule, severity, via AS matched_via FROM slice_ WHERE run_id = 1 AND via IS NOT NULL ORDER BY layer, rank_, site_id, finding_no LIMIT 200", _SLICE))
+of_audit("list_tasks", lambda a: V.list_tasks(a, 2, limit=60).select("site_id", "rule", "subject", "severity", "count", "fingerprint", "total"), sql("SELECT site_id, rule, subject, severity, count_ AS count, fingerprint, count(*) OVER () AS total FROM tasks WHERE run_id = 2 ORDER BY rank_, host, layer, count_ DESC, first_no, rule, subject LIMIT 60", _TASKS))
 of_audit("tasks_page_slice", lambda a: V.list_tasks(a, 1, "info", f"{_ANY}/", 200).select("site_id", "rule", "subject", "severity"), sql(f"SELECT DISTINCT t.site_id AS site_id, t.rule AS rule, t.subject AS subject, t.severity AS severity FROM tasks t JOIN spread s ON s.run_id = t.run_id AND s.site_id = t.site_id AND s.rule = t.rule AND s.subject = t.subject WHERE t.run_id = 1 AND {rstrip('s.u')} = '{_ANY}'", _TASKS.replace("rank_ <= 2", "rank_ <= 4")))
 of_audit("tasks_screen_top60", lambda a: numbered(build_tasks(a.findings.where("run_id = 3"))).orderBy(D.rank(F.col("severity")), "origin", "rule", "subject").limit(60).select("origin", "rule", "subject", "severity"), sql("SELECT origin, rule, subject, severity FROM tasks WHERE run_id = 3 ORDER BY rank_, origin, rule, subject LIMIT 60", _TASKS))
-of_audit("site_pages_screen", lambda a: V.site_pages(a), None)
+of_audit("site_pages_screen", lambda a: V.site_pages(a), sql(f"""
+SELECT n.run_id AS run_id, n.site_id AS site_id, n.page_id AS page_id, n.final_url AS page_url, count(finding_no) AS findings, {", ".join(f"count(*) FILTER (t.severity = '{s}') AS {s}" for s in D.SEVERITIES)}, CAST(coalesce(min(rank_), 99) AS INT) AS worst,
+  row_number() OVER (PARTITION BY n.run_id, n.site_id ORDER BY coalesce(min(rank_), 99), n.final_url, n.page_id) AS position
+FROM flat n LEFT JOIN (SELECT DISTINCT run_id, site_id, finding_no, severity, rank_, {rstrip('u')} AS key FROM (SELECT *, unnest({_TOUCHED}) AS u FROM found) AS q) AS t
+  ON t.run_id = n.run_id AND t.site_id = n.site_id AND t.key = {rstrip('n.final_url')} GROUP BY n.run_id, n.site_id, n.page_id, n.final_url"""))
 of_audit("only_issues", lambda a: V.site_pages(a, True).groupBy(*SITE).agg(F.count("*").alias("pages")), sql("SELECT n.run_id AS run_id, n.site_id AS site_id, count(DISTINCT n.page_id) AS pages FROM flat n JOIN found f ON f.run_id = n.run_id AND f.site_id = n.site_id AND f.url IN (n.final_url, n.url) GROUP BY n.run_id, n.site_id"))
 of_audit("findings_screen_order", lambda a: V.sites_screen(a, 2), sql("SELECT host, critical, high, 10 * critical + high AS pressure FROM rows_ WHERE run_id = 2", _ROWS))
 of_audit("find_page", lambda a: V.find_page(a, 1, "HTTPS://Tionsh.Example.NET:443"), sql(f"SELECT site_id, page_id, final_url AS page_url FROM flat WHERE run_id = 1 AND {rstrip('final_url')} = '{_ANY}' ORDER BY page_id LIMIT 1", upto="flat"))
@@ -266,7 +284,8 @@ of_audit("portfolio_report_md", R.portfolio_report, sql("""SELECT run_id, concat
   string_agg(concat('| ', host, ' | ', score, ' | ', tasks, ' |'), '\n' ORDER BY score, -tasks, host) FILTER (state = 'done'), '\n') AS report FROM rows_ GROUP BY run_id""", _ROWS))
 of_audit("site_report_md", R.site_reports, sql(f"""SELECT r.run_id AS run_id, r.site_id AS site_id, r.host AS host, concat('# ', r.host, '\n\nScore ', r.score, ' of 100, ', r.pages, ' pages\n\n', {", ', ', ".join(f"'{s}: ', r.{s}" for s in D.SEVERITIES)}, '\n\n| rule | severity | findings |\n|---|---|---|\n', coalesce(x.t, ''), '\n') AS report
   FROM rows_ r LEFT JOIN (SELECT run_id, site_id, string_agg(concat('| ', rule, ' | ', severity, ' | ', n, ' |'), '\n' ORDER BY rank_, rule) AS t FROM (SELECT run_id, site_id, rule, severity, rank_, count(*) AS n FROM found GROUP BY run_id, site_id, rule, severity, rank_) AS q GROUP BY run_id, site_id) AS x ON x.run_id = r.run_id AND x.site_id = r.site_id""", _ROWS))
-of_audit("page_report_md", lambda a: R.page_report(a, 1, f"{_ANY}/"), None)
+of_audit("page_report_md", lambda a: R.page_report(a, 1, f"{_ANY}/"), sql(f"""
+SELECT concat('# {_ANY}/\n\n', CAST(count(*) AS VARCHAR), ' findings\n\n', coalesce(string_agg(concat('- ', severity, ' ', rule, ' (', via, '): ', message), '\n' ORDER BY site_id, finding_no), ''), '\n') AS report FROM slice_ WHERE run_id = 1 AND via IS NOT NULL""", _SLICE))
 
 # sources -------------------------------------------------------------------------------------------------------
 _ROBOTS = "# robots\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\n\nUser-agent: other\nDisallow: /\n\nUser-agent: pagelens\nUser-agent: second\nDisallow: /fr/*5$\nDisallow: /de\nAllow: /de/4\nSitemap: https://x/s.xml\n"
@@ -308,3 +327,100 @@ of_table("estimate_minutes", "pages", lambda p: p.select("page_id", X.estimate_m
          "SELECT page_id, low, greatest(low + 1, low * 2) AS high FROM (SELECT page_id, CAST(greatest(1, round_even((page_id + 1) * least(0.5, greatest(0.05, (page_id % 90 + 1) / 100.0)), 0)) AS INT) AS low FROM pages) AS q")
 of_audit("incremental_resume", lambda a: X.pending(a.pages.select("run_id", "page_id", "state"), a.pages.where("state IN ('done', 'error')")).select("run_id", "page_id"), sql("SELECT run_id, page_id FROM crawl WHERE state = 'queued'", upto="crawl"))
 of_audit("resumable_sites", lambda a: X.resumable_sites(a.sites).select("run_id", "site_id"), sql("SELECT run_id, site_id FROM sites WHERE state = 'fetching'", upto="crawl"))
+
+# orders, positions and totals ----------------------------------------------------------------------------------
+of_audit("list_sites_order", lambda a: V.list_sites(a, 2).select("site_id", "host", "position", "state_label", "average"), sql(f"""
+SELECT site_id, host, row_number() OVER (ORDER BY state = 'done', score, site_id) AS position, {D.sql_case('state', D.STATES)} AS state_label,
+  (SELECT CAST(round_even(avg(score) FILTER (state = 'done'), 0) AS INT) FROM rows_ WHERE run_id = 2) AS average FROM rows_ WHERE run_id = 2""", _ROWS))
+of_audit("stored_findings_order", lambda a: V.placed(a.findings, V.stored_order(), tuple(SITE)).select(*SITE, "finding_no", "position"),
+         sql("SELECT run_id, site_id, finding_no, row_number() OVER (PARTITION BY run_id, site_id ORDER BY layer, rule, url, finding_no) AS position FROM found"))
+of_audit("run_findings_order", lambda a: V.placed(a.findings, V.run_order()).select(*SITE, "finding_no", "position"),
+         sql("SELECT run_id, site_id, finding_no, row_number() OVER (PARTITION BY run_id ORDER BY layer, origin, rule, url, site_id, finding_no) AS position FROM found"))
+of_audit("plan_order", lambda a: ordered_plan(tracker_plan(build_tasks(a.findings), TODAY)).select(*SITE, "rule", "subject", "position"),
+         sql("SELECT run_id, site_id, rule, subject, row_number() OVER (PARTITION BY run_id ORDER BY rank_, host, rule, subject) AS position FROM tasks", _TASKS))
+of_audit("fixes_screen_top80", lambda a: fixes_screen(fix_plan(a.findings, a.flat)).select(*SITE, "url", "field", "ready", "position"), None)
+of_audit("changes_top50", lambda a: top_changes(compare_runs(a.findings, 1, 2)).select("kind", "host", "rule", "url", "position", "total"), sql(f"""
+SELECT kind, host, rule, url, position, total FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {rank('severity')}, layer, rule, host, url) AS position, count(*) OVER (PARTITION BY kind) AS total FROM changes) AS q WHERE position <= 50""", _DIFF))
+of_audit("site_previews_top5", lambda a: V.site_previews(a).select(*SITE, "page_id", "position"), sql(f"""
+SELECT run_id, site_id, page_id, position FROM (
+  SELECT run_id, site_id, page_id, row_number() OVER (PARTITION BY run_id, site_id ORDER BY worst, -n, page_url, page_id) AS position FROM (
+    SELECT n.run_id AS run_id, n.site_id AS site_id, n.page_id AS page_id, n.final_url AS page_url, count(*) AS n, min(rank_) AS worst
+    FROM flat n JOIN (SELECT DISTINCT run_id, site_id, finding_no, rank_, {rstrip('u')} AS key FROM (SELECT *, unnest({_TOUCHED}) AS u FROM found) AS q) AS t ON t.run_id = n.run_id AND t.site_id = n.site_id AND t.key = {rstrip('n.final_url')}
+    GROUP BY n.run_id, n.site_id, n.page_id, n.final_url) AS p) AS r WHERE position <= 5"""))
+of_audit("severity_totals", V.severity_totals, sql(f"SELECT run_id, {', '.join(_SEV.split(', ')[:4])} FROM found GROUP BY run_id"))
+of_audit("morning_report", lambda a: morning_report(a.findings, a.flat, _scored(a), 2, 3), None)
+
+# the reader on planted tags ------------------------------------------------------------------------------------
+of_audit("head_planted", lambda a: a.pages.where("state = 'done'").select(
+    *SITE, "page_id", F.array_join("head.robots_all", "|").alias("robots"), F.array_join("head.canonical_all", "|").alias("canonicals"), "head.viewport", "head.og_title", "head.og_image", "head.charset",
+    F.array_join(F.transform("head.hreflang", lambda x: F.concat(x.lang, F.lit("="), x.href)), "|").alias("hreflang"), F.array_join("head.json_ld_types", "|").alias("types"), "head.title_count", "head.description_count"),
+    sql("""SELECT run_id, site_id, page_id, CASE v % 11 WHEN 0 THEN 'noindex' WHEN 1 THEN 'index, follow|NOINDEX' WHEN 2 THEN 'index|index' ELSE '' END AS robots,
+    CASE v % 7 WHEN 1 THEN final_url WHEN 2 THEN 'https://other.example.org/x' WHEN 3 THEN concat(final_url, '|', final_url) WHEN 4 THEN concat('https://', host, '/elsewhere') WHEN 5 THEN concat(final_url, '/') WHEN 6 THEN concat('https://', host, '/hub') ELSE '' END AS canonicals,
+    CASE v % 6 WHEN 0 THEN '' WHEN 1 THEN 'width=device-width, user-scalable = no' WHEN 2 THEN 'width=device-width, maximum-scale=1' ELSE 'width=device-width' END AS viewport,
+    CASE WHEN v % 4 IN (1, 2) THEN 'T' ELSE '' END AS og_title, CASE WHEN v % 4 IN (2, 3) THEN '/i.png' ELSE '' END AS og_image, CASE WHEN v % 10 = 5 THEN '' ELSE 'utf-8' END AS charset,
+    CASE v % 13 WHEN 0 THEN concat('en=', final_url, '|ru-ru=https://', host, '/ru') WHEN 1 THEN concat('x-default=https://', host, '/|de=https://', host, '/de') WHEN 2 THEN concat('ru=https://', host, '/elsewhere') ELSE '' END AS hreflang,
+    CASE v % 9 WHEN 1 THEN 'Article' WHEN 2 THEN 'Thing|Organization' WHEN 4 THEN 'Person|LocalBusiness' WHEN 5 THEN 'Article' ELSE '' END AS types,
+    CAST(CASE WHEN v % 16 = 9 THEN 2 ELSE 1 END AS INT) AS title_count, CAST(CASE v % 5 WHEN 0 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS INT) AS description_count FROM crawl WHERE state = 'done'""", upto="crawl"))
+
+# discovery -----------------------------------------------------------------------------------------------------
+URLS_MOST = 40
+
+
+def discovered(spark: SparkSession, d: str) -> DS.Discovery:
+    got = planted_responses(spark, d)
+    sites = got.where("url LIKE '%/robots.txt'").select(F.regexp_replace("url", "/robots.txt$", "").alias("origin"))
+    return DS.discover(sites, got, max_urls=URLS_MOST)
+
+
+_HTML = f"NOT regexp_matches(lower({part('url', 3)}), '[.](?:{'|'.join(D.SKIP_EXTENSIONS)})$')"
+_DISCOVERED = "WITH " + PLACED_SQL.format(pages="pages") + f""",
+l AS (
+  SELECT host, site_no, k, {_N3} AS url, CASE WHEN site_no % 3 <> 0 AND site_no % 2 = 0 THEN CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END ELSE 1 END AS map_ FROM (SELECT *, url AS s FROM placed) AS q
+  WHERE (site_no % 3 <> 0 AND site_no % 2 = 0) OR k % 2 = 1),
+c AS (SELECT host, site_no, url, 'sitemap' AS source, map_ * 10000000 + k AS o FROM l WHERE {_HTML} UNION ALL SELECT DISTINCT host, site_no, concat('https://', host, '/') AS url, 'seed' AS source, 0 AS o FROM placed),
+u AS (SELECT host, site_no, url, max(source) AS source, min(o) AS o FROM c GROUP BY host, site_no, url),
+j AS (SELECT *, NOT (site_no % 3 <> 0 AND {part('url', 3)} LIKE '/de/%' AND {part('url', 3)} NOT LIKE '/de/1%') AS ok FROM u),
+n AS (SELECT *, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY o, url ROWS UNBOUNDED PRECEDING) AS BIGINT) AS no FROM j)"""
+QUERIES["discover_urls"] = (lambda spark, d: discovered(spark, d).urls, _DISCOVERED + f" SELECT concat('https://', host) AS site, no, url, source FROM n WHERE ok AND no <= {URLS_MOST}")
+QUERIES["discovery_counters"] = (lambda spark, d: discovered(spark, d).counters, _DISCOVERED + f"""
+SELECT concat('https://', host) AS site, site_no % 3 <> 0 AS robots_present, CAST(CASE WHEN site_no % 3 <> 0 THEN 200 ELSE 404 END AS INT) AS robots_status, CASE WHEN site_no % 3 <> 0 THEN 1.5::DOUBLE END AS crawl_delay,
+  CAST(CASE WHEN site_no % 3 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS robots_rules, CAST(CASE WHEN site_no % 3 <> 0 AND site_no % 2 = 0 THEN 4 ELSE 1 END AS BIGINT) AS sitemaps_seen,
+  CAST(CASE WHEN site_no % 3 <> 0 AND site_no % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sitemap_errors, count(*) FILTER (source = 'sitemap') AS sitemap_url_count,
+  CASE WHEN site_no % 3 <> 0 AND site_no % 2 = 0 THEN 'robots' ELSE 'guess' END AS sitemap_via, count(*) FILTER (ok AND no <= {URLS_MOST}) AS url_count, count(*) FILTER (NOT ok AND no < {URLS_MOST}) AS blocked_by_robots,
+  bool_or(o = 0 AND source = 'sitemap') AS sitemap_had_home, count(*) > {URLS_MOST} AS truncated FROM n GROUP BY host, site_no""")
+QUERIES["sitemap_lastmod"] = (lambda spark, d: discovered(spark, d).lastmod, _DISCOVERED + """
+SELECT concat('https://', host) AS site, url, arg_max(concat('2024-01-0', CAST(k % 9 + 1 AS VARCHAR)), map_ * 10000000 + k) AS lastmod FROM (
+  SELECT l.host AS host, p.url AS url, l.k AS k, l.map_ AS map_ FROM l JOIN placed p ON p.host = l.host AND p.k = l.k WHERE l.k % 3 = 0) AS q GROUP BY host, url""")
+
+
+def links_unknown(a: Audit) -> DataFrame:
+    flat = a.flat.where("run_id = 1")
+    links = G.edges(flat.withColumn("site", F.col("origin"))).select("site_id", "page_id", "pos", "href").join(a.sites.where("run_id = 1").select("site_id", F.col("origin").alias("site")), "site_id")
+    return DS.expand_by_links(flat.where("source = 'sitemap'").select(F.col("origin").alias("site"), F.col("page_url").alias("url")), links, limit=1 << 30).select("site", "url")
+
+
+of_audit("links_unknown", links_unknown, sql(f"""
+SELECT DISTINCT site, url FROM (SELECT origin AS site, {_N3} AS url FROM (SELECT origin, href AS s FROM keyed WHERE run_id = 1) AS q) AS r
+WHERE {_HTML} AND NOT EXISTS (SELECT 1 FROM (SELECT origin AS o, {_N3} AS known FROM (SELECT origin, final_url AS s FROM flat WHERE run_id = 1 AND source = 'sitemap') AS t) AS w WHERE w.o = r.site AND w.known = r.url)""", upto="graph"))
+
+
+# fetching, replayed --------------------------------------------------------------------------------------------
+def fetch_replayed(pages: DataFrame) -> DataFrame:
+    case = F.get(F.array(*map(F.lit, HT.CASES)), (F.col("page_id") % len(HT.CASES)).cast("int"))
+    urls = pages.select(F.concat(F.lit("https://r"), (F.col("page_id") % 50).cast("string"), F.lit(".replay.test/"), case, F.lit("/"), F.col("page_id").cast("string")).alias("url"))
+    got = HT.fetch_pages(urls, HT.Policy(host_pause=0, retries=1, backoff=0, body_most=1000), HT.replay)
+    return got.select("requested_url", "final_url", "ok", "status", "error", "redirects", "content_type", "bytes", "truncated", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), "cache_state")
+
+
+_CASE = D.sql_case("page_id % 12", dict(enumerate(HT.CASES)))
+of_table("fetch_replayed", "pages", fetch_replayed, f"""
+WITH p AS (SELECT page_id AS n, {_CASE} AS c, concat('https://r', page_id % 50, '.replay.test/') AS root, concat('<html><head><meta charset="windows-1251"><title>Страница ', page_id, '</title></head></html>') AS page FROM pages),
+t AS (SELECT *, CASE WHEN c IN ('page', 'moved', 'hop', 'packed', 'named', 'odd', 'gone') THEN page WHEN c = 'busy' THEN 'busy' WHEN c = 'long' THEN repeat('x', 1000) ELSE '' END AS text FROM p)
+SELECT concat(root, c, '/', n) AS requested_url, CASE WHEN c IN ('moved', 'hop') THEN concat('https://replay.test/page/', n) ELSE concat(root, c, '/', n) END AS final_url, c <> 'lost' AS ok,
+  CAST(CASE c WHEN 'lost' THEN NULL WHEN 'busy' THEN 503 WHEN 'loop' THEN 302 WHEN 'gone' THEN 404 ELSE 200 END AS INT) AS status, CASE WHEN c = 'lost' THEN 'OSError: no route' ELSE '' END AS error,
+  CAST(CASE c WHEN 'loop' THEN 6 WHEN 'moved' THEN 2 WHEN 'hop' THEN 1 ELSE 0 END AS INT) AS redirects,
+  CASE c WHEN 'lost' THEN '' WHEN 'loop' THEN '' WHEN 'named' THEN 'text/html; charset=UTF-8' WHEN 'odd' THEN 'text/html; charset=nonsense' WHEN 'picture' THEN 'image/png' ELSE 'text/html' END AS content_type,
+  CAST(CASE c WHEN 'named' THEN strlen(text) WHEN 'picture' THEN 4 ELSE length(text) END AS INT) AS bytes, c = 'long' AS truncated, sha256(text) AS text_sha,
+  CASE WHEN c IN ('page', 'busy', 'moved', 'hop', 'packed', 'long', 'gone') THEN 'hit' ELSE '' END AS cache_state FROM t""")
+of_table("days_label", "events", lambda e: e.select("event_id", X.days_label(F.when(F.col("event_id") % 3 == 0, "1, 4,9").when(F.col("event_id") % 3 == 1, "7").otherwise("*")).alias("label")),
+         "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Mon, Thu' WHEN 1 THEN 'Sun' ELSE 'every day' END AS label FROM events")

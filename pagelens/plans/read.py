@@ -37,7 +37,34 @@ def site_order() -> list[Column]:
     return [(F.col("state") == "done").asc(), F.asc("score"), F.asc("site_id")]
 
 
-def list_runs(a: Audit) -> DataFrame:
+def placed(df: DataFrame, order: list[Column], within: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """df with position: each row's place in this order."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+
+
+def list_sites(a: Audit, run_id: int) -> DataFrame:
+    """The sites of a run, those that aren't done first, then the lowest score; state in words, and the run's average score."""
+    rows = site_rows(a).where(F.col("run_id") == run_id)
+    average = rows.agg(F.bround(F.avg(F.when(F.col("state") == "done", F.col("score")))).cast("int").alias("average"))
+    return placed(rows, site_order()).join(F.broadcast(average)).withColumn("state_label", D.pick(F.col("state"), D.STATES, ""))
+
+
+def stored_order() -> list[Column]:
+    """How a site's stored findings are read."""
+    return [F.asc("layer"), F.asc("rule"), F.asc("url"), F.asc("finding_no")]
+
+
+def run_order() -> list[Column]:
+    """How all findings of a run are read."""
+    return [F.asc("layer"), F.asc("origin"), F.asc("rule"), F.asc("url"), F.asc("site_id"), F.asc("finding_no")]
+
+
+def severity_totals(a: Audit) -> DataFrame:
+    """Of every run: how many findings of each severity that asks for work."""
+    return a.findings.groupBy("run_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in D.SEVERITIES if s != "info"])
+
+
+def list_runs(a: Audit, limit: int = D.RUNS_MOST) -> DataFrame:
     """Newest first: sites done and failed, pages, findings, tasks, severities, average scores (rounded, cut), worst site."""
     done = F.col("state") == "done"
     r = site_rows(a).groupBy("run_id").agg(
@@ -45,7 +72,7 @@ def list_runs(a: Audit) -> DataFrame:
         F.bround(F.avg(F.when(done, F.col("score")))).cast("int").alias("average"), F.floor(F.avg(F.when(done, F.col("score")))).cast("int").alias("average_cut"),
         F.min_by("host", F.when(done, F.struct("score", "site_id"))).alias("worst"),
     )
-    return r.join(F.broadcast(a.runs), "run_id").orderBy(F.desc("run_id"))
+    return r.join(F.broadcast(a.runs), "run_id").orderBy(F.desc("run_id")).limit(clamp(limit, D.RUNS_MOST))
 
 
 def run_summary(a: Audit) -> DataFrame:
@@ -85,28 +112,57 @@ def site_history(a: Audit, top: int = 12) -> DataFrame:
 
 
 def list_findings(a: Audit, run_id: int, min_severity: str = "info", page_url: str = "", limit: int = D.PAGE_SIZE) -> DataFrame:
+    """Findings by layer and severity, each with its position and the total before the limit."""
     f = a.findings.where(F.col("run_id") == run_id).where(at_least(min_severity))
     f = slice_of_page(f, page_url) if page_url else f.withColumn("matched_via", F.lit(""))
-    return f.orderBy("layer", D.rank(F.col("severity")), "site_id", "finding_no").limit(clamp(limit)).select("site_id", "finding_no", "rule", "severity", "url", "matched_via")
+    return _page(f, [F.asc("layer"), D.rank(F.col("severity")), F.asc("site_id"), F.asc("finding_no")], limit).select("site_id", "finding_no", "rule", "severity", "url", "matched_via", "position", "total")
+
+
+def _page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows in this order with position and total; only these reach one task, the total is a count of its own."""
+    first = df.orderBy(*order).limit(clamp(limit)).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+    return first.join(F.broadcast(df.agg(F.count("*").alias("total"))))
 
 
 def list_tasks(a: Audit, run_id: int, min_severity: str = "medium", page_url: str = "", limit: int = D.PAGE_SIZE) -> DataFrame:
-    """Tasks by severity and site; with a page, those whose urls have it, whole, and the address that matched."""
+    """Tasks by severity and site, with position and total; with a page, those whose urls have it, whole, and the address that matched."""
     t = build_tasks(a.findings.where(F.col("run_id") == run_id), min_severity)
     key = N.same_key(F.lit(page_url))
     t = t.withColumn("matched", F.get(F.filter("urls", lambda u: N.same_key(u) == key), F.lit(0)) if page_url else F.lit(""))
     t = t.where("matched is not null") if page_url else t
-    return t.orderBy(D.rank(F.col("severity")), "host", *task_order()[1:]).limit(clamp(limit)).withColumn("urls", F.slice("urls", 1, 20))
+    return _page(t, [D.rank(F.col("severity")), F.asc("host"), *task_order()[1:]], limit).withColumn("urls", F.slice("urls", 1, 20))
+
+
+def site_detail(a: Audit, host: str) -> dict[str, DataFrame]:
+    """A site's card: its latest state, history, severities, tasks in order, and the five pages in most need."""
+    label = N.host_label(F.lit(host))
+    rows = a.sites.join(F.broadcast(a.runs), "run_id").where(N.host_label("origin") == label)
+    last = rows.orderBy(F.desc("started_at"), F.desc("site_id")).limit(1).select(*SITE)
+    mine = lambda df: df.join(F.broadcast(last), SITE, "left_semi")
+    pages = mine(site_pages(a, True)).orderBy("worst", F.desc("findings"), "page_url").limit(5)
+    return {
+        "site": mine(site_rows(a)).withColumn("state_label", D.pick(F.col("state"), D.STATES, "")),
+        "history": site_history(a).where(N.host_label("host") == label).orderBy("rn"),
+        "tasks": mine(build_tasks(a.findings)).orderBy(*task_order()).limit(D.PAGE_SIZE),
+        "pages": pages,
+    }
+
+
+def site_previews(a: Audit, top: int = 5) -> DataFrame:
+    """Of every site the pages in most need: by worst severity, number of findings and address."""
+    return placed(site_pages(a, True).drop("position"), [F.asc("worst"), F.desc("findings"), F.asc("page_url"), F.asc("page_id")], tuple(SITE)).where(F.col("position") <= top)
 
 
 def site_pages(a: Audit, only_issues: bool = False) -> DataFrame:
-    """Every page with the findings that touch it: each finding's addresses are exploded once and joined by key."""
+    """Every page with the findings that touch it and its position on its site's screen: the worst first, clean pages last. Each
+    finding's addresses are exploded once and joined by key."""
     p = a.flat.select(*SITE, "page_id", "page_url", "page_key")
     t = a.findings.select(*SITE, "finding_no", "severity", F.explode(F.array_distinct(F.transform(touched(), lambda u: N.same_key(u)))).alias("page_key")).distinct()
     j = p.join(t, [*SITE, "page_key"], "left").groupBy(*SITE, "page_id", "page_url").agg(
         F.count("finding_no").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in D.SEVERITIES], F.min(F.when(F.col("severity").isNotNull(), D.rank(F.col("severity")))).alias("worst")
     )
     out = j.withColumn("worst", F.coalesce("worst", F.lit(99)))
+    out = out.withColumn("position", F.row_number().over(Window.partitionBy(*SITE).orderBy("worst", "page_url", "page_id")).cast("long"))
     return out.where("findings > 0") if only_issues else out
 
 
@@ -169,10 +225,30 @@ def resolve_page_site(a: Audit, run_id: int, page_url: str, site: str = "") -> i
     return own.site_id
 
 
-def check_params(max_pages: int = 25, limit: int = 50, site_workers: int = 4, page_workers: int = 4, severity: str = "medium") -> None:
-    """Ranges of an audit's parameters."""
-    for name, value, low, high in (("max_pages", max_pages, 1, 500), ("limit", limit, 1, 200), ("site_workers", site_workers, 1, 16), ("page_workers", page_workers, 1, 8)):
+def check_params(max_pages: int = 25, limit: int = 50, site_workers: int = 4, page_workers: int = 4, severity: str = "medium", hour: int = 0, search: str = "", offset: int = 0) -> None:
+    """Ranges of the parameters of audits, lists, searches and schedules."""
+    ranges = (("max_pages", max_pages, 1, 500), ("limit", limit, 1, 200), ("site_workers", site_workers, 1, 16), ("page_workers", page_workers, 1, 8), ("hour", hour, 0, 23), ("offset", offset, 0, 1 << 31))
+    for name, value, low, high in ranges:
         if not low <= value <= high:
             raise BadInput(f"{name} must be {low} to {high}")
     if severity not in D.SEVERITIES:
         raise BadInput(f"severity must be one of {', '.join(D.SEVERITIES)}")
+    if len(search) > 200:
+        raise BadInput("search must have 200 characters at most")
+
+
+def tolerant_json(text, schema: str) -> Column:
+    """A JSON text as a struct; what can't be read is a struct of nulls."""
+    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), F.from_json(F.lit("{}"), schema))
+
+
+def register_functions(spark) -> None:
+    """The text and scoring functions under names for SQL, as expressions that the optimiser sees through."""
+    rank = D.sql_case("s", {x: i for i, x in enumerate(D.SEVERITIES)}, "9")
+    weight = D.sql_case("s", D.WEIGHT, "0")
+    for signature, kind, body in (
+        ("pl_collapse(x STRING)", "STRING", "trim(regexp_replace(coalesce(x, ''), '(?U)\\\\s+', ' '))"),
+        ("pl_visible_len(x STRING)", "INT", "char_length(trim(regexp_replace(coalesce(x, ''), '(?U)\\\\s+', ' ')))"),
+        ("pl_rank(s STRING)", "INT", rank), ("pl_weight(s STRING)", "INT", weight), ("pl_score(s STRING, effort INT)", "DOUBLE", f"({weight}) / greatest(1, effort)"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")

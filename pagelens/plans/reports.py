@@ -49,7 +49,7 @@ def portfolio_report(a: Audit) -> DataFrame:
 def page_report(a: Audit, run_id: int, page_url: str) -> DataFrame:
     """One Markdown text: the findings that touch a page, in the order of work."""
     f = slice_of_page(a.findings.where(F.col("run_id") == run_id), page_url)
-    line = F.concat(F.lit("- "), "severity", F.lit(" "), "rule", F.lit(" ("), "matched_via", F.lit(")"))
+    line = F.concat(F.lit("- "), "severity", F.lit(" "), "rule", F.lit(" ("), "matched_via", F.lit("): "), "message")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site_id", "finding_no", line.alias("t")))), lambda x: x.t), "\n")
     return f.agg(F.concat(F.lit(f"# {page_url}\n\n"), F.count("*").cast("string"), F.lit(" findings\n\n"), lines, F.lit("\n")).alias("report"))
 

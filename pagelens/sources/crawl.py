@@ -16,6 +16,7 @@ LONG = GOOD + " And then it goes on for longer than any list of results would ev
 SHORT = "A short note."
 LONG_TITLE = "A title that goes on and on until no list of results can show it in full "
 CYRILLIC = "Страница на другом языке чем заявлено "
+CYRILLIC_SHORT = "Короткое описание на другом языке."
 
 #: Every page of every run, raw: url, html and response; {pages} is the table of raw pages.
 CRAWL_SQL = f"""
@@ -33,7 +34,7 @@ turned AS (
          CASE WHEN (i + run_id) % 6 = 5 AND k > 1 THEN replace(url, 'https://', 'http://') ELSE url END AS final_url
   FROM linked l CROSS JOIN runs_ WHERE NOT ((i + run_id) % 19 = 0 AND k > 1)),
 headed AS (
-  SELECT t.*, CASE v % 5 WHEN 1 THEN '<meta name="description" content="{SHORT}">' WHEN 2 THEN '<meta name="description" content="{GOOD}">'
+  SELECT t.*, CASE v % 5 WHEN 1 THEN CASE WHEN v % 25 = 6 THEN '<meta name="description" content="{CYRILLIC_SHORT}">' ELSE '<meta name="description" content="{SHORT}">' END WHEN 2 THEN '<meta name="description" content="{GOOD}">'
                 WHEN 3 THEN '<meta name="description" content="{LONG}">' WHEN 4 THEN '<meta name="description" content="{GOOD}"><meta name="description" content="again">' ELSE '' END AS d1,
          CASE v % 7 WHEN 1 THEN concat('<link rel="canonical" href="', final_url, '">') WHEN 2 THEN '<link rel="canonical" href="https://other.example.org/x">'
                 WHEN 3 THEN concat('<link rel="canonical" href="', final_url, '"><link rel="canonical" href="', final_url, '">') WHEN 4 THEN concat('<link rel="canonical" href="https://', host, '/elsewhere">')
@@ -71,6 +72,8 @@ crawl AS (
          site_no % 3 <> 0 AS robots_present, site_no % 4 <> 0 AS sitemaps_seen, site_no % 5 <> 0 AS robots_sitemaps
   FROM (SELECT g.*, CASE WHEN v % 10 = 5 THEN replace(h3_, '<meta charset="utf-8">', '') ELSE h3_ END AS h4_ FROM tagged g) AS z)
 """
+#: The pages of every host with their numbers and addresses: the beginning of the crawl.
+PLACED_SQL = CRAWL_SQL.split("linked AS (")[0].strip().rstrip(",")
 COLUMNS = "run_id, site_id, host, origin, page_id, url, final_url, html, source, state, status, redirects, elapsed_ms, content_type, cache_state, cache_stale, robots_present, sitemaps_seen, robots_sitemaps"
 
 
@@ -85,6 +88,25 @@ def crawl_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         *[F.first(c).alias(c) for c in ("host", "origin", "robots_present", "sitemaps_seen", "robots_sitemaps")],
         F.when(F.pmod("site_id", F.lit(17)) == 0, "error").when(F.pmod("site_id", F.lit(13)) == 0, "fetching").otherwise("done").alias("state"),
     )
-    pages = raw.withColumn("head", F.when(F.col("state") == "done", extract_head("html", "final_url", "origin"))).drop("html", "robots_present", "sitemaps_seen", "robots_sitemaps")
+    pages = raw.withColumn("head", F.when(F.col("state") == "done", extract_head("html", "final_url"))).drop("html", "robots_present", "sitemaps_seen", "robots_sitemaps")
     runs = spark.createDataFrame([(1, 1_785_000_000, "first"), (2, 1_785_086_400, "second"), (3, 1_785_172_800, "third")], "run_id int, started_at long, label string")
     return runs, sites, pages
+
+
+def planted_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, status and text of robots.txt and sitemaps of the hosts: some are declared, some guessed, one is missing."""
+    p = spark.sql(f"WITH {PLACED_SQL} SELECT host, site_no, k, url FROM placed", pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    day = F.when(F.col("k") % 3 == 0, F.concat(F.lit("<lastmod>2024-01-0"), (F.col("k") % 9 + 1).cast("string"), F.lit("</lastmod>"))).otherwise("")
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), day, F.lit("</url>"))
+    listed = lambda rest: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") % 2 == rest, F.struct("k", entry.alias("t"))))), lambda x: x.t), "")
+    s = p.groupBy("host", "site_no").agg(listed(0).alias("even"), listed(1).alias("odd"))
+    at = F.concat(F.lit("https://"), "host")
+    robots = F.concat(F.lit("User-agent: *\nDisallow: /de/\nAllow: /de/1\nCrawl-delay: 1,5\n"), F.when(F.col("site_no") % 2 == 0, F.concat(F.lit("Sitemap: "), at, F.lit("/maps.xml\n"))).otherwise(""))
+    index = F.concat(F.lit("<sitemapindex>"), *[x for name in ("m0", "m1", "gone") for x in (F.lit("<sitemap><loc>"), at, F.lit(f"/{name}.xml</loc></sitemap>"))], F.lit("</sitemapindex>"))
+    foreign = F.concat(F.lit("<url><loc>https://elsewhere.example.org/x</loc></url><url><loc>"), at, F.lit("/paper.PDF</loc></url>"))
+    there = F.col("site_no") % 3 != 0
+    files = [
+        ("/robots.txt", F.when(there, 200).otherwise(404), F.when(there, robots).otherwise("")), ("/maps.xml", F.lit(200), index), ("/m0.xml", F.lit(200), F.concat("even", foreign)), ("/m1.xml", F.lit(200), F.col("odd")),
+        ("/sitemap_index.xml", F.lit(404), F.lit("<urlset><url><loc>https://x/</loc></url></urlset>")), ("/wp-sitemap.xml", F.lit(200), F.col("odd")),
+    ]
+    return s.select(F.inline(F.array(*[F.struct(F.concat(at, F.lit(path)).alias("url"), status.alias("status"), text.alias("text")) for path, status, text in files])))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import dims as D
 from pagelens.functions import urls as N
+from pagelens.sources.store import stored
 
-GUESSES = ["/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml", "/sitemap-index.xml", "/sitemap1.xml"]
+# fixed values -----------------------------------------------------------------------------------
+GUESSES = ["/sitemap_index.xml", "/sitemap.xml", "/wp-sitemap.xml", "/sitemap-index.xml", "/sitemap1.xml"]
+# end of fixed values ----------------------------------------------------------------------------
 
 
 def read_site_list(spark: SparkSession, path: str) -> DataFrame:
@@ -24,24 +27,46 @@ def parse_site_list(raw) -> Column:
     return F.transform(F.filter(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(keys, N.list_key(s.x)) == s.i + 1), lambda s: N.with_scheme(s.x))
 
 
-def robots_rules(files: DataFrame, agent: str) -> DataFrame:
-    """site, pattern and allow from robots.txt texts (site, text): the agent's group, else that of *.
+def _robots_lines(files: DataFrame) -> DataFrame:
+    lines = files.select("site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n|\r")).alias("no", "line"))
+    lines = lines.withColumn("line", N.strip(F.regexp_replace("line", "#.*$", ""))).where("instr(line, ':') > 0")
+    return lines.select("site", "no", F.lower(N.strip(F.substring_index("line", ":", 1))).alias("field"), N.strip(F.expr("substr(line, instr(line, ':') + 1)")).alias("value"))
+
 
-    A group is a run of User-agent lines and what follows them; lines are numbered, so that group
+def _own_group(files: DataFrame, agent: str) -> DataFrame:
+    """The lines of the group that holds for the agent: the first that names it, else the first of *.
+
+    A group is a run of User-agent lines and the rules that follow them; lines are numbered, so that group
     membership is a running count over a site's lines.
     """
-    lines = files.select("site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("no", "line"))
-    lines = lines.withColumn("line", N.strip(F.regexp_replace("line", "#.*$", ""))).where("instr(line, ':') > 0")
-    lines = lines.select("site", "no", F.lower(N.strip(F.substring_index("line", ":", 1))).alias("field"), N.strip(F.expr("substr(line, instr(line, ':') + 1)")).alias("value"))
+    lines = _robots_lines(files).where(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
     w = Window.partitionBy("site").orderBy("no")
     is_agent = F.col("field") == "user-agent"
     lines = lines.withColumn("begins", (is_agent & ~F.coalesce(F.lag(is_agent).over(w), F.lit(False))).cast("int")).withColumn("grp", F.sum("begins").over(w))
     groups = lines.where(is_agent).groupBy("site", "grp").agg(F.max(F.lower("value") == agent.lower()).alias("own"), F.max(F.col("value") == "*").alias("any"))
     best = groups.where("own OR any").groupBy("site").agg(F.min_by("grp", F.struct(~F.col("own"), "grp")).alias("grp"))
-    rules = lines.where(F.col("field").isin("allow", "disallow") & (F.col("value") != "")).join(best, ["site", "grp"])
+    return lines.join(best, ["site", "grp"])
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """site, pattern and allow from robots.txt texts (site, text) for the agent; an empty pattern matches nothing and is left out."""
+    rules = _own_group(files, agent).where(F.col("field").isin("allow", "disallow") & (F.col("value") != ""))
     return rules.select("site", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow"))
 
 
+def robots_delays(files: DataFrame, agent: str) -> DataFrame:
+    """site and crawl_delay in seconds (the last number that the agent's group gives)."""
+    dotted = F.replace("value", F.lit(","), F.lit("."))
+    given = F.when(dotted.rlike(r"^[0-9]+[.]?[0-9]*$|^[.][0-9]+$"), dotted.cast("double"))
+    lines = _own_group(files, agent).where("field = 'crawl-delay'").withColumn("delay", given).where("delay is not null")
+    return lines.groupBy("site").agg(F.max_by("delay", "no").alias("crawl_delay"))
+
+
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """site, pos and url of the sitemaps that robots.txt names, whatever group they stand in."""
+    return _robots_lines(files).where("field = 'sitemap' AND value != ''").select("site", F.col("no").alias("pos"), F.col("value").alias("url"))
+
+
 def pattern_regex(pattern) -> Column:
     """A robots pattern as a regular expression: * is any run, leftmost without going back; $ at the end ends the path."""
     ends = F.endswith(pattern, F.lit("$"))
@@ -68,29 +93,43 @@ def is_sitemap_index(xml) -> Column:
     return xml.rlike("(?i)<sitemapindex")
 
 
-def expand_sitemaps(files: DataFrame, roots: DataFrame, most: int = 60) -> DataFrame:
-    """site, url of pages from sitemaps (url, xml), from the roots (site, url) through indexes; loops end as seen maps are left out.
+def sitemap_lastmod(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """site, url and lastmod from the sitemaps (url, xml) that were seen (site, url) and are no indexes; of several the last map's."""
+    entry = F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1)))
+    rows = seen.select("site", "url", "no").join(files, "url").where(~is_sitemap_index(F.col("xml"))).select("site", "no", entry.alias("entry"))
+    rows = rows.select("site", "no", F.get(sitemap_locs(F.col("entry")), F.lit(0)).alias("url"), F.regexp_extract("entry", r"(?is)<lastmod>\s*([^<\s]+)\s*</lastmod>", 1).alias("lastmod"))
+    return rows.where("url is not null AND lastmod != ''").groupBy("site", "url").agg(F.max_by("lastmod", "no").alias("lastmod"))
+
+
+def walk_sitemaps(files: DataFrame, roots: DataFrame, most: int = 60, form=F.col) -> tuple[DataFrame, DataFrame]:
+    """seen (site, url, no) and locs (site, url, no, pos) of pages, from sitemaps (url, xml), from the roots (site, url, perhaps pos)
+    through indexes; loops end as seen maps are left out. form: how an index's addresses are written among the files.
 
     Of every site the first `most` different maps count, over all levels, in the order in which they are first seen: roots by
-    url, then the maps that the indexes of a level name, in the order of those indexes and of their lines.
+    pos and url, then the maps that the indexes of a level name, in the order of those indexes and of their lines.
     """
-    sc = files.sparkSession.sparkContext._jsc.sc()
-    keep = (lambda df: df.checkpoint()) if sc.getCheckpointDir().isDefined() else (lambda df: df.localCheckpoint())
+    keep = lambda df: stored(df, "sitemaps")
     in_order = Window.partitionBy("site").orderBy("no", "pos", "url")
-    front = roots.select("site", "url").distinct().withColumns({"no": F.lit(0), "pos": F.lit(0), "before": F.lit(0)})
+    pos = F.min("pos") if "pos" in roots.columns else F.lit(0)
+    front = roots.groupBy("site", "url").agg(pos.cast("int").alias("pos")).withColumns({"no": F.lit(0), "before": F.lit(0)})
     seen = found = None
     while True:
         front = keep(front.withColumn("no", F.col("before") + F.row_number().over(in_order)).where(F.col("no") <= most).select("site", "url", "no"))
-        if front.isEmpty():
-            return found.distinct() if found is not None else front.select("site", "url")
+        if seen is not None and front.isEmpty():
+            return seen, found
         seen = front if seen is None else keep(seen.unionByName(front))
         got = front.join(files, "url").select("site", "no", is_sitemap_index(F.col("xml")).alias("index"), F.posexplode(sitemap_locs(F.col("xml"))).alias("pos", "loc"))
-        pages = got.where("NOT index").select("site", F.col("loc").alias("url"))
+        pages = got.where("NOT index").select("site", F.col("loc").alias("url"), "no", "pos")
         found = pages if found is None else found.unionByName(pages)
-        named = got.where("index").groupBy("site", F.col("loc").alias("url")).agg(F.min(F.struct("no", "pos")).alias("first")).select("site", "url", "first.no", "first.pos")
+        named = got.where("index").groupBy("site", form("loc").alias("url")).agg(F.min(F.struct("no", "pos")).alias("first")).select("site", "url", "first.no", "first.pos")
         front = named.join(seen.select("site", "url"), ["site", "url"], "left_anti").join(seen.groupBy("site").agg(F.count("*").cast("int").alias("before")), "site")
 
 
+def expand_sitemaps(files: DataFrame, roots: DataFrame, most: int = 60) -> DataFrame:
+    """site and url of the pages that walk_sitemaps() finds."""
+    return walk_sitemaps(files, roots, most)[1].select("site", "url").distinct()
+
+
 def cache_reading(headers) -> tuple[Column, Column]:
     """hit, miss or the first 20 characters of the first cache header that says something; and whose cache it is."""
     state = layer = None

@@ -14,6 +14,13 @@ def parse_days(raw) -> Column:
     return F.when(s.isin("", "*", "daily") | (F.size(good) == 0), F.sequence(F.lit(0), F.lit(6))).otherwise(good)
 
 
+def days_label(raw) -> Column:
+    """The days of parse_days in words."""
+    names = F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")])
+    days = parse_days(raw)
+    return F.when(F.size(days) == 7, "every day").otherwise(F.array_join(F.transform(days, lambda d: F.get(names, d)), ", "))
+
+
 def due_reason(ts, enabled, days, hour, last_date) -> Column:
     """disabled, other_day, too_early, already_today, on_time or catching_up; ts is UTC, days as from parse_days."""
     now = F.hour(ts)
@@ -62,8 +69,3 @@ def pending(queue: DataFrame, done: DataFrame) -> DataFrame:
 def resumable_sites(sites: DataFrame) -> DataFrame:
     """Sites that a resumed run goes on with; failed ones are not tried again."""
     return sites.where(F.col("state").isin("pending", "discovering", "fetching"))
-
-
-def replace_findings(found: DataFrame, folder: str) -> None:
-    """Writes findings by run and site; a second analysis of a site replaces its rows and no others."""
-    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "site_id").parquet(folder)

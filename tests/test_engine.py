@@ -32,7 +32,7 @@ KEEP = [x.split(":")[0] for x in PAGE.split("head struct<")[1][:-1].replace("arr
 
 
 def page(i, url, html="", status=200, state="done", source="link", **more):
-    h = read_head(html, url, "https://a.md")
+    h = read_head(html, url)
     return {
         "run_id": 1, "site_id": 1, "host": "a.md", "origin": "https://a.md", "page_id": i, "url": url, "final_url": url, "source": source, "state": state, "status": status, "redirects": 0,
         "elapsed_ms": 300, "content_type": "text/html", "cache_state": "", "cache_stale": False, "head": {k: h[k] for k in KEEP} if html else None,
@@ -49,10 +49,26 @@ HOME = '<html lang="ro"><head><title>Un titlu destul de lung pentru pagina</titl
 
 def test_head_reader():
     h = read_head('<HTML LANG=ru><title>A &amp; B</title><meta property=og:title content=T><h1>x<b>y</b></h1><h3>z</h3><p>one</p>two<script>no</script><a href="/in">i</a><a href="https://else/x">e</a><img><img alt=q>'
-                  '<script type="application/ld+json">{"@graph":[{"@type":["A","B"]}]}</script>', "https://a.md/p", "https://a.md")
+                  '<script type="application/ld+json">{"@graph":[{"@type":["A","B"]}]}</script>', "https://a.md/p")
     assert (h["title"], h["html_lang"], h["og_title"], h["h1"], h["heading_levels"]) == ("A & B", "ru", "T", ["xy"], [1, 3])
     assert (h["links_internal"], h["links_external"], h["images_total"], h["images_no_alt"], h["json_ld_types"]) == (["https://a.md/in"], 1, 2, 1, ["A", "B"])
-    assert read_head(None, None, None)["title"] == "" and read_head("<a href='http://[x'>", "u", "o")["links_external"] == 0
+    assert read_head(None, None)["title"] == "" and read_head("<a href='http://[x'>", "u")["links_external"] == 0
+
+
+def test_head_reader_cases():
+    get = lambda html: read_head(html, "https://a.md/p")
+    assert get('<meta http-equiv="Content-Type" content="text/html; charset=utf-8">')["charset"] == "" and get("<meta charset=' UTF-8 '>")["charset"] == "UTF-8"
+    assert get('<a href="httpx://b/"><a href="http://b/"><a href="https://b/"><a href="#x"><a href="mailto:x">')["links_external"] == 2
+    links = get('<link rel="Alternate" hreflang=" EN " href="/en"><link rel=alternate hreflang=en href="/en"><link rel="x canonical" href="c">')
+    assert links["hreflang"] == [{"lang": "en", "href": "https://a.md/en"}] and links["canonical"] == "https://a.md/c"
+    assert get('<h1>a<script type="application/ld+json">{"@type": ["B", 3]}</script>b</h1>')["h1"] == ["ab"]
+    assert get('<script type="application/ld+json"> {"@type": ["B", 3]} </script>')["json_ld_types"] == ["B", "3"]
+    metas = get('<meta name=robots content=" a \n b "><meta name=robots><meta name=viewport content="x  y"><meta name=viewport content="z"><meta name="OG:Title" content="n"><meta property="og:title" content="p">')
+    assert (metas["robots_all"], metas["robots"], metas["viewport"], metas["og_title"]) == (["a b", ""], "a b", "z", "n")
+    assert get("<title></title><svg><title>One</title></svg><title>Two</title>")["title"] == "One" and get("<title>a</title><title>b</title>")["title_count"] == 2
+    assert get("<p>one</p>two<br>three<style>x</style><noscript>n</noscript>")["text_sample"] == "one twothree"
+    assert get("<html lang=' ro '><meta http-equiv=content-language content=en>")["html_lang"] == "ro" and get("<meta http-equiv=content-language content=en>")["html_lang"] == "en"
+    assert read_head('<a href="/x">', "http://a.md/p")["links_internal"] == ["http://a.md/x"] and read_head('<a href="https://a.md/x">', "http://a.md/p")["links_external"] == 1
 
 
 def test_canonical_to_another_language(spark):
@@ -110,7 +126,7 @@ def finding(rule, url, severity="high", no=1, run=1, **e):
     return (run, 1, "a.md", "https://a.md", no, rule, 1, severity, 2, url, rule, "", False, e)
 
 
-FOUND = "run_id int, site_id long, host string, origin string, finding_no long, rule string, layer int, severity string, effort int, url string, message string, detail string, fixable boolean, evidence struct<urls:array<string>,orphans:array<string>,targets:array<string>,pages:array<struct<url:string,depth:int>>,section:string,value:string,canonical:string,count:bigint,examples:map<string,array<string>>>"
+FOUND = "run_id int, site_id long, host string, origin string, finding_no long, rule string, layer int, severity string, effort int, url string, message string, detail string, fixable boolean, evidence struct<urls:array<string>,orphans:array<string>,targets:array<string>,dead:array<string>,pages:array<struct<url:string,depth:int>>,section:string,post_type:string,cluster:string,value:string,canonical:string,count:bigint,examples:map<string,array<string>>>"
 
 
 def test_tasks(spark):
@@ -206,8 +222,8 @@ def test_task_titles_whole(spark, monkeypatch):
     pages = [page(1, "https://a.md/1", head("t" * 9, "d" * 40)), page(2, "https://a.md/2", head("t" * 12, "d" * 200)), page(3, "https://a.md/3", head("t" * 70, "d" * 130)), page(4, "https://a.md/4", HOME, status=503), page(5, "https://a.md/5", HOME, status=500)]
     found = page_findings(flat_pages(spark.createDataFrame([dict(p) for p in pages], PAGE)))
     found = found.withColumn("finding_no", F.col("page_id")).withColumn("severity", F.when(F.col("rule").rlike("server_error|too_"), "high").otherwise(F.col("severity")))
-    got = {r.rule: (r.title, r.tags) for r in of_fixture("task_titles_whole", spark, monkeypatch, found) if r.rule == "http.server_error" or ".too_" in r.rule}
-    want = {"http.server_error": "server answers 503 — 2 pages", "title.too_short": "title is short: 9 — 2 pages", "title.too_long": "title is long: 70", "description.too_short": "description is short: 40", "description.too_long": "description is long: 200"}
+    got = {r.rule: (r.title, r.tags) for r in of_fixture("task_titles", spark, monkeypatch, found) if r.rule == "http.server_error" or ".too_" in r.rule}
+    want = {"http.server_error": "Server error: 503 — 2 pages", "title.too_short": "Title is short: 9 — 2 pages", "title.too_long": "Title is long: 70", "description.too_short": "Description is short: 40", "description.too_long": "Description is long: 200"}
     assert {k: v[0] for k, v in got.items()} == {k: "[a.md] " + v for k, v in want.items()}
     assert all(v[1].endswith(",seo:high,a.md") for v in got.values())
 
@@ -216,7 +232,7 @@ def test_page_slice_whole(spark, monkeypatch):
     me, other = "https://tionsh.example.net", "https://tionsh.example.net/else"
     rows = [finding("a", me, no=1), finding("b", other, no=2, urls=[other, me + "/"]), finding("c", other, no=3, pages=[(me, 4)]), finding("d", other, no=4, examples={"t": [other, me]}), finding("e", other, no=5, urls=[other]),
             finding("f", me + "/", no=6, urls=[me]), finding("g", other, no=7, orphans=[me]), finding("h", other, no=8, targets=["HTTPS://Tionsh.Example.NET:443/"]), finding("a", me, no=1, run=2)]
-    got = {(r.rule, r.matched_via) for r in of_fixture("list_findings_page_whole", spark, monkeypatch, spark.createDataFrame(rows, FOUND))}
+    got = {(r.rule, r.matched_via) for r in of_fixture("list_findings_page_slice", spark, monkeypatch, spark.createDataFrame(rows, FOUND))}
     assert got == {("a", "url"), ("f", "url")} | {(k, "evidence") for k in "bcdgh"}
 
 
