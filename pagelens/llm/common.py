@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pagelens.llm.words import blocks
 
 REPO = str(Path(__file__).resolve().parents[2])
 
@@ -29,15 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, on one machine, a temporary one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagelens-"))
+    if not current.isDefined():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagelens-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -65,6 +71,20 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def with_results(docs: DataFrame, keep: list[str], column: str, made: list[tuple[str, T.DataType]], run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]]) -> DataFrame:
+    """The `keep` columns of every row and the columns `made` by run(), which gets blocks whose last column is `column` and gives
+    lists of arrays, the kept ones first. Names may be any: the tasks see numbers."""
+    rows = docs.select(*[named(c).alias(f"c{k}") for k, c in enumerate(keep)], named(column).alias("t"))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"m{k}", t) for k, (_, t) in enumerate(made))])
+    names = schema.fieldNames()
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in run(blocks(batches, "t")):
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.mapInArrow(in_task, schema).toDF(*keep, *(name for name, _ in made))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`; null ids count as remainder 0 of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
