@@ -5,17 +5,20 @@ of text, with the shard's documents, its terms and, by term, the ascending posit
 term occurs. A query window is answered in every shard by taking the list of its rarest term,
 adjusted by the term's place in the window, and intersecting it with the other terms' adjusted
 lists from rare to frequent; a window with an absent term ends at once. The index is sharded by
-document, so neither building nor asking it moves postings between machines. An index that will
-only be asked for a known benchmark leaves out the terms that the benchmark doesn't have.
+document, so neither building nor asking it moves postings between machines.
 
-The benchmark is asked in blocks of BLOCK_ITEMS items: what is sent to the tasks at once is
-bounded, and more items take more blocks.
+An index that is made for one benchmark keeps only terms whose hash falls on a bit that a term of
+the benchmark sets: TERM_BITS bits whatever the benchmark's size, so the larger the benchmark,
+the nearer the index comes to the complete one, and no answer depends on it. The benchmark is
+asked in blocks of BLOCK_BYTES bytes of items (a longer item is a block of its own): what is sent
+to the tasks at once is bounded, more items take more blocks, and every size takes the same path.
 
 Terms are 64-bit hashes of lower-cased words. Cases: null and empty texts have no words and are
 never hit. Items without words match nothing; repeated items match separately, each item_id
 counted once. Items with a null item_id hit as others do; together they count as one item, a
-null at the end of a document's items, which the joined text of the items leaves out. Rows that repeat a doc_id are judged on their own. Empty tables give empty or
-clean results. Other columns are not read; a text of any length is one shard at most.
+null at the end of a document's items, which the joined text of the items leaves out. Rows that
+repeat a doc_id are judged on their own. Empty tables give empty or clean results. Other columns
+are not read, and the stage carries them under any name; a text of any length is one shard at most.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored, table
+from pagelens.llm.common import free_name, named, stored, table
 from pagelens.llm.words import ALNUM, LOWER, U, Words, blocks, bytes_of
 
-SHARD_BYTES, BLOCK_ITEMS, SIZE = 2 << 20, 20_000, 10
+SHARD_BYTES, BLOCK_BYTES, SIZE, TERM_BITS = 1 << 20, 1 << 20, 10, 24
 INDEX = "shard string, doc_ids array<long>, first array<int>, terms array<long>, sizes array<int>, positions array<int>"
 
 
@@ -60,30 +63,35 @@ class Queries:
         self.vocabulary = np.unique(h)
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The index of doc_id and text as a stored table; of all terms, or of a sorted vocabulary of hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
+def term_bits(benchmark: DataFrame) -> np.ndarray:
+    """Which hashes' first TERM_BITS bits occur among the benchmark's terms."""
+    bits = np.zeros(1 << TERM_BITS, bool)
+    for held in item_blocks(benchmark):
+        data, off = bytes_of(pa.array([t for _, t in held], pa.large_string()))
+        bits[(Words(LOWER[data], off, ALNUM).hashes() >> U(64 - TERM_BITS)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def build_index(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """The index of doc_id and text as a stored table; of all terms, or of those that term_bits() lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value if sent else None
-        if known is not None:
-            maybe = np.zeros(1 << 16, bool)
-            maybe[(known & U(0xFFFF)).astype(np.int64)] = True
+        known = np.unpackbits(sent.value).view(bool) if sent else None
         for part in blocks(batches, "text", SHARD_BYTES):
             data, off = bytes_of(part.column(1))
             words = Words(LOWER[data], off, ALNUM)
             h = words.hashes()
-            at = np.arange(len(h))
-            if known is not None:
-                at = np.flatnonzero(maybe[(h & U(0xFFFF)).astype(np.int64)])
-                place = np.searchsorted(known, h[at])
-                at = at[known[np.minimum(place, max(len(known) - 1, 0))] == h[at]] if len(known) else at[:0]
+            at = np.arange(len(h)) if known is None else np.flatnonzero(known[(h >> U(64 - TERM_BITS)).astype(np.int64)])
             terms, which, sizes = np.unique(h[at], return_inverse=True, return_counts=True)
             at = at[np.argsort(which, kind="stable")]
-            name = hashlib.blake2b(part.column(0).to_string().encode() + data.tobytes()[:4096], digest_size=12).hexdigest()
+            # the name is that of the ids and whole texts: shards of one name are copies of each other
+            name = hashlib.blake2b(digest_size=16)
+            for piece in (repr(part.column(0).to_pylist()).encode(), off.tobytes(), data.tobytes()):
+                name.update(len(piece).to_bytes(8, "little") + piece)
             one = lambda x, t: pa.array([x], pa.list_(t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), one(words.first.astype(np.int32), pa.int32()),
+                [pa.array([name.hexdigest()]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), one(words.first.astype(np.int32), pa.int32()),
                  one(terms.view(np.int64), pa.int64()), one(sizes.astype(np.int32), pa.int32()), one(at.astype(np.int32), pa.int32())],
                 ["shard", "doc_ids", "first", "terms", "sizes", "positions"],
             )
@@ -158,27 +166,29 @@ class Shard:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark's items, BLOCK_ITEMS at a time; the last block may be empty."""
+    """The benchmark's items, about BLOCK_BYTES of text at a time; the last block may be empty."""
     held: list[tuple[str | None, str | None]] = []
+    size = 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         held.append((r.i, r.text))
-        if len(held) == BLOCK_ITEMS:
+        size += 16 + 4 * len(r.text or "")
+        if size >= BLOCK_BYTES:
             yield held
-            held = []
+            held, size = [], 0
     yield held
 
 
 def query_blocks(benchmark: DataFrame, size: int = SIZE) -> Iterator[Queries]:
-    """The benchmark's windows, BLOCK_ITEMS items at a time."""
+    """The benchmark's windows, a block of items at a time."""
     for held in item_blocks(benchmark):
         yield Queries(held, size)
 
 
-OUT = "shard string, doc_no int, doc_id long, n_words long, hit array<int>, items array<string>"
+OUT = "shard string, doc_no int, hit array<int>, items array<string>"
 
 
 def find_hits(index: DataFrame, q: Queries) -> DataFrame:
-    """Of every indexed document: n_words, the numbers of its hit words, and the items whose windows occur."""
+    """Of every indexed document that is hit: the numbers of its hit words, and the items whose windows occur."""
     sent = index.sparkSession.sparkContext.broadcast(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,23 +196,20 @@ def find_hits(index: DataFrame, q: Queries) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Shard(batch, i)
-                n = len(s.doc_ids)
                 w, at = s.phrases(q)
-                hit: list[list[int] | np.ndarray] = [[]] * n
-                items: list[list[str | None]] = [[]] * n
-                if len(w):
-                    cover = np.zeros(s.first[-1] + 1, np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + q.length[w], -1)
-                    words = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-                    doc, of = s.doc_of(words), s.doc_of(at)
-                    for d in np.unique(of):
-                        hit[d] = (words[doc == d] - s.first[d]).astype(np.int32)
-                        items[d] = in_order({x for j in w[of == d] for x in q.items[j]})
+                if not len(w):
+                    continue
+                cover = np.zeros(s.first[-1] + 1, np.int64)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + q.length[w], -1)
+                words = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+                doc, of = s.doc_of(words), s.doc_of(at)
+                docs = np.unique(of)
+                hit = [(words[doc == d] - s.first[d]).astype(np.int32) for d in docs]
+                items = [in_order({x for j in w[of == d] for x in q.items[j]}) for d in docs]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), s.doc_ids,
-                     pa.array(np.diff(s.first)), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    ["shard", "doc_no", "doc_id", "n_words", "hit", "items"],
+                    [pa.array([batch.column(0)[i].as_py()] * len(docs), pa.string()), pa.array(docs.astype(np.int32)), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                    ["shard", "doc_no", "hit", "items"],
                 )
 
     return index.mapInArrow(run, OUT)
@@ -211,19 +218,15 @@ def find_hits(index: DataFrame, q: Queries) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted) of every document, for windows of SIZE words of all items."""
     benchmark = benchmark.select("item_id", "text")
-    total = benchmark.count()
-    if total <= BLOCK_ITEMS:
-        q = next(query_blocks(benchmark))
-        found = find_hits(build_index(docs, q.vocabulary), q)
-        return found.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
-    index, all_hits = build_index(docs), None
+    index, all_hits = build_index(docs, term_bits(benchmark)), None
     for q in query_blocks(benchmark):
-        part = stored(index.sparkSession, find_hits(index, q).where("size(items) > 0"), "hits")
+        part = stored(index.sparkSession, find_hits(index, q), "hits")
         all_hits = part if all_hits is None else all_hits.unionByName(part)
     merged = all_hits.groupBy("shard", "doc_no").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    every = find_hits(index, Queries([])).select("shard", "doc_no", "doc_id", "n_words")
+    every = index.select("shard", "first", F.posexplode("doc_ids").alias("doc_no", "doc_id"))
+    every = every.select("shard", "doc_no", "doc_id", (F.get("first", F.col("doc_no") + 1) - F.get("first", "doc_no")).cast("long").alias("n_words"))
     out = every.join(merged, ["shard", "doc_no"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -285,9 +288,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark window, with their columns. A repeated doc_id goes if any of its rows is hit."""
+    name = free_name(docs.columns, "_hit")
     hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    hit = stored(spark, hit.withColumnRenamed("doc_id", "_hit"), "hit-ids")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    hit = stored(spark, hit.withColumnRenamed("doc_id", name), "hit-ids")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(named(name)), "left_anti")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
