@@ -6,28 +6,35 @@ keep a long text from becoming its own dictionary. The difference of the two com
 normalised by their sum, is calibrated into a probability by a logistic fit on labelled rows
 that the dictionaries have not seen.
 
-The fit uses at most `per_class` labelled rows of each class, those with the smallest hash of
-doc_id (a stated, bounded sample). Every document is scored over its whole text.
+The fit is one task over a stated, bounded sample: at most `per_class` labelled rows of each
+class, those with the smallest hash of doc_id, and of these as many as hold FIT_CHARS characters of text.
+Every document is scored over its whole text.
 
 Cases: null and empty texts have difference 0 and so the calibration's score at 0. Without
-labels of both classes every score is the share of label 1 (0.5 without labels). Repeated rows
-score alike. An empty table gives an empty result. Extra columns are not read.
+labels of both classes (an empty table of documents or labels too) every score is the share of
+label 1 (0.5 without labels). Repeated rows score alike. An empty table gives an empty result.
+Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagelens.llm.common import crc_mod, table
-from pagelens.llm.words import bytes_of
+from pagelens.llm.common import crc_mod, table, with_results
+from pagelens.llm.words import blocks, bytes_of
 
 CHUNK, LEVEL, DICTIONARY = 2048, 1, 64 << 10
+#: Characters of text that a fit holds at most.
+FIT_CHARS = 64 << 20
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -74,9 +81,27 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold, per_clas
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, per_class: int) -> list[tuple[int, str, int]]:
-    """The labelled rows on the driver, in the order of doc_id."""
-    return sorted((r.doc_id, r.text or "", r.y) for r in labelled_rows(docs, labels, label, fold, per_class).collect())
+def fit_in_task[M](rows: DataFrame, fit: Callable[[list[tuple[int, str, int]]], M], most: int = FIT_CHARS) -> M:
+    """fit() over (doc_id, text, y) in the order of doc_id, in one task: the rows whose texts, in the order of the hash of
+    doc_id, hold `most` characters together. Rows beyond are left as soon as they are met, so the task's memory is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, str, int]] = []  # the largest hash on top
+        size, ceiling = 0, float("inf")
+        for part in blocks(batches):
+            for doc_id, text, y, order in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if order < ceiling:
+                    heapq.heappush(held, (-order, doc_id, text or "", y))
+                    size += len(text or "")
+                while size > most:
+                    worst, _, text, _ = heapq.heappop(held)
+                    size, ceiling = size - len(text), min(ceiling, -worst)
+        sample = sorted((d, t, y) for order, d, t, y in held if -order < ceiling)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], ["model"])
+
+    told = rows.select("doc_id", "text", F.col("y").cast("long"), F.xxhash64("doc_id").alias("order"))
+    row = told.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit([])
 
 
 def fit_quality(sample: list[tuple[int, str, int]]) -> tuple[bytes, bytes, list[float]]:
@@ -117,32 +142,34 @@ def fit_quality(sample: list[tuple[int, str, int]]) -> tuple[bytes, bytes, list[
 def score_quality(docs: DataFrame, model: tuple[bytes, bytes, list[float]], keep: list[str]) -> DataFrame:
     """`keep` columns and score of every row."""
     good, bad, (slope, intercept) = model
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         z = Compressors(good, bad) if good else None
-        for batch in batches:
-            data, off = bytes_of(batch.column(batch.num_columns - 1))
+        for part in parts:
+            data, off = bytes_of(part.column(len(keep)))
             raw = data.tobytes()
             d = np.array([z.difference(raw[a:b]) if z else 0.0 for a, b in zip(off[:-1], off[1:], strict=True)])
-            score = 1 / (1 + np.exp(-np.clip(slope * d + intercept, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*keep, "score"])
+            yield [*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(slope * d + intercept, -30, 30))))]
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return with_results(docs, keep, "text", [("score", T.DoubleType())], run)
 
 
 #: Labelled rows of each class that the fit takes at most.
 PER_CLASS = 4000
 
 
-def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[bytes, bytes, list[float]]:
     learn = crc_mod("doc_id", 4) != 2
-    model = fit_quality(labelled_sample(docs, labels, "quality", learn, PER_CLASS))
+    model = fit_in_task(labelled_rows(docs, labels, "quality", learn, per_class), fit_quality)
     counts = {r.quality: r.n for r in labels.where(learn).where(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
     # classes that the bound cut are weighed back to their shares in the labels
     zero, one = counts.get(0, 0), counts.get(1, 0)
     if zero and one and model[0]:
-        model[2][1] += float(np.log(one / min(one, PER_CLASS)) - np.log(zero / min(zero, PER_CLASS)))
-    scored = score_quality(docs, model, ["doc_id"])
+        model[2][1] += float(np.log(one / min(one, per_class)) - np.log(zero / min(zero, per_class)))
+    return model
+
+
+def op3_quality(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_quality(docs, quality_model(docs, labels, per_class), ["doc_id"])
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -2,52 +2,56 @@
 
 A text's words (lower-cased; letters, digits and everything beyond ASCII) are cut into windows
 of WINDOW words that overlap by half and cover the whole text. Each word enters as a word input
-and a character input: learned vectors of its hash and of its byte n-grams, each beside the
-smoothed log-odds of that hash (for characters: the largest over the n-grams) between toxic and
-other labelled documents. Two gated recurrent units read a window in both directions, attention
-pools their states, and a logistic unit scores the window. A document scores as its highest
-window (multiple-instance learning: a label holds for the document, not for a window).
-
-The fit takes at most `per_class` labelled rows of each class outside the held-out fold, those
-with the smallest hash of doc_id: a stated, bounded sample, in one task. Scoring covers every
-window of every document.
+and a character input: the learned vector of its hash and the mean of those of all its byte
+n-grams, each beside the smoothed log-odds of that hash (for characters: the largest over the
+n-grams) between toxic and other labelled documents. Two gated recurrent units read a window in
+both directions, attention pools their states, and a logistic unit scores the window. A document
+scores as its highest window (multiple-instance learning: a label holds for the document, not
+for a window).
+
+The fit is one task over a stated, bounded sample: at most `per_class` labelled rows of each class
+outside the held-out fold, those with the smallest hash of doc_id, and of these as many as hold
+FIT_CHARS characters of text. Of the windows of its non-toxic documents the network trains, in each epoch, on
+the highest of every document and about `windows` others at random (all, where there are no more).
+Scoring covers every word of every document, in windows STRIDE words apart.
 
 Cases: a null, empty or wordless text is one window of padding; its score is the network's at
 no input, below one half unless nearly all labelled rows are toxic. Without eight labelled rows
-of each class every score is the share of toxic rows (0.25 without labels). Repeated rows score
-alike; an empty table gives an empty result; other columns are not read.
+of each class (an empty table of documents or labels too) every score is the share of toxic rows
+(0.25 without labels). Repeated rows score alike; an empty table gives an empty result; the query
+reads no other columns, and the stage carries them under any name.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagelens.llm.common import crc_mod, table
-from pagelens.llm.quality import labelled_rows, logistic
-from pagelens.llm.words import ALNUM, BASE, GRAM, LOWER, U, Words, blocks, bytes_of, mix, powers
+from pagelens.llm.common import crc_mod, free_name, named, table, with_results
+from pagelens.llm.quality import fit_in_task, labelled_rows, logistic
+from pagelens.llm.words import ALNUM, BASE, GRAM, LOWER, U, Words, blocks, bytes_of, mix, powers, take_spans
 
 WINDOW, STRIDE, HIDDEN, VEC = 24, 12, 8, 4
 WORD_BITS, CHAR_BITS, GRAMS = 18, 18, (3, 5, 7)
 F32 = np.float32
 
 
-def inputs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word its bucket; for each of its byte n-grams (with both ends marked) a bucket; n-grams of each word."""
-    data, n = words.data, len(words)
-    bucket = (words.hashes() >> U(64 - WORD_BITS)).astype(np.int32)
+def inputs_of(words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each picked word its bucket; for each of its byte n-grams (with both ends marked) a bucket; n-grams of each word."""
+    data, n = words.data, len(pick)
+    bucket = (words.hashes()[pick] >> U(64 - WORD_BITS)).astype(np.int32)
     if n == 0:
         return bucket, np.zeros(0, np.int32), np.zeros(0, np.int64)
     up, down = powers(BASE, len(data))
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    length = words.end - words.start
-    counts = [np.maximum(length - g + 1, 1) for g in GRAMS]
+    start, end = words.start[pick], words.end[pick]
+    counts = [np.maximum(end - start - g + 1, 1) for g in GRAMS]
     total = sum(counts)
     out = np.empty(int(total.sum()), np.int32)
     base = np.cumsum(total) - total
@@ -55,8 +59,8 @@ def inputs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for g, c in zip(GRAMS, counts, strict=True):
         before = np.cumsum(c) - c
         inner = np.arange(int(c.sum())) - np.repeat(before, c)
-        at = np.repeat(words.start, c) + inner
-        to = np.minimum(at + g, np.repeat(words.end, c))
+        at = np.repeat(start, c) + inner
+        to = np.minimum(at + g, np.repeat(end, c))
         h = mix((sums[to] - sums[at]) * down[at] + U(g * GRAM % (1 << 64)))
         out[np.repeat(base + done, c) + inner] = (h >> U(64 - CHAR_BITS)).astype(np.int32)
         done += c
@@ -155,49 +159,45 @@ class Net:
         return grads, dx.transpose(1, 0, 2), logit
 
 
-class Features:
-    """Of each word: log-odds of the word and of its characters, and the buckets of their learned vectors."""
+class Lexicon:
+    """Distinct words: of each its bucket and the buckets of its n-grams, first[i] .. first[i + 1] for word i."""
 
-    def __init__(self, word_z: np.ndarray, char_z: np.ndarray, word: np.ndarray, chars: np.ndarray):
-        self.word_z, self.char_z, self.word, self.chars = word_z, char_z, word, chars
+    def __init__(self, bucket: np.ndarray, gram: np.ndarray, total: np.ndarray):
+        self.bucket, self.gram, self.total = bucket, gram, total
+        self.first = np.cumsum(total) - total
 
-    @classmethod
-    def joined(cls, parts: list[Features]) -> Features:
-        return cls(*(np.concatenate([getattr(p, k) for p in parts], axis=-1) for k in ("word_z", "char_z", "word", "chars")))
+    def grams_of(self, word: np.ndarray) -> np.ndarray:
+        """The n-grams of these words, joined."""
+        return take_spans(self.gram, self.first[word], self.total[word])
 
-    def vectors(self, net: Net, at: np.ndarray) -> np.ndarray:
-        """The inputs of these words; number len(word) is padding, all zeros."""
-        out = np.zeros((*at.shape, net.d), F32)
-        real = at < len(self.word)
-        w = at[real]
-        x = np.empty((len(w), net.d), F32)
-        x[:, 0] = self.word_z[w]
-        x[:, 1 : 1 + VEC] = net.p["word"][self.word[w]]
-        x[:, 1 + VEC] = self.char_z[w]
-        # of a word's first, middle and last n-gram
-        x[:, 2 + VEC :] = net.p["char"][self.chars[:, w]].sum(0)
-        out[real] = x
+    def char_z(self, table_: np.ndarray) -> np.ndarray:
+        """The largest log-odds of any n-gram of each word."""
+        return np.maximum.reduceat(table_[self.gram], self.first) if len(self.first) else np.zeros(0, F32)
+
+    def inputs(self, net: Net, word_z: np.ndarray, char_z: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The inputs of these words, from the log-odds of each of them."""
+        out = np.empty((len(word), net.d), F32)
+        if not len(word):
+            return out
+        out[:, 0], out[:, 1 + VEC] = word_z, char_z
+        out[:, 1 : 1 + VEC] = net.p["word"][self.bucket[word] >> (WORD_BITS - 12)]
+        many = self.total[word]
+        out[:, 2 + VEC :] = np.add.reduceat(net.p["char"][self.grams_of(word) >> (CHAR_BITS - 12)], np.cumsum(many) - many, axis=0) / many[:, None]
         return out
 
 
+def distinct(words: Words) -> tuple[Lexicon, np.ndarray]:
+    """The distinct words, and which of them each word is."""
+    _, example, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    return Lexicon(*inputs_of(words, example)), which
+
+
 class Model:
     """log-odds tables and network; scores blocks of texts."""
 
     def __init__(self, word_z: np.ndarray, char_z: np.ndarray, net: Net):
         self.word_z, self.char_z, self.net = word_z, char_z, net
 
-    @staticmethod
-    def features(words: Words, word_z: np.ndarray, char_z: np.ndarray, fold: np.ndarray | None = None) -> Features:
-        """The tables are by bucket; with `fold`, by fold of the word's document and bucket."""
-        bucket, gram, total = inputs_of(words)
-        small = (gram >> (CHAR_BITS - 12)).astype(np.int16)
-        first = np.cumsum(total) - total
-        if not len(words):
-            return Features(np.zeros(0, F32), np.zeros(0, F32), np.zeros(0, np.int16), np.zeros((3, 0), np.int16))
-        wz = word_z[bucket] if fold is None else word_z[fold, bucket]
-        cz = char_z[gram] if fold is None else char_z[np.repeat(fold, total), gram]
-        return Features(wz, np.maximum.reduceat(cz, first), (bucket >> (WORD_BITS - 12)).astype(np.int16), small[np.stack([first, first + total // 2, first + total - 1])])
-
     @staticmethod
     def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each window and its row, from the first word of each row; one window a row at least."""
@@ -213,19 +213,22 @@ class Model:
 
     def logits(self, words: Words) -> np.ndarray:
         """The highest window's logit of each row."""
-        f = self.features(words, self.word_z, self.char_z)
-        x = f.vectors(self.net, np.arange(len(words) + 1))
+        lexicon, which = distinct(words)
+        every = np.arange(len(lexicon.bucket))
+        x = np.zeros((len(every) + 1, self.net.d), F32)  # the last is padding
+        x[:-1] = lexicon.inputs(self.net, self.word_z[lexicon.bucket], lexicon.char_z(self.char_z), every)
         gates = {k: x @ self.net.p[f"W{k}"] + self.net.p[f"b{k}"] for k in "fb"}
+        which = np.append(which, len(every))
         start, row = self.windows(words.first)
         out = np.full(len(words.count), -np.inf, F32)
-        for i in range(0, len(start), 4096):
-            own = row[i : i + 4096]
-            at = self.members(start[i : i + 4096], words.first[own + 1], len(words)).T
+        for i in range(0, len(start), 2048):
+            own = row[i : i + 2048]
+            at = which[self.members(start[i : i + 2048], words.first[own + 1], len(words)).T]
             np.maximum.at(out, own, self.net.score(gates["f"][at], gates["b"][at]))
         return out
 
 
-def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Model | None, list[float]]:
+def fit_toxicity(sample: list[tuple[int, str, int]], windows: int = 10_000, seed: int = 11) -> tuple[Model | None, list[float]]:
     """The model and [slope, intercept] of its calibration on documents."""
     y = np.array([v for *_, v in sample], np.int64)
     share = y.mean() if len(y) else 0.25
@@ -234,23 +237,30 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
         return None, [0.0, flat]
     rng = np.random.default_rng(seed)
     folds = rng.integers(0, 4, len(y))
-
-    def parts() -> Iterator[tuple[int, Words]]:
-        """Some documents at a time, with the number of the first."""
-        done = 0
-        for part in blocks(iter([pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in sample], pa.large_string())], ["text"])]), limit=1 << 20):
-            data, off = bytes_of(part.column(0))
-            yield done, Words(LOWER[data], off, ALNUM)
-            done += part.num_rows
-
+    # the sample's words as numbers of its distinct words, some documents at a time
+    seen: dict[int, int] = {}
+    parts, pieces, first = [], [], [np.zeros(1, np.int64)]
+    for part in blocks(iter([pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in sample], pa.large_string())], ["text"])])):
+        data, off = bytes_of(part.column(0))
+        words = Words(LOWER[data], off, ALNUM)
+        h, example, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        new = np.array([i for i, x in enumerate(h.tolist()) if x not in seen], np.int64)
+        seen |= {int(h[i]): len(seen) + k for k, i in enumerate(new)}
+        parts.append(inputs_of(words, example[new]))
+        pieces.append(np.array([seen[x] for x in h.tolist()], np.int32)[which])
+        first.append(first[-1][-1] + words.first[1:])
+    lexicon = Lexicon(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    word, first, n = np.append(np.concatenate(pieces), np.int32(0)), np.concatenate(first), sum(map(len, pieces))
+    doc = np.repeat(np.arange(len(y)), np.diff(first))
+    del parts, pieces, seen
     # documents that hold a bucket, by fold and label
     held = [np.zeros((8, 1 << bits), np.int32) for bits in (WORD_BITS, CHAR_BITS)]
-    for done, words in parts():
-        bucket, gram, total = inputs_of(words)
-        for count, b, row in ((held[0], bucket, words.row), (held[1], gram, np.repeat(words.row, total))):
-            pairs = np.unique(row << 18 | b)
-            doc = (pairs >> 18) + done
-            np.add.at(count, (folds[doc] * 2 + y[doc], pairs & ((1 << 18) - 1)), 1)
+    cuts = np.searchsorted(doc, np.arange(0, len(y) + 500, 500))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        many = lexicon.total[word[a:b]]
+        for count, bucket, row in ((held[0], lexicon.bucket[word[a:b]], doc[a:b]), (held[1], lexicon.grams_of(word[a:b]), np.repeat(doc[a:b], many))):
+            pairs = np.unique(row << 18 | bucket)
+            np.add.at(count, (folds[pairs >> 18] * 2 + y[pairs >> 18], pairs & ((1 << 18) - 1)), 1)
     size = np.bincount(folds * 2 + y, minlength=8)
     # log-odds for a document come from the other folds, else the network would trust its own rare words
     tables = []
@@ -261,17 +271,31 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
         tables.append(np.stack([log_odds(all_one - one[f], all_zero - zero[f], n1 - size[2 * f + 1], n0 - size[2 * f]) for f in range(4)] + [log_odds(all_one, all_zero, n1, n0)]))
     net = Net(rng)
     final = Model(tables[0][4], tables[1][4], net)
-    pieces, first = [], [np.zeros(1, np.int64)]
-    for done, words in parts():
-        pieces.append(Model.features(words, *tables, folds[done + words.row]))
-        first.append(first[-1][-1] + words.first[1:])
-    f, first = Features.joined(pieces), np.concatenate(first)
-    del pieces, held, tables
-    n = len(f.word)
+    word_z, char_z = tables[0][:4, lexicon.bucket], np.stack([lexicon.char_z(t) for t in tables[1][:4]])  # by fold and word
+    del held, tables
+    fold = folds[doc] if n else np.zeros(0, np.int64)
+
+    def learned(words: np.ndarray) -> np.ndarray:
+        return lexicon.inputs(net, np.zeros(len(words), F32), np.zeros(len(words), F32), words)
+
+    def vectors(at: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
+        """The inputs of the sample's words of these numbers; n is padding, all zeros. every: learned() of all words, if there."""
+        out = np.zeros((*at.shape, net.d), F32)
+        real = at < n
+        w, f = word[at[real]], fold[at[real]]
+        if every is not None:
+            x = every[w]
+        else:
+            one, which = np.unique(w, return_inverse=True)
+            x = learned(one)[which]
+        x[:, 0], x[:, 1 + VEC] = word_z[f, w], char_z[f, w]
+        out[real] = x
+        return out
+
     start, row = Model.windows(first)
     end = first[row + 1]
     label = y[row]
-    both = np.append(np.maximum(f.word_z, f.char_z), F32(0))
+    both = np.append(np.maximum(word_z[fold, word[:n]], char_z[fold, word[:n]]), F32(0))
     best = np.concatenate([both[Model.members(start[i : i + 4096], end[i : i + 4096], n)].max(1) for i in range(0, len(start), 4096)]).astype(np.float64)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
@@ -279,7 +303,7 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
         # of a toxic document the highest window teaches toxicity; of others the highest and some at random
         order = np.lexsort((-best, row))
         top = order[np.r_[True, row[order][1:] != row[order][:-1]]]
-        more = rng.random(len(row)) < min(1.0, 10_000 / max(1, len(row)))
+        more = rng.random(len(row)) < min(1.0, windows / max(1, len(row)))
         use = np.unique(np.concatenate([top, np.flatnonzero((label == 0) & more)]))
         rng.shuffle(use)
         weigh = np.where(label[use] == 1, (label[use] == 0).sum() / max(1, (label[use] == 1).sum()) / 3, 1.0).astype(F32)
@@ -287,21 +311,23 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
         for i in range(0, len(use), 256):
             pick = use[i : i + 256]
             at = Model.members(start[pick], end[pick], n)
-            grads, dx, _ = net.train_step(f.vectors(net, at), label[pick].astype(F32), weigh[i : i + 256])
+            grads, dx, _ = net.train_step(vectors(at), label[pick].astype(F32), weigh[i : i + 256])
             real = at < n
-            who, dx = at[real], dx[real]
-            grads["word"], grads["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grads["word"], f.word[who], dx[:, 1 : 1 + VEC])
-            for line in f.chars:
-                np.add.at(grads["char"], line[who], dx[:, 2 + VEC :])
+            who, dx = word[at[real]], dx[real]
+            many = lexicon.total[who]
+            grams, share = lexicon.grams_of(who) >> (CHAR_BITS - 12), dx[:, 2 + VEC :] / many[:, None]
+            spread = lambda key, rows: np.stack([np.bincount(key, rows[:, j], minlength=1 << 12) for j in range(VEC)], axis=1).astype(F32)
+            grads["word"] = spread(lexicon.bucket[who] >> (WORD_BITS - 12), dx[:, 1 : 1 + VEC])
+            grads["char"] = spread(grams, np.repeat(share, many, axis=0))
             step += 1
             for k, g in grads.items():
                 m, v = state[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6) + rate * 0.002 * net.p[k]).astype(F32)
+        every = learned(np.arange(len(lexicon.bucket)))
         for i in range(0, len(start), 4096):
-            x = f.vectors(net, Model.members(start[i : i + 4096], end[i : i + 4096], n).T)
+            x = vectors(Model.members(start[i : i + 4096], end[i : i + 4096], n).T, every)
             best[i : i + 4096] = net.score(x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"])
     highest = np.full(len(y), -np.inf)
     np.maximum.at(highest, row, best)
@@ -309,50 +335,38 @@ def fit_toxicity(sample: list[tuple[int, str, int]], seed: int = 11) -> tuple[Mo
     return final, [float(max(weights[0], 1e-3)), float(weights[1])]
 
 
-def fit_in_task(rows: DataFrame) -> tuple[Model | None, list[float]]:
-    """fit_toxicity over doc_id, text, y in one task, whose input the caller has bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sorted((d, t or "", v) for b in batches for d, t, v in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_toxicity(sample))], pa.binary())], ["model"])
-
-    return pickle.loads(rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first().model)
-
-
-def score_toxicity(docs: DataFrame, fitted: tuple[Model | None, list[float]], keep: list[str]) -> DataFrame:
-    """The `keep` columns and score of every row."""
+def score_toxicity(docs: DataFrame, fitted: tuple[Model | None, list[float]], keep: list[str], score: str = "score") -> DataFrame:
+    """The `keep` columns and the score of every row."""
     model, (slope, intercept) = fitted
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
     sent = docs.sparkSession.sparkContext.broadcast((model.word_z, model.char_z, model.net) if model else None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value) if sent.value else None
-        for part in blocks(batches):
-            data, off = bytes_of(part.column(part.schema.get_field_index("text")))
-            high = own.logits(Words(LOWER[data], off, ALNUM)) if own else np.zeros(part.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(slope * high.astype(np.float64) + intercept, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score)], [*keep, "score"])
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        net = Model(*sent.value) if sent.value else None
+        for part in parts:
+            data, off = bytes_of(part.column(len(keep)))
+            high = net.logits(Words(LOWER[data], off, ALNUM)) if net else np.zeros(part.num_rows)
+            yield [*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(slope * high.astype(np.float64) + intercept, -30, 30))))]
 
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, f"{schema}, score double")
+    return with_results(docs, keep, "text", [(score, T.DoubleType())], run)
 
 
-#: Labelled rows of each class that the fit takes at most.
-PER_CLASS = 2500
+#: Labelled rows of each class that the fit takes at most, and windows of non-toxic documents that an epoch draws.
+PER_CLASS, WINDOWS = 2500, 10_000
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, list[float]]:
+def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, windows: int = WINDOWS) -> tuple[Model | None, list[float]]:
     learn = crc_mod("doc_id", 5) != 0
-    fitted = fit_in_task(labelled_rows(docs, labels, "toxic", learn, PER_CLASS))
+    fitted = fit_in_task(labelled_rows(docs, labels, "toxic", learn, per_class), lambda sample: fit_toxicity(sample, windows))
     counts = {r.toxic: r.n for r in labels.where(learn).where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     zero, one = counts.get(0, 0), counts.get(1, 0)
     if fitted[0] and zero and one:  # classes that the bound cut are weighed back
-        fitted[1][1] += float(np.log(one / min(one, PER_CLASS)) - np.log(zero / min(zero, PER_CLASS)))
+        fitted[1][1] += float(np.log(one / min(one, per_class)) - np.log(zero / min(zero, per_class)))
     return fitted
 
 
-def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_toxicity(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS, windows: int = WINDOWS) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score_toxicity(docs, toxicity_model(docs, labels), ["doc_id"])
+    scored = score_toxicity(docs, toxicity_model(docs, labels, per_class, windows), ["doc_id"])
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -360,9 +374,5 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents that are not predicted toxic, with their columns. Labels and the texts they
     belong to are those of the input folder, so every run of the stage fits the same model."""
     model = toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    if "score" in docs.columns:  # a column of that name is the caller's own
-        docs, back = docs.withColumnRenamed("score", "_score"), True
-    else:
-        back = False
-    kept = score_toxicity(docs, model, docs.columns).where("score < 0.5").drop("score")
-    return kept.withColumnRenamed("_score", "score") if back else kept
+    score = free_name(docs.columns, "_score")
+    return score_toxicity(docs, model, docs.columns, score).where(named(score) < 0.5).select(*map(named, docs.columns))
