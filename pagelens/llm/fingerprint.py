@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A text is the multiset of its paragraphs (its pieces between line feeds). Every paragraph is
-hashed to a wide vector, and the fingerprint is the sum of these vectors modulo 2**16 in each
+hashed to a wide vector, and the fingerprint is the sum of these vectors modulo 2**32 in each
 lane. So the order of paragraphs doesn't matter, equal multisets have equal fingerprints, and
 inserting or deleting a paragraph adds or subtracts its vector.
 
@@ -10,12 +10,14 @@ which tell multisets apart, and SKETCH lanes that hold a signed count of its byt
 that the difference of two fingerprints measures how much of two texts differs. The likeness of
 two fingerprints is 1 - |a - b|^2 / (|a|^2 + |b|^2) over the sketch lanes, read as signed
 numbers, held within 0 and 1; equal fingerprints have likeness 1. It estimates the share of
-n-grams in common, with a standard error of about 1 / sqrt(SKETCH).
+n-grams in common, with a standard error of about 1 / sqrt(SKETCH). A lane of a single text
+can't reach half the modulus, as a text has fewer than 2**31 bytes.
 
 Cases: a null text is the empty text, one empty paragraph. Rows are paired with the next row in
 ascending doc_id (nulls first; equal ids in the order of their texts), the last with the first;
-a single row is its own next. Texts of any length are streamed whole. An empty table gives an
-empty result; other columns are not read.
+a single row is its own next. Rows are dealt out by ranges of doc_id of about RANGE_BYTES, so
+rows that share one doc_id (or have none) are streamed by one task. Texts of any length are
+fingerprinted whole. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import table
 from pagelens.llm.words import BASE, U, Words, blocks, bytes_of, mix, powers
 
-DENSE, SKETCH, GRAM_BYTES = 32, 256, 8
+DENSE, SKETCH, GRAM_BYTES = 16, 256, 8
+#: Bytes of text of a range of doc_id.
+RANGE_BYTES = 128 << 20
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 
@@ -61,16 +65,16 @@ def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def dense(paragraphs: list[bytes]) -> np.ndarray:
-    """The sum of the paragraphs' dense lanes modulo 2**16."""
+    """The sum of the paragraphs' dense lanes modulo 2**32."""
     raw = b"".join([hashlib.blake2b(p).digest() for p in paragraphs])
-    return np.frombuffer(raw, "<u2").reshape(-1, DENSE).sum(0, dtype=np.uint64).astype(np.uint16)
+    return np.frombuffer(raw, "<u4").reshape(-1, DENSE).sum(0, dtype=np.uint64).astype(np.uint32)
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """uint16 lanes (texts, DENSE + SKETCH)."""
+    """uint32 lanes (texts, DENSE + SKETCH)."""
     data, off = bytes_of(pa.array(texts, pa.large_binary()))
-    out = np.empty((len(texts), DENSE + SKETCH), np.uint16)
-    out[:, DENSE:] = sketches(data, off).astype(np.uint16)
+    out = np.empty((len(texts), DENSE + SKETCH), np.uint32)
+    out[:, DENSE:] = sketches(data, off).astype(np.uint32)
     for i, t in enumerate(texts):
         out[i, :DENSE] = dense(t.split(b"\n"))
     return out
@@ -82,15 +86,15 @@ def edited(whole: np.ndarray, gone: list[bytes], come: list[bytes]) -> np.ndarra
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, y = a[:, DENSE:].view(np.int16).astype(np.float64), b[:, DENSE:].view(np.int16).astype(np.float64)
-    far = (a[:, DENSE:] - b[:, DENSE:]).view(np.int16).astype(np.float64)
+    x, y = a[:, DENSE:].view(np.int32).astype(np.float64), b[:, DENSE:].view(np.int32).astype(np.float64)
+    far = (a[:, DENSE:] - b[:, DENSE:]).view(np.int32).astype(np.float64)
     size = (x * x).sum(1) + (y * y).sum(1)
     out = np.clip(1 - (far * far).sum(1) / np.maximum(size, 1), 0, 1)
     return np.where((a == b).all(1), 1.0, np.where(size > 0, out, 0.0))
 
 
 def text_form(lanes: np.ndarray) -> list[str]:
-    return [base64.b64encode(row.astype("<u2").tobytes()).decode() for row in lanes]
+    return [base64.b64encode(row.astype("<u4").tobytes()).decode() for row in lanes]
 
 
 def with_next(docs: DataFrame, width: int) -> DataFrame:
@@ -100,17 +104,16 @@ def with_next(docs: DataFrame, width: int) -> DataFrame:
     The blocks' bounds are quantiles of doc_id that occur in the table, so they are few and exact.
     """
     stats = docs.agg(
-        F.percentile_approx("doc_id", [i / width for i in range(1, width)] or [0.5], 10_000).alias("q"),
+        F.percentile_approx("doc_id", [i / width for i in range(1, width)] or [0.5], max(10_000, 10 * width)).alias("q"),
         F.min("doc_id").alias("low"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"),
     ).first()
     low = stats.low
     bounds = sorted(set(stats.q or []) - {low})
-    own = F.lit(0)
-    for x in bounds:
-        own = own + F.when(F.col("doc_id") >= x, 1).otherwise(0)
-    if len(bounds) > 16:  # a search instead of one test a bound
-        own = F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("doc_id")))
-    own = F.coalesce(own.cast("int"), F.lit(0))
+    # how many bounds a doc_id has reached: among every step-th of them, then among those that follow
+    step = max(1, round(len(bounds) ** 0.5))
+    reached = lambda these: F.size(F.filter(these, lambda x: x <= F.col("doc_id")))
+    coarse = F.greatest(reached(F.lit(bounds[::step]).cast("array<bigint>")) - 1, F.lit(0)) * step
+    own = F.coalesce(coarse + reached(F.slice(F.lit(bounds).cast("array<bigint>"), coarse + 1, step)), F.lit(0)) if bounds else F.lit(0)
     start = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
     start = F.coalesce(start, F.lit(False))
     begins = F.col("doc_id").isNull() if stats.nulls else F.coalesce(F.col("doc_id") == F.lit(low), F.lit(False))
@@ -179,4 +182,5 @@ def fingerprint_edits(docs: DataFrame, width: int) -> DataFrame:
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fingerprint_edits(docs, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return fingerprint_edits(docs, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-size // RANGE_BYTES)))
