@@ -98,6 +98,7 @@ def window_runs(docs: DataFrame) -> DataFrame:
 def shared(runs: DataFrame) -> DataFrame:
     """The runs whose anchor occurs in two documents at least."""
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    anchors = stored(runs.sparkSession, anchors, "anchors")  # so that the join can split the runs of one anchor
     return runs.join(anchors, "anchor", "left_semi").select("doc_id", "anchor", "region", "place")
 
 
@@ -206,6 +207,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     words = region_words(docs, regions)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = words.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor long, region long, least array<long>")
+    found = stored(spark, found, "found")  # so that the join can split the runs of one region
     hits = runs.join(found, ["anchor", "region"]).where("exists(least, x -> x < doc_id)")
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "least")).alias("spans"))
 
@@ -276,22 +278,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated words removed; texts without any stay as they are, and a document
     of which no word is left goes. n_chars follows the text."""
-    spans = repeated_windows(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("spans", "_spans")
     columns = docs.columns
     at = columns.index("text"), columns.index("doc_id"), len(columns)
+    # the tasks see numbers for names, so that columns may have any
+    plain = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    spans = repeated_windows(docs).toDF("id", "spans")
+    joined = plain.join(spans, plain[f"c{at[1]}"] == spans["id"], "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
+        for part in blocks(batches, f"c{at[0]}"):
             texts, keep = part.column(at[0]).to_pylist(), []
             for i, (n, gone, kept) in enumerate(_kept(part, *at)):
                 keep.append(not gone or gone < n)
                 if gone:
                     texts[i] = kept.decode()
             arrays = [pa.array(texts, part.column(k).type) if k == at[0] else part.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(arrays, part.schema.names[:-1]).filter(pa.array(keep))
 
-    joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").select(*[docs[c] for c in columns], "_spans")
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(run, plain.schema).toDF(*columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
 
 
