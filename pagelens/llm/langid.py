@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagelens.llm.common import crc_mod, table
+from pagelens.llm.common import crc_mod, table, with_results
 from pagelens.llm.words import LOWER, Words, blocks, bytes_of
 
 BITS, PENALTY = 15, 4.0
@@ -83,10 +84,11 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
 def fit_languages(docs: DataFrame, most: int = 500) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (buckets, languages); the table holds 2**BITS counts a language at most."""
-    rows = count_trigrams(docs.where("lang is not null and text is not null")).toPandas()
+    known = docs.where("lang is not null and text is not null")
+    if known.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages; raise `most`, at {4 << BITS} bytes of the driver's and each task's memory a language")
+    rows = count_trigrams(known).toPandas()
     langs = sorted(rows["lang"].unique())
-    if len(langs) > most:
-        raise ValueError(f"{len(langs)} languages; their table is kept whole on the driver for {most} at most")
     table_ = np.full((1 << BITS, len(langs)), 0.05)
     table_[rows["bucket"].to_numpy(dtype=np.int64), np.searchsorted(langs, rows["lang"].to_numpy()) if len(langs) else np.zeros(0, int)] += rows["n"].to_numpy(dtype=float)
     return langs, np.log(table_ / table_.sum(0)).astype(np.float32) if langs else table_.astype(np.float32)
@@ -149,16 +151,15 @@ def infer(data: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.ndarr
 def predict_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """`keep` columns, lang_pred, score, and languages: the kept set with proportions."""
     langs, logp = model
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1]
     sent = docs.sparkSession.sparkContext.broadcast(logp)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            column = part.column(part.num_columns - 1)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        # words hold ASCII letters or something beyond ASCII, which need not be a letter
+        plain = LETTERS & (np.arange(256) < 0x80)
+        for part in parts:
+            column = part.column(len(keep))
             data, off = bytes_of(column)
             best, score, mixture = infer(data, off, sent.value)
-            # words hold ASCII letters or something beyond ASCII, which need not be a letter
-            plain = LETTERS & (np.arange(256) < 0x80)
             has = np.append(0, np.cumsum(plain[data]))
             doubtful = np.flatnonzero((best >= 0) & (has[off[1:]] == has[off[:-1]]))
             for i in doubtful:
@@ -166,9 +167,9 @@ def predict_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], keep
                     best[i], score[i] = -1, 0
             names = [langs[b] if b >= 0 else "und" for b in best]
             sets = [",".join(f"{langs[j]}:{m[j]:.3f}" for j in np.argsort(-m, kind="stable") if m[j] > 0) if b >= 0 else "" for m, b in zip(mixture, best, strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(sets, pa.string())], [*keep, "lang_pred", "score", "languages"])
+            yield [*part.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(sets, pa.string())]
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, languages string")
+    return with_results(docs, keep, "text", [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("languages", T.StringType())], run)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
