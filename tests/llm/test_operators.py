@@ -149,7 +149,7 @@ def test_gru_gradients():
 def test_quality_held_out(spark):
     docs, labels = labelled(400)
     d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = quality.fit_quality(quality.labelled_sample(d, l, "quality", common.crc_mod("doc_id", 4) != 2, 1000))
+    model = quality.quality_model(d, l, 1000)
     scored = {r.doc_id: r.score for r in quality.score_quality(d, model, ["doc_id"]).collect()}
     held = [(scored[i] >= 0.7) == bool(q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(scored) == len(docs) and sum(held) / len(held) > 0.85
@@ -306,11 +306,24 @@ def test_decontamination(spark):
     d, b = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     get = lambda: {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(d, b).collect()}
     assert get() == want
-    old, decontaminate.BLOCK_ITEMS = decontaminate.BLOCK_ITEMS, 2
+    old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 50
     try:
         assert get() == want
     finally:
-        decontaminate.BLOCK_ITEMS = old
+        decontaminate.BLOCK_BYTES = old
+
+
+def test_decontamination_of_rows_that_share_id_and_beginning(spark):
+    start = "same words at the start " * 400
+    item = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(7, start + "clean", "en", "x"), (7, start + item, "en", "x")], DOCS).repartition(2, "text")
+    b = spark.createDataFrame([(0, item), (1, "never seen")], "item_id long, text string")
+    old = decontaminate.BLOCK_BYTES
+    try:
+        for decontaminate.BLOCK_BYTES in (old, 1):
+            assert sorted((r.n_words, r.n_hit) for r in decontaminate.contamination(d, b).collect()) == [(2001, 0), (2010, 10)]
+    finally:
+        decontaminate.BLOCK_BYTES = old
 
 
 def test_benchmark_items_without_an_id(spark, tmp_path):
@@ -320,12 +333,12 @@ def test_benchmark_items_without_an_id(spark, tmp_path):
     items = spark.createDataFrame([(None, a), (None, b), (7, c), (None, None)], "item_id long, text string")
     n = [len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)) for x in (a, b, c)]
     want = {0: (n[0], [None]), 1: (n[1] + n[2], ["7", None]), 2: (0, []), 3: (n[2], ["7"])}
-    old = decontaminate.BLOCK_ITEMS
+    old = decontaminate.BLOCK_BYTES
     try:
-        for decontaminate.BLOCK_ITEMS in (old, 1):
+        for decontaminate.BLOCK_BYTES in (old, 1):
             assert {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(d, items).collect()} == want
     finally:
-        decontaminate.BLOCK_ITEMS = old
+        decontaminate.BLOCK_BYTES = old
     d.write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     # as OP9_SQL: null ids are one item of count(*) over distinct ids, and string_agg leaves them out
@@ -342,7 +355,7 @@ def test_proximity(spark):
     rows = [(i, some(rng.randrange(1, 40)), "en", "x") for i in range(60)] + [(60, "A b c d e", "en", "x"), (61, None, "en", "x"), (62, "", "en", "x"), (62, "b a", "en", "x")]
     items = [(0, "a b"), (1, "e a c b"), (2, "H"), (3, None), (4, "a nowhere"), (5, "a a"), (None, "g h a"), (6, "")]
     d, b = spark.createDataFrame(rows, DOCS).repartition(2), spark.createDataFrame(items, "item_id long, text string")
-    for span, block in ((10, 20_000), (3, 3), (1, 20_000)):
+    for span, block in ((10, 1 << 20), (3, 60), (1, 1 << 20)):
         want = collections.Counter()
         for i, t, *_ in rows:
             w = words(t)
@@ -351,11 +364,11 @@ def test_proximity(spark):
                 at = tuple(p for p in range(len(w)) if v and v <= set(w[p : p + span]))
                 if at:
                     want[i, None if name is None else str(name), at] += 1
-        old, decontaminate.BLOCK_ITEMS = decontaminate.BLOCK_ITEMS, block
+        old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, block
         try:
             got = collections.Counter((r.doc_id, r.item_id, tuple(r["at"])) for r in decontaminate.proximity(d, b, span).collect())
         finally:
-            decontaminate.BLOCK_ITEMS = old
+            decontaminate.BLOCK_BYTES = old
         assert got == want and (span < 10 or (60, "1", (0,)) in want)
 
 
@@ -385,7 +398,8 @@ def test_segmentations_follow_their_distribution(vocab):
     p = {s: x / total for s, x in p.items()}
     seen, weight = collections.Counter(), collections.Counter()
     by_row = collections.defaultdict(list)
-    for i, rank, ids, logp, perturbed, inclusion, exact in segment.sample_block(vocab, segment.seeds_of(pa.array(range(n))), pa.array([t] * n), 3):
+    got = segment.sample_block(segment.Units(vocab), segment.seeds_of(pa.array(range(n))), pa.array([t] * n), 3)
+    for i, rank, ids, logp, perturbed, inclusion, exact in zip(*got.values()):
         s = tuple(int(x) for x in ids)
         assert exact and abs(logp - math.log(p[s])) < 1e-6
         by_row[i].append((perturbed, s))
