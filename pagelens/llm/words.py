@@ -14,7 +14,9 @@ import pyarrow as pa
 
 U = np.uint64
 BASE, GRAM = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Powers up to this one are kept between blocks; those for longer texts are made anew.
+KEPT_POWERS = 1 << 21
 
 #: Bytes of words between ASCII white space (U+0020, U+0009 to U+000D).
 SPACED = np.ones(256, bool)
@@ -39,7 +41,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             row = np.full(size, b, U)
             row[0] = 1
             both.append(np.multiply.accumulate(row))
-        have = _powers[base] = (both[0], both[1])
+        have = both[0], both[1]
+        if size <= KEPT_POWERS:
+            _powers[base] = have
     return have
 
 
