@@ -55,6 +55,7 @@ said AS (
     NOT e AND v % 11 IN (0, 1) AS noindex,
     CASE WHEN e OR v % 12 = 7 THEN '' ELSE regexp_extract(html0, '<html lang="([^"]*)"', 1) END AS html_lang,
     CASE WHEN e OR v % 14 = 3 THEN CASE WHEN NOT e AND v % 14 = 5 THEN 1 ELSE 0 END WHEN v % 14 = 5 THEN 2 ELSE 1 END AS h1s,
+    CASE WHEN e OR v % 14 = 3 THEN '' ELSE {collapse(_DECODED.replace("<title>", "<h1>").replace("</title>", "</h1>"))} END AS h1_text,
     CASE WHEN e THEN 0 ELSE len(list_filter(string_split(trim(regexp_replace({_TEXT}, '[\\s\\x{{00A0}}]+', ' ', 'g')), ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) END AS word_count,
     CASE WHEN e OR v % 15 = 2 THEN 0 ELSE len(string_split(html0, '<a href=')) - 1 + CASE WHEN final_url LIKE 'https://%' THEN CASE WHEN child_a <> '' THEN 1 ELSE 0 END + CASE WHEN child_b <> '' THEN 1 ELSE 0 END ELSE 0 END END AS links
   FROM seen),

@@ -104,17 +104,15 @@ _of_urls("url_section", N.section, f"(SELECT CASE WHEN length(coalesce(x[1], '')
 _of_urls("url_html_candidate", lambda u: N.is_html_candidate(F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_replace(u, "[?#].*$", ""), F.lit("/a.PDF"))).otherwise(u), D.SKIP_EXTENSIONS),
          f"NOT regexp_matches(lower({part('CASE WHEN page_id % 3 = 0 THEN concat(regexp_replace(u, ' + chr(39) + '[?#].*$' + chr(39) + ', ' + chr(39) * 2 + '), ' + chr(39) + '/a.PDF' + chr(39) + ') ELSE u END', 3)}), '[.](?:{'|'.join(D.SKIP_EXTENSIONS)})$')")
 _of_urls("url_cache_busted", lambda u: N.cache_busted(u, F.col("page_id") * 54321), "concat(u, CASE WHEN instr(u, '?') > 0 THEN '&' ELSE '?' END, '_ia=', CAST((page_id * 54321) % 100000 AS VARCHAR))")
-_of_urls("slug_words", T.slug_words, f"(SELECT array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_extract({part('u', 3)}, '([^/]*)/*$', 1), '(?i)[.](html?|php|aspx?)$', ''), '[-_+]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$')), ' '))")
+_SLUG = f"(SELECT array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_extract({part('u', 3)}, '([^/]*)/*$', 1), '(?i)[.](html?|php|aspx?)$', ''), '[-_+]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$')), ' '))"
+_of_urls("slug_words", T.slug_words, _SLUG)
 _of_urls("brand", T.brand, "(SELECT concat(upper(substr(b, 1, 1)), lower(substr(b, 2))) FROM (SELECT string_split(regexp_replace(string_split(CASE WHEN " + part("u", 2) + " <> '' THEN " + part("u", 2) + " ELSE u END, ':')[1], '^www[.]', ''), '.')[1] AS b) AS z)")
 of_table("collapse_visible_len", "documents", lambda d: d.select("doc_id", F.length(T.collapse(F.concat(F.lit("  "), "text"))).cast("long").alias("n"), F.sha2(T.collapse("text").cast("binary"), 256).alias("sha")),
          f"SELECT doc_id, CAST(length({collapse('text')}) AS BIGINT) AS n, sha256({collapse('text')}) AS sha FROM documents")
-_CYR = "concat(repeat('Привет мир ', CAST(doc_id % 40 AS INT)), left(text, 200))"
+_CYR = "concat(repeat('Привет мир ', CAST(floor(doc_id % 40 * length(text) / 200.0) AS INT)), text)"
 of_table("script_guess", "documents", lambda d: d.select("doc_id", T.guess_script(F.expr(_CYR)).alias("got"), T.expected_script(F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("lang"), F.lit("_XX"))).otherwise(F.col("lang"))).alias("want")),
          f"""SELECT doc_id, CASE WHEN c = 0 AND l = 0 THEN '' WHEN c > 2 * l THEN 'cyrillic' WHEN l > 2 * c THEN 'latin' ELSE 'mixed' END AS got, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN 'latin' ELSE '' END AS want
          FROM (SELECT doc_id, lang, length(regexp_replace({_CYR}, '[^а-яёА-ЯЁ]', '', 'g')) AS c, length(regexp_replace({_CYR}, '[^a-zA-Z]', '', 'g')) AS l FROM documents) AS q""")
-_CYR_WHOLE = "concat(repeat('Привет мир ', CAST(floor(doc_id % 40 * length(text) / 200.0) AS INT)), text)"
-of_table("script_guess_whole", "documents", lambda d: d.select("doc_id", T.guess_script(F.expr(_CYR_WHOLE)).alias("got"), T.expected_script(F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("lang"), F.lit("_XX"))).otherwise(F.col("lang"))).alias("want")),
-         QUERIES["script_guess"][1].replace(_CYR, _CYR_WHOLE))
 _CUT = "left(t, 160)"
 of_table("trim_to", "documents", lambda d: d.select("doc_id", T.trim_to("text", 160).alias("words"), T.trim_to("text", 160, 120).alias("sentence")),
          f"""WITH t AS (SELECT doc_id, {collapse('text')} AS t FROM documents),
@@ -202,22 +200,28 @@ _SECTION = D.sql_case("severity", {"critical": "Critical: now", "high": "High: t
 of_audit("tracker_plan", lambda a: tracker_plan(build_tasks(a.findings), TODAY).select(*SITE, "rule", "subject", "section", F.col("due").cast("string").alias("due"), "fingerprint"),
          sql(f"SELECT run_id, site_id, rule, subject, {_SECTION} AS section, CAST(DATE '{TODAY}' + CAST(due_days AS INT) AS VARCHAR) AS due, fingerprint FROM tasks", _TASKS))
 of_audit("plan_summary", lambda a: plan_summary(tracker_plan(build_tasks(a.findings), TODAY)), sql(f"SELECT run_id, {_SECTION} AS section, count(*) AS tasks, count(DISTINCT host) AS sites, count(*) FILTER (autofixable) AS autofixable, CAST(sum(count_) AS BIGINT) AS pages_touched FROM tasks GROUP BY run_id, section", _TASKS))
+_TRIM60 = "CASE WHEN length({x}) <= 60 THEN {x} ELSE regexp_replace(CASE WHEN instr(left({x}, 60), ' ') > 0 THEN regexp_extract(left({x}, 60), '^(.*) [^ ]*$', 1) ELSE left({x}, 60) END, '[ ,.;:—-]+$', '') END"
 _FIX = f"""
 fx AS (
   SELECT f.*, {rstrip('f.url')} AS key, {D.sql_case('f.rule', D.FIX_FIELD)} AS field FROM found f WHERE f.url <> ''),
 fj AS (
-  SELECT x.run_id AS run_id, x.site_id AS site_id, x.rule AS rule, x.url AS url, x.key AS key, x.field AS field, x.finding_no AS finding_no, coalesce(p.final_url, '') AS page_url, coalesce(p.description, '') AS description, coalesce(p.canonical, '') AS canonical,
-         regexp_replace(left(coalesce(p.description, ''), 160), ' [^ ]*$', '') AS cut FROM fx x LEFT JOIN flat p ON p.run_id = x.run_id AND p.site_id = x.site_id AND {rstrip('p.final_url')} = x.key WHERE x.field IN ('meta_description', 'canonical_url')),
+  SELECT x.run_id AS run_id, x.site_id AS site_id, x.rule AS rule, x.url AS url, x.key AS key, x.field AS field, x.finding_no AS finding_no, coalesce(p.final_url, '') AS page_url, coalesce(p.description, '') AS description, coalesce(p.canonical, '') AS canonical, coalesce(p.title, '') AS title, coalesce(p.h1_text, '') AS h1_text, coalesce(p.final_url, '') AS u,
+         concat(upper(substr(string_split(x.host, '.')[1], 1, 1)), lower(substr(string_split(x.host, '.')[1], 2))) AS brand,
+         regexp_replace(left(coalesce(p.description, ''), 160), ' [^ ]*$', '') AS cut FROM fx x LEFT JOIN flat p ON p.run_id = x.run_id AND p.site_id = x.site_id AND {rstrip('p.final_url')} = x.key WHERE x.field IS NOT NULL),
+ft AS (
+  SELECT *, CASE WHEN ends_with(lower(title), lower(brand)) AND regexp_matches(rtrim(left(title, length(title) - length(brand))), '[|—–-]$') THEN rtrim(regexp_replace(rtrim(left(title, length(title) - length(brand))), '[|—–-]$', '')) ELSE title END AS stripped,
+    CASE WHEN h1_text <> '' THEN h1_text ELSE (SELECT concat(upper(substr(w, 1, 1)), lower(substr(w, 2))) FROM (SELECT {_SLUG} AS w) AS z) END AS base FROM fj),
+fm AS (SELECT *, CASE WHEN contains(lower(base), lower(brand)) THEN base ELSE concat(base, ' — ', brand) END AS made FROM ft),
+fn AS (SELECT *, {_TRIM60.format(x='made')} AS made60, {_TRIM60.format(x='stripped')} AS cut60 FROM fm),
 fc AS (
-  SELECT *, CASE WHEN field = 'canonical_url' THEN page_url WHEN length(description) > 160 THEN CASE WHEN instr(left(description, 160), '. ') > 120 THEN left(description, CAST(instr(left(description, 160), '. ') AS INT)) ELSE cut END ELSE '' END AS proposed,
-    CASE WHEN rule IN ('duplicate.description', 'description.too_short', 'canonical.points_elsewhere') THEN 'needs_review' WHEN field = 'canonical_url' THEN CASE WHEN page_url = '' THEN 'needs_review' ELSE 'high' END WHEN length(description) > 160 THEN 'high' ELSE 'needs_review' END AS confidence,
-    CASE WHEN field = 'canonical_url' THEN canonical ELSE description END AS current FROM fj),
+  SELECT *, CASE WHEN field = 'meta_title' THEN CASE WHEN length(title) > 60 THEN CASE WHEN length(stripped) BETWEEN 30 AND 60 THEN stripped ELSE cut60 END WHEN base = '' THEN '' ELSE made60 END WHEN field = 'canonical_url' THEN page_url WHEN length(description) > 160 THEN CASE WHEN instr(left(description, 160), '. ') > 120 THEN left(description, CAST(instr(left(description, 160), '. ') AS INT)) ELSE cut END ELSE '' END AS proposed,
+    CASE WHEN rule IN ('duplicate.title', 'title.too_short', 'duplicate.description', 'description.too_short', 'canonical.points_elsewhere') THEN 'needs_review' WHEN field = 'meta_title' THEN CASE WHEN length(title) > 60 THEN 'high' WHEN base = '' OR length(made60) < 30 THEN 'needs_review' ELSE 'high' END WHEN field = 'canonical_url' THEN CASE WHEN page_url = '' THEN 'needs_review' ELSE 'high' END WHEN length(description) > 160 THEN 'high' ELSE 'needs_review' END AS confidence,
+    CASE field WHEN 'canonical_url' THEN canonical WHEN 'meta_title' THEN title ELSE description END AS current FROM fn),
 fr AS (SELECT *, proposed <> '' AND confidence = 'high' AS ready FROM fc WHERE NOT (proposed <> '' AND proposed = current)),
 fixes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, site_id, key, field ORDER BY ready, finding_no) AS n_ FROM fr) AS q WHERE n_ = 1)"""
-of_audit("fix_plan", lambda a: fix_plan(a.findings, a.flat).where("field != 'meta_title'").select(*SITE, "url", "field", "rule", "current", "proposed", "confidence", "ready"), sql("SELECT run_id, site_id, url, field, rule, current, proposed, confidence, ready FROM fixes", _FIX))
-of_audit("fix_titles", lambda a: fix_plan(a.findings, a.flat).where("field = 'meta_title'").select(*SITE, "url", "rule", "current", "proposed", "confidence", "ready"), None)
-of_audit("fix_summary", lambda a: fix_summary(fix_plan(a.findings, a.flat).where("field != 'meta_title'")), sql("SELECT run_id, site_id, count(*) AS total, count(*) FILTER (ready) AS ready, count(*) FILTER (NOT ready) AS needs_review, count(DISTINCT url) AS pages, count(*) FILTER (field = 'meta_title') AS meta_title, count(*) FILTER (field = 'meta_description') AS meta_description, count(*) FILTER (field = 'canonical_url') AS canonical_url FROM fixes GROUP BY run_id, site_id", _FIX))
-of_audit("fix_summary_whole", lambda a: fix_summary(fix_plan(a.findings, a.flat)), None)
+of_audit("fix_plan", lambda a: fix_plan(a.findings, a.flat).select(*SITE, "url", "field", "rule", "current", "proposed", "confidence", "ready"), sql("SELECT run_id, site_id, url, field, rule, current, proposed, confidence, ready FROM fixes", _FIX))
+of_audit("fix_titles", lambda a: fix_plan(a.findings, a.flat).where("field = 'meta_title'").select(*SITE, "url", "rule", "current", "proposed", "confidence", "ready"), sql("SELECT run_id, site_id, url, rule, current, proposed, confidence, ready FROM fixes WHERE field = 'meta_title'", _FIX))
+of_audit("fix_summary", lambda a: fix_summary(fix_plan(a.findings, a.flat)), sql("SELECT run_id, site_id, count(*) AS total, count(*) FILTER (ready) AS ready, count(*) FILTER (NOT ready) AS needs_review, count(DISTINCT url) AS pages, count(*) FILTER (field = 'meta_title') AS meta_title, count(*) FILTER (field = 'meta_description') AS meta_description, count(*) FILTER (field = 'canonical_url') AS canonical_url FROM fixes GROUP BY run_id, site_id", _FIX))
 
 # comparisons ---------------------------------------------------------------------------------------------------
 _DIFF = f"""
@@ -338,7 +342,8 @@ of_audit("run_findings_order", lambda a: V.placed(a.findings, V.run_order()).sel
          sql("SELECT run_id, site_id, finding_no, row_number() OVER (PARTITION BY run_id ORDER BY layer, origin, rule, url, site_id, finding_no) AS position FROM found"))
 of_audit("plan_order", lambda a: ordered_plan(tracker_plan(build_tasks(a.findings), TODAY)).select(*SITE, "rule", "subject", "position"),
          sql("SELECT run_id, site_id, rule, subject, row_number() OVER (PARTITION BY run_id ORDER BY rank_, host, rule, subject) AS position FROM tasks", _TASKS))
-of_audit("fixes_screen_top80", lambda a: fixes_screen(fix_plan(a.findings, a.flat)).select(*SITE, "url", "field", "ready", "position"), None)
+of_audit("fixes_screen_top80", lambda a: fixes_screen(fix_plan(a.findings, a.flat)).select(*SITE, "url", "field", "ready", "position"),
+         sql("SELECT run_id, site_id, url, field, ready, position FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ready DESC, url, field, site_id) AS position FROM fixes) AS q WHERE position <= 80", _FIX))
 of_audit("changes_top50", lambda a: top_changes(compare_runs(a.findings, 1, 2)).select("kind", "host", "rule", "url", "position", "total"), sql(f"""
 SELECT kind, host, rule, url, position, total FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {rank('severity')}, layer, rule, host, url) AS position, count(*) OVER (PARTITION BY kind) AS total FROM changes) AS q WHERE position <= 50""", _DIFF))
 of_audit("site_previews_top5", lambda a: V.site_previews(a).select(*SITE, "page_id", "position"), sql(f"""

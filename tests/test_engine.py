@@ -213,7 +213,7 @@ def test_fixes_whole(spark, monkeypatch):
     assert {r.url: r.proposed for r in titles} == {u: v[2] for (u, f), v in want.items() if f == "meta_title"} and len(titles) >= 6
     count = lambda field: sum(f == field for _, f in want)
     ready = sum(v[-1] for v in want.values())
-    assert [tuple(r) for r in of_fixture("fix_summary_whole", spark, monkeypatch, found, flat)] == [
+    assert [tuple(r) for r in of_fixture("fix_summary", spark, monkeypatch, found, flat)] == [
         (1, 1, len(want), ready, len(want) - ready, len({u for u, _ in want}), count("meta_title"), count("meta_description"), count("canonical_url"))]
 
 
@@ -266,7 +266,7 @@ def test_script_of_whole_texts(spark, tmp_path):
         c, n = len(re.findall("[а-яёА-ЯЁ]", t)), len(re.findall("[a-zA-Z]", t))
         return "" if not c + n else "cyrillic" if c > 2 * n else "latin" if n > 2 * c else "mixed"
 
-    got = {r.doc_id: r.got for r in queries.QUERIES["script_guess_whole"][0](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.got for r in queries.QUERIES["script_guess"][0](spark, str(tmp_path)).collect()}
     assert got == {i: guess(i, t) for i, t, _ in rows} and (got[0], got[40], got[80]) == ("cyrillic", "mixed", "latin")
 
 
