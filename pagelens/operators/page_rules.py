@@ -24,14 +24,17 @@ def evidence(**found: Column) -> Column:
 
 
 def finding(rule: str, url: Column, number: Column | None = None, **found: Column) -> Column:
-    """A finding of this rule; `number` goes into its message."""
-    layer, severity, effort, fixable = D.RULES[rule]
-    said, detail = ADVICE[rule]
-    message = F.lit(said) if number is None else F.concat(F.lit(f"{said}: "), number.cast("string"))
-    return F.struct(
-        F.lit(rule).alias("rule"), F.lit(layer).alias("layer"), F.lit(severity).alias("severity"), F.lit(effort).alias("effort"), url.alias("url"),
-        message.alias("message"), F.lit(detail).alias("detail"), F.lit(fixable).alias("fixable"), evidence(**found).alias("evidence"),
-    )
+    """What tells a finding of this rule from others; dressed() adds what the rule says. `number` goes into the message."""
+    said = F.lit(None) if number is None else number
+    return F.struct(F.lit(rule).alias("rule"), url.alias("url"), said.cast("string").alias("number"), evidence(**found).alias("evidence"))
+
+
+def dressed(found: DataFrame) -> DataFrame:
+    """Findings with their rule's layer, severity, effort, message, detail and fixable, from the table of rules (a fixed, small one)."""
+    rows = [(rule, *D.RULES[rule], *ADVICE[rule]) for rule in D.RULES]
+    rules = found.sparkSession.createDataFrame(rows, "rule string, layer int, severity string, effort int, fixable boolean, said string, detail string")
+    out = found.join(F.broadcast(rules), "rule").withColumn("message", F.when(F.col("number").isNull(), F.col("said")).otherwise(F.concat("said", F.lit(": "), "number")))
+    return out.select("run_id", "site_id", "host", "origin", "page_id", "rule", "layer", "severity", "effort", "url", "message", "detail", "fixable", "evidence")
 
 
 def flat_pages(pages: DataFrame, judge_error_pages: bool = True) -> DataFrame:
@@ -233,4 +236,4 @@ def page_findings(flat: DataFrame, rules: list[str] | None = None) -> DataFrame:
         rule, response_only = PAGE_RULES[name]
         columns += rule() if response_only else [F.when(F.col("fetched"), c) for c in rule()]
     rows = with_target_lang(flat).withColumn("_found", F.array_compact(F.array(*columns)))
-    return rows.select("run_id", "site_id", "host", "origin", "page_id", F.inline("_found"))
+    return dressed(rows.select("run_id", "site_id", "host", "origin", "page_id", F.inline("_found")))

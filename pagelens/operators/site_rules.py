@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions import urls as N
 from pagelens.operators.graph import SITE, broken_edges, click_depth, dead_ends, orphans
-from pagelens.operators.page_rules import finding
+from pagelens.operators.page_rules import dressed, finding
 
 KEPT = [*SITE, "host", "origin"]
 
@@ -121,4 +121,4 @@ def site_findings(flat: DataFrame, sites: DataFrame, rules: list[str] | None = N
     for name in rules or SITE_RULES:
         part = SITE_RULES[name](flat, sites)
         out = part if out is None else out.unionByName(part)
-    return out
+    return dressed(out)
