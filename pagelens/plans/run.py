@@ -74,11 +74,12 @@ def audit_sites(spark: SparkSession, sites: DataFrame, folder: str, run_id: int
     pages = _step(spark, folder, "pages", lambda: _pages(queue, loaded, run_id), on_event)
     site = _step(spark, folder, "sites", lambda: _sites(counters, pages, run_id), on_event)
     flat = _step(spark, folder, "flat", lambda: flat_pages(pages), on_event)
-    if not _there(spark, f"{folder}/findings"):
+    if not _there(spark, f"{folder}/runs"):
         replace_findings(analyse(flat, site), f"{folder}/findings")
     found = spark.read.parquet(f"{folder}/findings")
-    on_event("findings", {"rows": found.count(), "resumed": False})
+    on_event("findings", {"rows": found.count(), "resumed": _there(spark, f"{folder}/runs")})
     runs = spark.createDataFrame([(run_id, 0, "")], "run_id int, started_at long, label string")
+    runs.write.mode("overwrite").parquet(f"{folder}/runs")  # the run is finished
     return Audit(runs, site, pages, flat, found)
 
 
@@ -86,7 +87,7 @@ def resume_audit(spark: SparkSession, sites: DataFrame, folder: str, **more) ->
     """Goes on with a run that has begun in the folder and isn't finished."""
     if not _there(spark, f"{folder}/responses"):
         raise RunNotFound(f"no run has begun in {folder}")
-    if _there(spark, f"{folder}/findings"):
+    if _there(spark, f"{folder}/runs"):
         raise RunAlreadyDone(f"the run in {folder} is finished")
     return audit_sites(spark, sites, folder, **more)
 
