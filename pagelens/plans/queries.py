@@ -68,8 +68,9 @@ of_table("head_native", "pages", lambda p: p.select(
 
 
 def head_exact(p: DataFrame) -> DataFrame:
-    h = H.extract_head(F.col("html"), F.col("url"))
-    return p.select("page_id", h.alias("h")).select("page_id", F.col("h.title").alias("title"), F.get("h.h1", F.lit(0)).alias("h1"), F.col("h.html_lang").alias("lang"), F.col("h.charset").alias("charset"), F.col("h.links_internal_total").alias("links"), F.col("h.word_count").alias("words"))
+    h = F.when(F.col("html").isNotNull(), H.extract_head(F.col("html"), F.col("url")))
+    h1 = F.when(F.col("h").isNotNull(), F.coalesce(F.get("h.h1", F.lit(0)), F.lit("")))
+    return p.select("page_id", h.alias("h")).select("page_id", F.col("h.title").alias("title"), h1.alias("h1"), F.col("h.html_lang").alias("lang"), F.col("h.charset").alias("charset"), F.col("h.links_internal_total").alias("links"), F.col("h.word_count").alias("words"))
 
 
 of_table("head_exact", "pages", head_exact, QUERIES["head_native"][1])
